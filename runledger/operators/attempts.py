@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runledger.functions.text import log_timestamp
+from runledger.operators.ordering import chunk_of
 from runledger.session import fits_broadcast
 
 # Attempt ids, the phrases that decide an outcome, its two names.
@@ -171,7 +172,7 @@ def spill_gaps(lines, chunk_width=LINES_PER_CHUNK):
     attempt = ["host", "attempt_id"]
     spill = F.regexp_extract("line", SPILL, 1)
     marked = lines.select(
-        *attempt, "line_no", F.floor(F.col("line_no") / chunk_width).alias("chunk"),
+        *attempt, "line_no", chunk_of("line_no", chunk_width).alias("chunk"),
         F.when(_info() & (spill != ""), spill).try_cast("long").alias("spill"))
     chunks = marked.groupBy(*attempt, "chunk").agg(
         F.min("line_no").alias("chunk_first"),
@@ -184,7 +185,9 @@ def spill_gaps(lines, chunk_width=LINES_PER_CHUNK):
     chunks = chunks.select(
         *attempt, "chunk", "first_no",
         F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    spills = marked.filter(F.col("spill").isNotNull()).join(chunks, [*attempt, "chunk"]).filter(
+    # A merge join leaves the spills partitioned as the window below needs them.
+    spills = marked.filter(F.col("spill").isNotNull()).join(
+        chunks.hint("merge"), [*attempt, "chunk"]).filter(
         F.col("line_no") > F.col("first_no"))
     order = Window.partitionBy(*attempt, "chunk").orderBy("line_no")
     previous = F.coalesce(F.lag("spill").over(order), F.col("carried"), F.lit(-1))

@@ -41,7 +41,9 @@ def job_run_times(lines):
 
 def experiment_stats(settings, jobs, times):
     """Settings, job and run time of every run that has settings and an output."""
-    stats = settings.join(jobs, "expt_id").join(
+    # A grid has far more rows than the size of its specification tells the
+    # planner, so it must not be picked for a broadcast.
+    stats = settings.hint("merge").join(jobs, "expt_id").hint("merge").join(
         times.select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
     row = F.concat_ws(",", "settings", F.coalesce(F.col("seconds").cast("string"), F.lit("")))
     return stats.select("expt_id", "job_id", "settings", "seconds", row.alias("row"))

@@ -4,7 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runledger.functions.text import run_id, split_list
-from runledger.operators.ordering import running_before
+from runledger.operators.ordering import chunk_of, running_before
+from runledger.session import shuffle_partitions
 
 # The two parameter types, the names a program parameter may
 # have, and the defaults.
@@ -84,26 +85,27 @@ def expand_design(specs):
     ).withColumn("_runs", F.product("_n").over(whole).cast("long"))
     files = design_size(specs).select("file_no", "runs")
     starts = running_before(
-        files, F.floor(F.col("file_no") / FILES_PER_CHUNK), ["file_no"], "runs", "_first"
+        files, chunk_of("file_no", FILES_PER_CHUNK), ["file_no"], "runs", "_first"
     ).select("file_no", "_first")
-    last_block = F.floor((F.col("_runs") - 1) / RUNS_PER_BLOCK)
-    blocks = sized.join(starts, "file_no").withColumn(
+    last_block = F.call_function("div", F.col("_runs") - 1, F.lit(RUNS_PER_BLOCK))
+    blocks = sized.join(starts.hint("merge"), "file_no").withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-    blocks = blocks.repartition("file_no", "_block")
+    # An explicit number: block rows are small and would be coalesced to one task.
+    blocks = blocks.repartition(shuffle_partitions(specs.sparkSession), "file_no", "_block")
     low = F.col("_block") * RUNS_PER_BLOCK
     high = F.least(low + RUNS_PER_BLOCK, F.col("_runs")) - 1
     runs = blocks.withColumn("_i", F.explode(F.sequence(low, high)))
-    index = (F.floor(F.col("_i") / F.col("_inner")) % F.col("_n")).cast("int")
+    index = (F.call_function("div", F.col("_i"), F.col("_inner")) % F.col("_n")).cast("int")
     run_no = F.col("_first") + F.col("_i")
     return runs.select(
-        run_id(run_no).alias("expt_id"), run_no.alias("run_no"), "file_no", "pos",
-        F.col("name").alias("param"), "type", F.get("value_list", index).alias("value"),
+        run_id(run_no).alias("expt_id"), run_no.alias("run_no"), "file_no",
+        F.col("_i").alias("file_run"), "pos", F.col("name").alias("param"), "type", F.get("value_list", index).alias("value"),
         "delete_on_exit")
 
 
 def design_ids(design):
     """One row per run."""
-    return design.filter(F.col("pos") == 0).select("expt_id", "run_no", "file_no")
+    return design.filter(F.col("pos") == 0).select("expt_id", "run_no", "file_no", "file_run")
 
 
 def run_order(runs, seed=None):
@@ -113,15 +115,12 @@ def run_order(runs, seed=None):
     hash cut a file into even chunks.
     """
     if seed is None:
-        rank = F.col("run_no")
-        chunk = F.floor(rank / RUNS_PER_BLOCK)
-    else:
-        rank = F.xxhash64(F.lit(seed).cast("long"), F.col("run_no"))
-        chunk = F.shiftright(F.col("_rank"), 48)
+        return runs.withColumn("place", F.col("file_run"))
+    rank = F.xxhash64(F.lit(seed).cast("long"), F.col("run_no"))
     ranked = runs.withColumn("_rank", rank).withColumn("_one", F.lit(1).cast("long"))
     return running_before(
-        ranked, chunk, ["_rank", "run_no"], "_one", "place", group=["file_no"]
-    ).drop("_rank", "_one")
+        ranked, F.shiftright(F.col("_rank"), 48), ["_rank", "run_no"], "_one", "place",
+        group=["file_no"]).drop("_rank", "_one")
 
 
 def union_designs(first, *others):

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runledger.functions.text import is_blank, tokens
+from runledger.operators.ordering import chunk_of
 
 # The marks that tell the line kinds apart, and the columns.
 DEVICE = "sda2"
@@ -56,44 +57,64 @@ def memory_samples(lines, timed=False):
     return _complete(samples, MEMORY)
 
 
+def _cpu_values(lines, timed):
+    """The line's first six tokens as numbers, NULL when one is missing or no number."""
+    first = 2 if timed else 1
+    line = F.col("line")
+    # Only lines that start like a number are worth splitting.
+    split = lines.withColumn("_words", F.when(line.rlike(r"^\s*[-+.0-9]"), tokens(line)))
+    numbers = [F.get("_words", F.lit(first - 1 + i)).try_cast("double") for i in range(len(CPU))]
+    parsed = split.withColumn("_cpu", F.when(F.col("_words").isNotNull(), F.array(*numbers)))
+    complete = F.get("_cpu", F.lit(0)).isNotNull()
+    for i in range(1, len(CPU)):
+        complete = complete & F.get("_cpu", F.lit(i)).isNotNull()
+    return parsed.withColumn("_cpu", F.when(complete, F.col("_cpu")))
+
+
+def _cpu_columns(timed):
+    named = [F.get("_cpu", F.lit(i)).alias(name) for i, name in enumerate(CPU)]
+    return [F.col("_ts").alias("ts"), *named] if timed else named
+
+
+def _line_time(timed):
+    second = F.get("_words", F.lit(0)).try_cast("long") if timed else F.lit(None).cast("long")
+    return F.timestamp_seconds(second).alias("_ts")
+
+
 def cpu_shaped(lines, timed=False):
     """CPU lines by their shape alone: six numbers. For streams, which have no next line."""
-    words = F.size(tokens(F.col("line"))) == len(CPU) + (1 if timed else 0)
-    samples = lines.filter(words).select(
-        *_kept(lines, "line"), *_numbers(CPU, 1, "double", timed))
-    return _complete(samples, CPU)
+    parsed = _cpu_values(lines, timed).filter(
+        F.col("_cpu").isNotNull() & (F.size("_words") == len(CPU) + (1 if timed else 0)))
+    kept = _kept(lines, "line")
+    return parsed.select(*kept, _line_time(timed), "_cpu").select(*kept, *_cpu_columns(timed))
 
 
 def cpu_samples(lines, timed=False, chunk_width=LINES_PER_CHUNK):
     """The line after every CPU header; lines that are not six numbers give no row.
 
-    A capture is cut in chunks of line numbers. Inside a chunk the next line is
-    found by a window; a header at the end of a chunk takes the first line of
-    the next one from a table with one row per chunk. So a host that holds most
-    of the lines is shared by many tasks.
+    A capture is cut in chunks of line numbers, so a host that holds most of the
+    lines is shared by many tasks. Inside a chunk a window finds the next line.
+    A header that ends its chunk takes the first line of the next one: the first
+    and last lines of all chunks, two per chunk, go through a second window.
+    Both read the same shuffled lines.
     """
     source = ["host", "capture"]
-    values = [*(["ts"] if timed else []), *CPU]
-    parsed = lines.select(
-        *source, "line_no", F.floor(F.col("line_no") / chunk_width).alias("chunk"),
-        F.col("line").contains(CPU_HEADER).alias("header"),
-        *_numbers(CPU, 1, "double", timed))
-    order = Window.partitionBy(*source, "chunk").orderBy("line_no")
-    inside = parsed.withColumn("_next", F.lead("line_no").over(order))
-    for name in values:
-        inside = inside.withColumn(name, F.lead(name).over(order))
-    inside = inside.filter(F.col("header") & F.col("_next").isNotNull()).select(
-        *source, F.col("_next").alias("line_no"), *values)
-    chunks = parsed.groupBy(*source, "chunk").agg(
-        F.max_by("header", "line_no").alias("header"), F.min("line_no").alias("first_no"),
-        *[F.min_by(name, "line_no").alias(name) for name in values])
-    across = Window.partitionBy(*source).orderBy("chunk")
-    edges = chunks.withColumn("first_no", F.lead("first_no").over(across))
-    for name in values:
-        edges = edges.withColumn(name, F.lead(name).over(across))
-    edges = edges.filter(F.col("header") & F.col("first_no").isNotNull()).select(
-        *source, F.col("first_no").alias("line_no"), *values)
-    return _complete(inside.unionByName(edges), CPU)
+    parsed = _cpu_values(lines, timed).select(
+        *source, "line_no", chunk_of("line_no", chunk_width).alias("_chunk"),
+        F.col("line").contains(CPU_HEADER).alias("_header"),
+        F.struct("line_no", _line_time(timed), "_cpu").alias("_own"))
+    inside = Window.partitionBy(*source, "_chunk").orderBy("line_no")
+    rows = parsed.withColumn("_next", F.lead("_own").over(inside)).withColumn(
+        "_first", F.lag("_own").over(inside).isNull())
+    across = Window.partitionBy(*source).orderBy("line_no")
+    ends = rows.filter(F.col("_first") | F.col("_next").isNull()).withColumn(
+        "_after", F.lead("_own").over(across))
+    pairs = rows.filter(F.col("_header") & F.col("_next").isNotNull()).select(
+        *source, "_next").unionByName(
+        ends.filter(F.col("_header") & F.col("_next").isNull()).select(
+            *source, F.col("_after").alias("_next")))
+    found = pairs.filter(F.col("_next._cpu").isNotNull())
+    return found.select(*source, "_next.*").select(*source, "line_no", *_cpu_columns(timed))
 
 
 def monitor_summary(samples, metrics, share=0.95, accuracy=10000):

@@ -9,6 +9,11 @@ COPIES_PER_ROW = 1 << 16
 _RECORD_BITS = (1 << 33) - 1
 
 
+def chunk_of(column, width):
+    """Number of the chunk of `width` consecutive values that a whole number falls in."""
+    return F.call_function("div", F.col(column), F.lit(width))
+
+
 def _keys(keys):
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
@@ -20,7 +25,8 @@ def _fold_copies(df):
     cut in blocks, which the range partitioning may put in different tasks.
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_ROW))
+    blocks = F.sequence(F.lit(0).cast("long"), F.call_function(
+        "div", F.col("_n") - 1, F.lit(COPIES_PER_ROW)))
     return counted.withColumn("_block", F.explode(blocks)).withColumn(
         "_n", F.least(F.lit(COPIES_PER_ROW).cast("long"),
                       F.col("_n") - F.col("_block") * COPIES_PER_ROW))
@@ -104,7 +110,8 @@ def running_before(df, chunk, order, weight, name, group=()):
     totals = totals.select(
         *group, "_chunk", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
     rows = rows.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return rows.join(totals, [*group, "_chunk"]).withColumn(
+    # The window left the rows partitioned and sorted for a merge join.
+    return rows.join(totals.hint("merge"), [*group, "_chunk"]).withColumn(
         name, (F.col("_before") + F.col("_inside")).cast("long")
     ).drop("_chunk", "_before", "_inside")
 

@@ -7,11 +7,12 @@ from runledger.functions.text import run_id
 from runledger.operators import (
     attempts, clientlogs, corpus, design, jobs, joins, monitor, ordering, reshape)
 from runledger.plans import render
-from runledger.session import scratch_path
+from runledger.session import scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.lines import read_client_logs
-from runledger.sources.specs import parse_param_specs, read_manifest, with_job_of_conf
+from runledger.sources.specs import (
+    parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
 from runledger.sources.tables import read_table
 from runledger.streaming import monitor as stream
 
@@ -59,7 +60,7 @@ def spill_gaps(spark, sf):
 
 def job_summary(spark, sf):
     summary = attempts.job_summary(attempt_times(spark, sf))
-    return summary.withColumn("avg_seconds", F.round("avg_seconds", 4))
+    return _comparable(summary)
 
 
 def logs_for_runs(spark, sf):
@@ -104,7 +105,7 @@ def client_log_files(spark, sf):
     """Write the client output of every run to its own folder, scan it back, time the jobs."""
     lines = client_lines(spark, sf)
     path = scratch_path(spark, "client-logs")
-    ordered = lines.repartitionByRange("expt_id", "line_no").sortWithinPartitions(
+    ordered = lines.repartitionByRange(shuffle_partitions(spark), "expt_id", "line_no").sortWithinPartitions(
         "expt_id", "line_no")
     ordered.select("expt_id", "line").write.partitionBy("expt_id").text(path)
     return clientlogs.job_run_times(read_client_logs(spark, f"{path}/*")).select(
@@ -118,11 +119,11 @@ def manifest_roundtrip(spark, sf):
 
 
 def experiment_stats(spark, sf):
-    settings = design.stats_row(grid(spark, sf, "supplier", "s_suppkey"))
+    runs = grid(spark, sf, "supplier", "s_suppkey")
     lines = client_lines(spark, sf)
-    runs = settings.select("expt_id")
     stats = clientlogs.experiment_stats(
-        settings, clientlogs.run_job_map(runs, clientlogs.extract_job_ids(lines)),
+        design.stats_row(runs),
+        clientlogs.run_job_map(design.design_ids(runs), clientlogs.extract_job_ids(lines)),
         clientlogs.job_run_times(lines))
     return stats.select("expt_id", "job_id", "seconds", "row")
 
@@ -153,7 +154,7 @@ def design_expand(spark, sf):
 
 
 def design_ids(spark, sf):
-    return design.design_ids(grid(spark, sf))
+    return design.design_ids(grid(spark, sf)).select("expt_id", "run_no", "file_no")
 
 
 def design_size(spark, sf):
@@ -184,12 +185,12 @@ def spec_violations(spark, sf):
 
 
 def run_order(spark, sf):
-    return design.run_order(design_ids(spark, sf)).select("expt_id", "file_no", "place")
+    return design.run_order(design.design_ids(grid(spark, sf))).select("expt_id", "file_no", "place")
 
 
 def run_order_shuffled(spark, sf):
     """Places of the seeded permutation: per file they must be 0 .. runs - 1, each once."""
-    placed = design.run_order(design_ids(spark, sf), seed=42)
+    placed = design.run_order(design.design_ids(grid(spark, sf)), seed=42)
     return placed.groupBy("file_no").agg(
         F.count(F.lit(1)).alias("runs"), F.countDistinct("place").alias("places"),
         F.min("place").alias("first"), F.max("place").alias("last"))
@@ -216,9 +217,7 @@ def design_tsv(spark, sf):
 def run_confs_roundtrip(spark, sf):
     path = scratch_path(spark, "confs")
     writers.write_run_confs(grid(spark, sf, "supplier", "s_suppkey"), path)
-    confs = (spark.read.format("xml").schema("name string, value string, expt_id string")
-             .option("rowTag", "property").option("ignoreSurroundingSpaces", "false").load(path))
-    return confs.select("expt_id", "name", "value")
+    return read_run_confs(spark, path).select("expt_id", "name", "value")
 
 
 # ---- benchmark jobs ---------------------------------------------------------
@@ -341,23 +340,26 @@ def memory_samples(spark, sf):
     return monitor.memory_samples(lines).select("host", "line_no", *monitor.MEMORY)
 
 
-def _rounded(df):
-    return df.select(*[F.round(c, 4).alias(c) if c.startswith("avg_") else c for c in df.columns])
+def _comparable(df):
+    """Means to 7 places, as the order of a sum is open; no approximate percentiles."""
+    return df.select(*[F.round(c, 7).alias(c) if c.startswith("avg_") else c
+                       for c in df.columns if not c.startswith("p95_")])
 
 
 def monitor_summary(spark, sf):
-    return _rounded(monitor.monitor_summary(
+    return _comparable(monitor.monitor_summary(
         monitor.disk_samples(iostat(spark, sf)), monitor.DISK))
 
 
 def cpu_summary(spark, sf):
     samples = monitor.cpu_samples(iostat(spark, sf))
-    return _rounded(monitor.monitor_summary(samples, ["user", "idle"]))
+    return _comparable(monitor.monitor_summary(samples, ["user", "idle"]))
 
 
 def _capture_files(spark, sf):
     path = scratch_path(spark, "captures")
-    iostat(spark, sf, timed=True).repartitionByRange("capture", "line_no").select(
+    lines = iostat(spark, sf, timed=True)
+    lines.repartitionByRange(shuffle_partitions(spark), "capture", "line_no").select(
         "capture", "line").write.partitionBy("capture").text(path)
     return path
 
@@ -375,7 +377,7 @@ def stream_cpu_samples(spark, sf):
 def stream_utilisation(spark, sf):
     samples = stream.stream_samples(spark, _capture_files(spark, sf), "disk")
     windows = stream.stream_utilisation(samples, monitor.DISK, "1 hour")
-    return _rounded(stream.drain_utilisation(windows))
+    return _comparable(stream.drain_utilisation(windows))
 
 
 # ---- generators, sized by the given tables ----------------------------------

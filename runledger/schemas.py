@@ -71,8 +71,9 @@ SPEC_PROPERTY = T.StructType([
                  "delete_on_exit", "description")])
 SPEC_DOCUMENT = T.StructType([T.StructField("property", T.ArrayType(SPEC_PROPERTY))])
 
-# One property of a job configuration file.
+# A job configuration file.
 CONF_PROPERTY = T.StructType([T.StructField("name", _STR), T.StructField("value", _STR)])
+CONF_DOCUMENT = T.StructType([T.StructField("property", T.ArrayType(CONF_PROPERTY))])
 
 MANIFEST = T.StructType([T.StructField("expt_id", _STR), T.StructField("job_id", _STR)])
 

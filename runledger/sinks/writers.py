@@ -60,12 +60,10 @@ def design_lines(design):
     """
     cells = F.sort_array(F.collect_list(F.struct("pos", "param", F.coalesce(
         "value", F.lit("")).alias("value"))))
-    runs = design.groupBy("file_no", "run_no").agg(cells.alias("cells"))
-    first = design.filter(F.col("pos") == 0).groupBy("file_no").agg(
-        F.min("run_no").alias("run_no"))
+    runs = design.groupBy("file_no", "run_no", "file_run").agg(cells.alias("cells"))
     body = runs.select("file_no", "run_no", F.concat_ws(
         "\t", run_id(F.col("run_no")), F.col("cells.value")).alias("line"))
-    head = runs.join(first, ["file_no", "run_no"]).select(
+    head = runs.filter(F.col("file_run") == 0).select(
         "file_no", F.lit(-1).cast("long").alias("run_no"),
         F.concat_ws("\t", F.lit("EXPT_ID"), F.col("cells.param")).alias("line"))
     return head.unionByName(body)
@@ -87,12 +85,14 @@ def write_run_list(ordered_runs, directory, partitions=None):
         "errorifexists").text(directory)
 
 
-def write_run_confs(design, directory):
+def write_run_confs(design, directory, partitions=None):
     """A configuration document per run below `expt_id=<run id>`, job settings only."""
+    n = partitions or shuffle_partitions(design.sparkSession)
     settings = design.filter(F.col("type") == JOB_CONF).select(
         "expt_id", "pos", F.col("param").alias("name"), "value")
-    # Rows of a run must meet in one task: a document is one file.
-    (settings.repartition("expt_id").sortWithinPartitions("expt_id", "pos").drop("pos")
+    # Rows of a run must meet in one task: a document is one file. The number of
+    # tasks is given, as opening the files takes longer than their few bytes tell.
+    (settings.repartition(n, "expt_id").sortWithinPartitions("expt_id", "pos").drop("pos")
      .write.mode("errorifexists").partitionBy("expt_id").format("xml")
      .option("rootTag", "configuration").option("rowTag", "property").save(directory))
 

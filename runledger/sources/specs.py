@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.text import strip
 from runledger.operators.ordering import with_ordinal
+from runledger.sources.lines import RUN_PATTERN, read_lines
 
 JOB_IN_NAME = r"_(job_[0-9]+_[0-9]+)_conf\.xml$"
 
@@ -49,19 +50,35 @@ def read_manifest(spark, path):
 
 def read_run_list(spark, path):
     """One run id per non-blank line, in run order."""
-    from runledger.sources.lines import read_lines
     lines = read_lines(spark, path)
     return lines.select(F.col("line_no").alias("run_order"), strip(F.col("line")).alias("expt_id")
                         ).filter(F.col("expt_id") != "")
 
 
+def _read_confs(spark, path):
+    """Name and value of every property, file by file.
+
+    A configuration file is a small document. Reading it as one text value lets
+    Spark pack many files in a task, which the XML source does not do.
+    """
+    documents = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("conf"),
+        F.from_xml("value", schemas.CONF_DOCUMENT.simpleString(),
+                   {"ignoreSurroundingSpaces": "false"}).alias("doc"))
+    return documents.select("path", "conf", F.explode("doc.property").alias("p")).select(
+        "path", "conf", "p.name", "p.value")
+
+
 def read_job_confs(spark, path):
     """Properties of every `*_<job>_conf.xml`, keyed by the job id in the name."""
-    rows = (spark.read.format("xml").schema(schemas.CONF_PROPERTY).option("rowTag", "property")
-            .option("pathGlobFilter", "*_conf.xml").load(path))
-    return with_job_of_conf(
-        rows.select(F.col("_metadata.file_name").alias("conf"), "name", "value")
-    ).filter(F.col("job_id").isNotNull())
+    rows = with_job_of_conf(_read_confs(spark, f"{path.rstrip('/')}/*_conf.xml"))
+    return rows.filter(F.col("job_id").isNotNull()).drop("path")
+
+
+def read_run_confs(spark, directory):
+    """Properties of the configuration documents below `expt_id=<run id>`."""
+    rows = _read_confs(spark, f"{directory.rstrip('/')}/*")
+    return rows.select(F.regexp_extract("path", RUN_PATTERN, 1).alias("expt_id"), "name", "value")
 
 
 def with_job_of_conf(confs, name="conf"):

@@ -41,6 +41,17 @@ def _plain(value):
     return repr(value)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
+def type_differences(df, result):
+    theirs = {d[0]: str(d[1]) for d in result.description}
+    return [(f.name, f.dataType.simpleString(), theirs.get(f.name)) for f in df.schema.fields
+            if f.dataType.simpleString() in KINDS
+            and theirs.get(f.name) != KINDS[f.dataType.simpleString()]]
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
@@ -51,6 +62,9 @@ def difference(df, connection, sql):
     mine = rows_of(df.columns, df.collect())
     result = connection.execute(sql)
     names = [d[0] for d in result.description]
+    kinds = type_differences(df, result)
+    if kinds:
+        return f"types {kinds}"
     theirs = rows_of(names, result.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} and {sorted(names)}"

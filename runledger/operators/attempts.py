@@ -133,7 +133,8 @@ def reduce_attempt_times(lines):
 def attempt_rejects(lines, files=None):
     """Attempts that give no row: an empty log, or no time on its first or last line.
 
-    Empty files have no lines; pass the file listing to see them as well.
+    Empty files have no lines. Pass a listing of the storage with the columns
+    host, attempt_id and length to see them as well.
     """
     facts = _facts(lines)
     rejects = facts.select(

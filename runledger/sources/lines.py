@@ -61,7 +61,10 @@ def read_attempt_logs(spark, path):
 
 
 def attempt_files(spark, path):
-    """One row per attempt log file with its size and time; contents are not read."""
+    """One row per attempt log file with its size and time; contents are not read.
+
+    Spark's file sources leave out empty files.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     return files.select(
         F.regexp_extract("path", HOST_PATTERN, 1).alias("host"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from runledger.operators.ordering import fold_copies, unfold_copies
 from runledger.session import BROADCAST_LIMIT, fits_broadcast
 
 STRATEGIES = ("merge", "broadcast", "salted")
@@ -23,7 +24,8 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
                `limit`; beyond it this is the merge join.
     salted     splits every key of the right side over `salts` partitions and
                repeats the left side, for a right side whose one key is known to
-               hold a large share of the rows.
+               hold a large share of the rows. Whole-row copies, which would get
+               the same salt, are folded before and unfolded after the join.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}")
@@ -36,8 +38,9 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
         return F.broadcast(left).join(right, condition).select(*left.columns, *right.columns)
     if strategy == "salted":
         repeated = left.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = right.withColumn("_r", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
-        return repeated.hint("merge").join(
-            spread, condition & (F.col("_l") == F.col("_r"))
-        ).select(*left.columns, *right.columns)
+        folded = fold_copies(right)
+        spread = folded.withColumn(
+            "_r", F.pmod(F.xxhash64(*right.columns, "_block"), F.lit(salts)).cast("int"))
+        joined = repeated.hint("merge").join(spread, condition & (F.col("_l") == F.col("_r")))
+        return unfold_copies(joined).select(*left.columns, *right.columns)
     return left.hint("merge").join(right, condition).select(*left.columns, *right.columns)

@@ -18,11 +18,11 @@ def _keys(keys):
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
-def _fold_copies(df):
+def fold_copies(df):
     """Equal rows become one row with a count, so that no task gets all copies.
 
     The count is combined before the shuffle. Rows with very many copies are
-    cut in blocks, which the range partitioning may put in different tasks.
+    cut in blocks, which a later partitioning may put in different tasks.
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     blocks = F.sequence(F.lit(0).cast("long"), F.call_function(
@@ -32,6 +32,11 @@ def _fold_copies(df):
                       F.col("_n") - F.col("_block") * COPIES_PER_ROW))
 
 
+def unfold_copies(rows):
+    """One row per copy again."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+
+
 def total_sort(df, keys, partitions=None, collapse_copies=True):
     """All rows in the order of the keys over `partitions` sorted ranges.
 
@@ -45,13 +50,11 @@ def total_sort(df, keys, partitions=None, collapse_copies=True):
     order = [*_keys(keys), F.col("_tie")]
     rows = df
     if collapse_copies:
-        rows = _fold_copies(df)
+        rows = fold_copies(df)
         order.append(F.col("_block"))
     rows = rows.withColumn("_tie", F.xxhash64(*columns))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    if collapse_copies:
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return rows.select(*columns)
+    return (unfold_copies(rows) if collapse_copies else rows).select(*columns)
 
 
 def _placed(df, keys, partitions, collapse_copies):

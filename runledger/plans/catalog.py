@@ -1,5 +1,7 @@
 """Every operator as a query over the given tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from runledger.functions.sampling import zipf_rank
@@ -12,11 +14,14 @@ from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.lines import read_client_logs
 from runledger.sources.specs import (
-    parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
+    conf_properties, parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
 from runledger.sources.tables import read_table
+from runledger.sources.wiki import read_wiki_xml
 from runledger.streaming import monitor as stream
 
-TABLE_FILES = 8
+RUN_FOLDERS = 200
+RECORDS_PER_TASK = 10_000_000
+TEXT_BYTES_PER_TASK = 500 * 1024 * 1024
 
 
 # ---- attempt logs -----------------------------------------------------------
@@ -102,8 +107,8 @@ def job_run_times(spark, sf):
 
 
 def client_log_files(spark, sf):
-    """Write the client output of every run to its own folder, scan it back, time the jobs."""
-    lines = client_lines(spark, sf)
+    """Write the client output of 200 runs to their folders, scan it back, time the jobs."""
+    lines = render.client_lines(read_table(spark, sf, "events"), RUN_FOLDERS)
     path = scratch_path(spark, "client-logs")
     ordered = lines.repartitionByRange(shuffle_partitions(spark), "expt_id", "line_no").sortWithinPartitions(
         "expt_id", "line_no")
@@ -210,8 +215,12 @@ def union_designs(spark, sf):
 def design_tsv(spark, sf):
     path = scratch_path(spark, "design")
     writers.write_design(grid(spark, sf, "supplier", "s_suppkey"), path)
-    return spark.read.schema("value string, file_no long").text(path).select(
-        "file_no", F.col("value").alias("line"))
+    return spark.read.schema("line string").text(path)
+
+
+def run_conf_documents(spark, sf):
+    documents = writers.run_conf_documents(grid(spark, sf))
+    return conf_properties(documents).select("expt_id", "name", "value")
 
 
 def run_confs_roundtrip(spark, sf):
@@ -382,10 +391,15 @@ def stream_utilisation(spark, sf):
 
 # ---- generators, sized by the given tables ----------------------------------
 
+def _tasks(spark, size, per_task):
+    """Enough tasks for the size, and never fewer than the session would use."""
+    return max(shuffle_partitions(spark), math.ceil(size / per_task))
+
+
 def gen_tpch(spark, sf):
     """All eight tables at the scale of the given line items, counted."""
     scale = read_table(spark, sf, "lineitem").count() / 6_000_000
-    tables = generate.gen_tpch(spark, scale, TABLE_FILES, zipf=1.0)
+    tables = generate.gen_tpch(spark, scale, _tasks(spark, scale, 1), zipf=1.0)
     counts = [
         df.agg(F.count(F.lit(1)).alias("n"), F.min(df.columns[0]).cast("long").alias("first_key"),
                F.max(df.columns[0]).cast("long").alias("last_key")
@@ -398,7 +412,7 @@ def gen_tpch(spark, sf):
 
 def gen_sort_records(spark, sf):
     n = read_table(spark, sf, "orders").count()
-    records = generate.gen_sort_records(spark, n, TABLE_FILES)
+    records = generate.gen_sort_records(spark, n, _tasks(spark, n, RECORDS_PER_TASK))
     size = F.octet_length("key") + F.octet_length("rowid") + F.octet_length("filler")
     return records.agg(F.count(F.lit(1)).alias("records"), F.sum(size).alias("bytes"),
                        F.min(size).alias("smallest"), F.max(size).alias("largest"),
@@ -408,7 +422,8 @@ def gen_sort_records(spark, sf):
 def gen_random_text(spark, sf):
     """Sentences for as many bytes as the documents have; word counts per row are checked."""
     size = read_table(spark, sf, "documents").agg(F.sum("n_chars").alias("n")).first()["n"]
-    text = generate.gen_random_text(spark, size // TABLE_FILES, TABLE_FILES)
+    tasks = _tasks(spark, size, TEXT_BYTES_PER_TASK)
+    text = generate.gen_random_text(spark, size // tasks, tasks)
     words = [F.size(F.split(c, " ")) for c in ("key", "value")]
     return text.agg(*[f(w).alias(f"{name}_{c}") for w, c in zip(words, ("key", "value"))
                       for name, f in (("min", F.min), ("max", F.max))])
@@ -427,7 +442,8 @@ def zipf_key(spark, sf):
 def write_roundtrip(spark, sf):
     rows = read_table(spark, sf, "lineitem")
     path = scratch_path(spark, "tables")
-    writers.write_tables({"lineitem": rows}, path, TABLE_FILES, compression="gzip")
+    writers.write_tables(
+        {"lineitem": rows}, path, shuffle_partitions(spark), compression="gzip")
     return spark.read.schema(rows.schema).option("sep", "|").csv(f"{path}/lineitem")
 
 
@@ -459,6 +475,16 @@ def pages(spark, sf):
     return read_table(spark, sf, "pages")
 
 
+def wiki_dump(spark, sf):
+    """Write the pages as an XML dump and read it back."""
+    path = scratch_path(spark, "dump")
+    dump = pages(spark, sf).select(
+        F.col("page_id").alias("id"), F.col("url").alias("title"),
+        F.struct(F.col("html").alias("text")).alias("revision"))
+    dump.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    return read_wiki_xml(spark, path)
+
+
 def plain_text(spark, sf):
     return corpus.plain_text(pages(spark, sf), "html", "html").select("page_id", "plain")
 
@@ -505,11 +531,11 @@ QUERIES = [
     job_ids, run_job_map, job_run_times, client_log_files, manifest_roundtrip,
     experiment_stats, sort_stats, design_expand, design_ids, design_size, design_total,
     spec_values, spec_violations, run_order, run_order_shuffled, union_designs, design_tsv,
-    run_confs_roundtrip, total_sort, word_count, join_merge, join_broadcast, join_salted,
+    run_conf_documents, run_confs_roundtrip, total_sort, word_count, join_merge, join_broadcast, join_salted,
     join_partsupp, merge_horizontal, pair_runs, resolve_profiles, unify, unify_last_wins,
     jobs_with_conf, disk_samples, cpu_samples, cpu_samples_timed, memory_samples,
     monitor_summary, cpu_summary, stream_samples, stream_cpu_samples, stream_utilisation,
     gen_tpch, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
-    run_output_roundtrip, tsv_roundtrip, sequence_roundtrip, plain_text, doc_numbers, repack,
+    run_output_roundtrip, tsv_roundtrip, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
     link_edges, adjacency, bfs_encode, bfs,
 ]

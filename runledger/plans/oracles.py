@@ -42,11 +42,17 @@ outcome as (
 
 STATUS = "case when good then 'SUCCESSFUL' else 'FAILED|KILLED' end as status"
 
-CLIENT = f"""
+
+
+def _client(run):
+    return f"""
 client as (
-  select *, {_run('user_id')} as expt_id, {_job('user_id * 10 + event_id % 3')} as job_id
+  select *, {_run(run)} as expt_id, {_job(f'({run}) * 10 + event_id % 3')} as job_id
   from events)"""
 
+
+CLIENT = _client("user_id")
+
 JOB_IDS = CLIENT + """,
 ids as (select distinct expt_id, job_id from client where event_type = 'click')"""
 
@@ -56,7 +62,7 @@ runs as (
   union all
   select distinct user_id + 1000000 from events where user_id % 10 = 0)"""
 
-JOB_TIMES = CLIENT + """,
+TIMES = """,
 times as (
   select expt_id, job_id,
          min(epoch(date_trunc('second', ts))) filter (event_type = 'click') as a,
@@ -64,6 +70,8 @@ times as (
   from client group by all),
 job_times as (select expt_id, job_id, (b - a)::bigint as seconds from times where a is not null)"""
 
+JOB_TIMES = CLIENT + TIMES
+
 
 def _grid(table, key, name="grid"):
     """The grid by a real cross product of the value lists of every row."""
@@ -193,7 +201,7 @@ ORACLES = {
         select {_run('run_order')} as expt_id, job_id
         from runs left join ids on ids.expt_id = {_run('run_order')}""",
     "job_run_times": f"with {JOB_TIMES} select * from job_times",
-    "client_log_files": f"with {JOB_TIMES} select * from job_times",
+    "client_log_files": f"with {_client('user_id % 200')}{TIMES} select * from job_times",
     "manifest_roundtrip": f"""with {JOB_IDS}, {RUNS}
         select {_run('run_order')} as expt_id, job_id
         from runs left join ids on ids.expt_id = {_run('run_order')}""",
@@ -245,13 +253,17 @@ ORACLES = {
         union all
         select {_run('run_no + 1000000000')}, 4, task, null from other_runs""",
     "design_tsv": f"""with {SUPPLIER_GRID}
-        select s as file_no, {_run('run_no')} || chr(9) || '/jars/job.jar' || chr(9) || '/out/' ||
-               s || chr(9) || task || chr(9) || sort_mb || chr(9) || opt as line
+        select {_run('run_no')} || chr(9) || '/jars/job.jar' || chr(9) || '/out/' || s ||
+               chr(9) || task || chr(9) || sort_mb || chr(9) || opt as line
         from grid_runs
         union all
-        select s, 'EXPT_ID' || chr(9) || 'jar_path' || chr(9) || 'jar_output_prefix' || chr(9) ||
+        select 'EXPT_ID' || chr(9) || 'jar_path' || chr(9) || 'jar_output_prefix' || chr(9) ||
                'mapred.reduce.tasks' || chr(9) || 'io.sort.mb' || chr(9) ||
-               'mapred.child.java.opts' from grid_spec""",
+               'mapred.child.java.opts' from grid_spec
+        union all
+        select '' from grid_spec""",
+    "run_conf_documents": f"""with {CUSTOMER_GRID}
+        select expt_id, param as name, value from grid where type = 'MAPREDUCE_JOBCONF'""",
     "run_confs_roundtrip": f"""with {SUPPLIER_GRID}
         select expt_id, param as name, value from grid where type = 'MAPREDUCE_JOBCONF'""",
     "total_sort": f"""select *, row_number() over (order by {LINE_COLUMNS}) as position
@@ -351,6 +363,7 @@ ORACLES = {
     "run_output_roundtrip": "select * from orders",
     "tsv_roundtrip": "select * from customer",
     "sequence_roundtrip": "select row_number() over (order by page_id) as docno, url from pages",
+    "wiki_dump": "select page_id, url as title, html as text from pages",
     "plain_text": f"select page_id, {PLAIN} as plain from pages",
     "doc_numbers": "select page_id, row_number() over (order by page_id) as docno from pages",
     "repack": "select row_number() over (order by page_id) as docno, url, html from pages",

@@ -81,16 +81,20 @@ def attempt_files(events):
     return rows.groupBy("host", "attempt_id").agg(F.max("ts").alias("modified"))
 
 
-def client_lines(events):
-    """Client output: a user is a run with three jobs; a click starts, a purchase ends."""
-    job = job_name(F.col("user_id") * 10 + F.col("event_id") % 3)
+def client_lines(events, runs=None):
+    """Client output: a user is a run with three jobs; a click starts, a purchase ends.
+
+    With a number of runs, users share them.
+    """
+    run = F.col("user_id") % runs if runs else F.col("user_id")
+    job = job_name(run * 10 + F.col("event_id") % 3)
     kind = F.col("event_type")
     message = (F.when(kind == "click", F.concat(F.lit("Running job: "), job))
                .when(kind == "purchase", F.concat(F.lit("Job complete: "), job))
                .when(kind == "view", " map 100% reduce 0%").otherwise("Counters: 18"))
     stamp = F.date_format("ts", "yy/MM/dd HH:mm:ss")
     return events.select(
-        run_id(F.col("user_id")).alias("expt_id"), F.col("event_id").alias("line_no"),
+        run_id(run).alias("expt_id"), F.col("event_id").alias("line_no"),
         F.concat(stamp, F.lit(" INFO mapred.JobClient: "), message).alias("line"))
 
 

@@ -10,6 +10,11 @@ SINGLE_FILE_TABLES = ("region", "nation")
 SEQUENCE_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
 
 
+def _writer(df, compression, mode="errorifexists"):
+    writer = df.write.mode(mode)
+    return writer.option("compression", compression) if compression else writer
+
+
 def write_tables(tables, directory, num_files, fmt="csv", compression=None, placed=False):
     """One directory per table with `num_files` files; existing ones are an error.
 
@@ -21,9 +26,7 @@ def write_tables(tables, directory, num_files, fmt="csv", compression=None, plac
             df = df.coalesce(1)
         elif not placed:
             df = df.repartition(num_files)
-        writer = df.write.mode("errorifexists")
-        if compression:
-            writer = writer.option("compression", compression)
+        writer = _writer(df, compression)
         path = f"{directory.rstrip('/')}/{name}"
         if fmt == "csv":
             writer.option("sep", "|").csv(path)
@@ -36,14 +39,11 @@ def write_run(df, prefix, expt_id, keep=False, fmt="parquet", compression=None):
 
     A run whose output is not kept is computed in full and discarded.
     """
-    writer = df.write.mode("overwrite")
     if not keep:
-        writer.format("noop").save()
+        df.write.format("noop").mode("overwrite").save()
         return None
-    if compression:
-        writer = writer.option("compression", compression)
     path = f"{prefix.rstrip('/')}/{expt_id}"
-    writer.format(fmt).save(path)
+    _writer(df, compression, "overwrite").format(fmt).save(path)
     return path
 
 
@@ -53,63 +53,81 @@ def keeps_output(delete_on_exit):
 
 
 def design_lines(design):
-    """The design table as text: per file a header line and one line per run.
+    """The design table as text, block by block.
 
-    The columns differ from file to file, so lines are built as text. One line
+    Every file has a header line, one line per run and a blank line. The
+    columns differ from file to file, so lines are built as text. One line
     gathers the parameters of one run.
     """
     cells = F.sort_array(F.collect_list(F.struct("pos", "param", F.coalesce(
         "value", F.lit("")).alias("value"))))
     runs = design.groupBy("file_no", "run_no", "file_run").agg(cells.alias("cells"))
-    body = runs.select("file_no", "run_no", F.concat_ws(
+    body = runs.select("file_no", F.col("file_run").alias("place"), F.concat_ws(
         "\t", run_id(F.col("run_no")), F.col("cells.value")).alias("line"))
-    head = runs.filter(F.col("file_run") == 0).select(
-        "file_no", F.lit(-1).cast("long").alias("run_no"),
-        F.concat_ws("\t", F.lit("EXPT_ID"), F.col("cells.param")).alias("line"))
-    return head.unionByName(body)
+    head = F.concat_ws("\t", F.lit("EXPT_ID"), F.col("cells.param"))
+    frame = F.array(F.struct(F.lit(-1).cast("long").alias("place"), head.alias("line")),
+                    F.struct(F.lit(2**63 - 1).alias("place"), F.lit("").alias("line")))
+    ends = runs.filter(F.col("file_run") == 0).select("file_no", F.explode(frame).alias("f"))
+    return body.unionByName(ends.select("file_no", "f.place", "f.line"))
 
 
-def write_design(design, directory, partitions=None):
-    """One block per specification file below `file_no=<n>`, lines in run order."""
-    n = partitions or shuffle_partitions(design.sparkSession)
-    lines = design_lines(design).repartitionByRange(n, "file_no", "run_no")
-    lines.sortWithinPartitions("file_no", "run_no").select("file_no", "line").write.mode(
-        "errorifexists").partitionBy("file_no").text(directory)
+def _ordered_text(rows, keys, column, directory, partitions, compression):
+    """Lines in key order over the part files: joined in name order they are one file."""
+    n = partitions or shuffle_partitions(rows.sparkSession)
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    _writer(ordered.select(column), compression).text(directory)
+
 
+def write_design(design, directory, partitions=None, compression=None):
+    _ordered_text(design_lines(design), ["file_no", "place"], "line", directory, partitions,
+                  compression)
 
-def write_run_list(ordered_runs, directory, partitions=None):
+
+def write_run_list(ordered_runs, directory, partitions=None, compression=None):
     """One run id per line, file by file, in run order."""
-    n = partitions or shuffle_partitions(ordered_runs.sparkSession)
-    rows = ordered_runs.repartitionByRange(n, "file_no", "place")
-    rows.sortWithinPartitions("file_no", "place").select("expt_id").write.mode(
-        "errorifexists").text(directory)
+    _ordered_text(ordered_runs, ["file_no", "place"], "expt_id", directory, partitions,
+                  compression)
 
 
-def write_run_confs(design, directory, partitions=None):
-    """A configuration document per run below `expt_id=<run id>`, job settings only."""
-    n = partitions or shuffle_partitions(design.sparkSession)
-    settings = design.filter(F.col("type") == JOB_CONF).select(
+def _job_settings(design):
+    return design.filter(F.col("type") == JOB_CONF).select(
         "expt_id", "pos", F.col("param").alias("name"), "value")
+
+
+def run_conf_documents(design):
+    """The configuration document of every run as a text column."""
+    gathered = _job_settings(design).groupBy("expt_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "name", "value"))).alias("cells"))
+    properties = F.transform("cells", lambda c: F.struct(
+        c["name"].alias("name"), c["value"].alias("value")))
+    return gathered.select("expt_id", F.to_xml(
+        F.struct(properties.alias("property")), {"rowTag": "configuration"}).alias("xml"))
+
+
+def write_run_confs(design, directory, partitions=None, compression=None):
+    """A configuration file per run below `expt_id=<run id>`, job settings only.
+
+    For tools that need a file per run. Keep run_conf_documents as a table when
+    the runs go into the millions.
+    """
+    n = partitions or shuffle_partitions(design.sparkSession)
     # Rows of a run must meet in one task: a document is one file. The number of
     # tasks is given, as opening the files takes longer than their few bytes tell.
-    (settings.repartition(n, "expt_id").sortWithinPartitions("expt_id", "pos").drop("pos")
-     .write.mode("errorifexists").partitionBy("expt_id").format("xml")
-     .option("rootTag", "configuration").option("rowTag", "property").save(directory))
+    rows = _job_settings(design).repartition(n, "expt_id").sortWithinPartitions("expt_id", "pos")
+    _writer(rows.drop("pos"), compression).partitionBy("expt_id").format("xml").option(
+        "rootTag", "configuration").option("rowTag", "property").save(directory)
 
 
-def write_manifest(job_map, path):
+def write_manifest(job_map, path, compression=None):
     """Run to job table; a run without a job is written as `Null`."""
-    job_map.select(
+    rows = job_map.select(
         F.col("expt_id").alias("EXPT_ID"),
-        F.coalesce("job_id", F.lit("Null")).alias("HADOOP_JOB_ID"),
-    ).write.mode("errorifexists").option("sep", "\t").option("header", "true").csv(path)
+        F.coalesce("job_id", F.lit("Null")).alias("HADOOP_JOB_ID"))
+    _writer(rows, compression).option("sep", "\t").option("header", "true").csv(path)
 
 
 def write_tsv(df, path, compression=None):
-    writer = df.write.mode("errorifexists").option("sep", "\t")
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.csv(path)
+    _writer(df, compression).option("sep", "\t").csv(path)
 
 
 def write_sequence(df, key, value, path, codec=SEQUENCE_CODEC):

@@ -55,18 +55,25 @@ def read_run_list(spark, path):
                         ).filter(F.col("expt_id") != "")
 
 
+def conf_properties(documents, xml="xml"):
+    """Name and value of every property of configuration documents in a text column."""
+    kept = [c for c in documents.columns if c != xml]
+    parsed = documents.select(*kept, F.from_xml(
+        xml, schemas.CONF_DOCUMENT.simpleString(), {"ignoreSurroundingSpaces": "false"}
+    ).alias("doc"))
+    return parsed.select(*kept, F.explode("doc.property").alias("p")).select(
+        *kept, "p.name", "p.value")
+
+
 def _read_confs(spark, path):
     """Name and value of every property, file by file.
 
     A configuration file is a small document. Reading it as one text value lets
     Spark pack many files in a task, which the XML source does not do.
     """
-    documents = spark.read.text(path, wholetext=True).select(
+    return conf_properties(spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("conf"),
-        F.from_xml("value", schemas.CONF_DOCUMENT.simpleString(),
-                   {"ignoreSurroundingSpaces": "false"}).alias("doc"))
-    return documents.select("path", "conf", F.explode("doc.property").alias("p")).select(
-        "path", "conf", "p.name", "p.value")
+        F.col("value").alias("xml")))
 
 
 def read_job_confs(spark, path):

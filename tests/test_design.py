@@ -100,18 +100,20 @@ def test_sinks(spark, folder, tmp_path):
     grid = design.expand_design(rows)
     writers.write_design(grid, str(tmp_path / "design"), 3)
 
-    def block(n):
-        parts = sorted((tmp_path / "design" / f"file_no={n}").glob("part-*"))
-        return "".join(p.read_text() for p in parts).splitlines()
-
-    assert block(0)[0] == "EXPT_ID\tjar_path\tmapred.reduce.tasks\tinput\topts"
-    assert block(0)[2] == "EXPT-0001\t/a.jar\t10\t/a 1\t y "
-    assert [line.split("\t")[0] for line in block(0)[1:]] == [f"EXPT-{i:04d}" for i in range(12)]
-    assert block(1) == ["EXPT_ID\tio.sort.mb", *[f"EXPT-{11 + i:04d}\t{i}" for i in range(1, 5)]]
+    parts = sorted((tmp_path / "design").glob("part-*"))
+    blocks = "".join(p.read_text() for p in parts).split("\n\n")
+    first, second, rest = (b.splitlines() for b in blocks)
+    assert len(parts) > 1 and rest == []
+    assert first[0] == "EXPT_ID\tjar_path\tmapred.reduce.tasks\tinput\topts"
+    assert first[2] == "EXPT-0001\t/a.jar\t10\t/a 1\t y "
+    assert [line.split("\t")[0] for line in first[1:]] == [f"EXPT-{i:04d}" for i in range(12)]
+    assert second == ["EXPT_ID\tio.sort.mb", *[f"EXPT-{11 + i:04d}\t{i}" for i in range(1, 5)]]
     writers.write_run_confs(grid, str(tmp_path / "confs"))
     back = specs.read_run_confs(spark, str(tmp_path / "confs"))
     kept = grid.filter("type = 'MAPREDUCE_JOBCONF'").select("expt_id", "param", "value")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, kept.collect()))
+    documents = specs.conf_properties(writers.run_conf_documents(grid))
+    assert sorted(map(tuple, documents.collect())) == sorted(map(tuple, kept.collect()))
     writers.write_run_list(design.run_order(design.design_ids(grid)), str(tmp_path / "list"), 2)
     listed = specs.read_run_list(spark, str(tmp_path / "list"))
     assert listed.count() == 16

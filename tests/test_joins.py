@@ -32,6 +32,12 @@ def test_strategies_agree(sides, capsys):
     assert "BroadcastHashJoin" in plan(jobs.JOBS["MapJoin"](left, 1, right, 2), capsys)
 
 
+def test_salted_join_keeps_copies(spark):
+    left = spark.range(5).select(F.col("id").alias("a"))
+    right = spark.range(900).select((F.col("id") % 3 * 0 + 2).alias("b"))
+    assert joins.join_by_position(left, 1, right, 1, "salted").count() == 900
+
+
 def test_a_side_beyond_the_limit_is_not_broadcast(sides, capsys):
     left, right = sides
     assert not fits_broadcast(left, 100)

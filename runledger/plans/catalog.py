@@ -15,7 +15,7 @@ from runledger.sources import generate
 from runledger.sources.lines import read_client_logs
 from runledger.sources.specs import (
     conf_properties, parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
-from runledger.sources.tables import read_table
+from runledger.sources.tables import read_table, spread
 from runledger.sources.wiki import read_wiki_xml
 from runledger.streaming import monitor as stream
 
@@ -24,10 +24,14 @@ RECORDS_PER_TASK = 10_000_000
 TEXT_BYTES_PER_TASK = 500 * 1024 * 1024
 
 
+def _events(spark, sf):
+    return spread(read_table(spark, sf, "events"))
+
+
 # ---- attempt logs -----------------------------------------------------------
 
 def attempt_lines(spark, sf, **options):
-    return render.attempt_lines(read_table(spark, sf, "events"), **options)
+    return render.attempt_lines(_events(spark, sf), **options)
 
 
 def attempt_times(spark, sf):
@@ -76,12 +80,12 @@ def logs_for_runs(spark, sf):
 
 
 def shuffle_transfers(spark, sf):
-    lines = render.transfer_lines(read_table(spark, sf, "events"))
+    lines = render.transfer_lines(_events(spark, sf))
     return attempts.shuffle_transfers(lines).select("host", "attempt_id", "line_no")
 
 
 def latest_attempts(spark, sf):
-    files = render.attempt_files(read_table(spark, sf, "events"))
+    files = render.attempt_files(_events(spark, sf))
     newest = attempts.latest_attempts(files)
     return ordering.with_ordinal(newest, [F.desc("modified"), "host", "attempt_id"],
                                  name="position", collapse_copies=False)
@@ -90,7 +94,7 @@ def latest_attempts(spark, sf):
 # ---- client logs ------------------------------------------------------------
 
 def client_lines(spark, sf):
-    return render.client_lines(read_table(spark, sf, "events"))
+    return render.client_lines(_events(spark, sf))
 
 
 def job_ids(spark, sf):
@@ -98,7 +102,7 @@ def job_ids(spark, sf):
 
 
 def run_job_map(spark, sf):
-    runs = render.runs_of(read_table(spark, sf, "events"))
+    runs = render.runs_of(_events(spark, sf))
     return clientlogs.run_job_map(runs, job_ids(spark, sf))
 
 
@@ -108,7 +112,7 @@ def job_run_times(spark, sf):
 
 def client_log_files(spark, sf):
     """Write the client output of 200 runs to their folders, scan it back, time the jobs."""
-    lines = render.client_lines(read_table(spark, sf, "events"), RUN_FOLDERS)
+    lines = render.client_lines(_events(spark, sf), RUN_FOLDERS)
     path = scratch_path(spark, "client-logs")
     ordered = lines.repartitionByRange(shuffle_partitions(spark), "expt_id", "line_no").sortWithinPartitions(
         "expt_id", "line_no")
@@ -146,7 +150,7 @@ def sort_stats(spark, sf):
 # ---- designs ----------------------------------------------------------------
 
 def specs(spark, sf, table="customer", key="c_custkey"):
-    return parse_param_specs(render.spec_documents(read_table(spark, sf, table), key))
+    return parse_param_specs(render.spec_documents(spread(read_table(spark, sf, table).select(key)), key))
 
 
 def grid(spark, sf, table="customer", key="c_custkey"):
@@ -237,7 +241,7 @@ def total_sort(spark, sf):
 
 
 def word_count(spark, sf):
-    return jobs.word_count(read_table(spark, sf, "documents"), "text")
+    return jobs.word_count(spread(read_table(spark, sf, "documents").select("text")), "text")
 
 
 def _part_lineitem(spark, sf):
@@ -307,7 +311,7 @@ def _listed(events):
 
 
 def unify(spark, sf):
-    events = read_table(spark, sf, "events")
+    events = _events(spark, sf)
     return reshape.unify(render.artifacts(events), _listed(events), "userlogs")
 
 
@@ -328,7 +332,7 @@ def jobs_with_conf(spark, sf):
 # ---- monitor ----------------------------------------------------------------
 
 def iostat(spark, sf, **options):
-    return render.iostat_lines(read_table(spark, sf, "events"), **options)
+    return render.iostat_lines(_events(spark, sf), **options)
 
 
 def disk_samples(spark, sf):
@@ -345,7 +349,7 @@ def cpu_samples_timed(spark, sf):
 
 
 def memory_samples(spark, sf):
-    lines = render.vmstat_lines(read_table(spark, sf, "events"))
+    lines = render.vmstat_lines(_events(spark, sf))
     return monitor.memory_samples(lines).select("host", "line_no", *monitor.MEMORY)
 
 
@@ -462,17 +466,17 @@ def tsv_roundtrip(spark, sf):
 
 
 def sequence_roundtrip(spark, sf):
-    pages = read_table(spark, sf, "pages")
+    rows = read_table(spark, sf, "pages").select("page_id", "url")
     path = scratch_path(spark, "sequence")
     writers.write_sequence(
-        corpus.repack(pages, corpus.doc_numbers(pages)), "docno", "url", path)
+        corpus.repack(rows, corpus.doc_numbers(rows)), "docno", "url", path)
     return writers.read_sequence(spark, path, "docno long, url string")
 
 
 # ---- corpus -----------------------------------------------------------------
 
 def pages(spark, sf):
-    return read_table(spark, sf, "pages")
+    return spread(read_table(spark, sf, "pages"))
 
 
 def wiki_dump(spark, sf):

@@ -17,3 +17,14 @@ def read_tpch(spark, path, table, fmt="csv", sep="|", wide_keys=False):
 
 def read_table(spark, directory, table):
     return spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet")
+
+
+def spread(df):
+    """Give a scan with fewer tasks than cores one task per core.
+
+    For tables that are small in bytes and costly per row, like documents to
+    parse. A table with a task for every core stays as it is, so a large one is
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

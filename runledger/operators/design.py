@@ -149,6 +149,7 @@ def stats_row(design):
     word = F.coalesce(F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)), F.lit(""))
     settings = design.filter(F.col("type") == JOB_CONF).select(
         "expt_id", "run_no", F.struct("pos", word.alias("word")).alias("setting"))
-    return settings.groupBy("expt_id", "run_no").agg(
+    return settings.groupBy("expt_id").agg(
+        F.first("run_no").alias("run_no"),
         F.sort_array(F.collect_list("setting")).alias("settings")
     ).select("expt_id", "run_no", F.col("settings.word").alias("settings"))

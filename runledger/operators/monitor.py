@@ -13,6 +13,7 @@ from runledger.operators.ordering import chunk_of
 # The marks that tell the line kinds apart, and the columns.
 DEVICE = "sda2"
 CPU_HEADER = "avg-cpu"
+CPU_COLUMNS = "%user"
 MEMORY_HEADER = "sw"
 DISK = ["mb_read", "mb_write"]
 CPU = ["user", "nice", "system", "iowait", "steal", "idle"]
@@ -81,10 +82,17 @@ def _line_time(timed):
     return F.timestamp_seconds(second).alias("_ts")
 
 
-def cpu_shaped(lines, timed=False):
-    """CPU lines by their shape alone: six numbers. For streams, which have no next line."""
-    parsed = _cpu_values(lines, timed).filter(
-        F.col("_cpu").isNotNull() & (F.size("_words") == len(CPU) + (1 if timed else 0)))
+def cpu_report_samples(reports, timed=False):
+    """The line after every CPU header, from captures that are cut at the headers.
+
+    The text in front of the first header of a file carries no column names and
+    gives no row, nor does a line that is not six numbers.
+    """
+    parts = F.split("report", "\r?\n", 3)
+    lines = reports.filter(F.get(parts, F.lit(0)).contains(CPU_COLUMNS)).select(
+        *_kept(reports, "report"), F.get(parts, F.lit(1)).alias("line"))
+    parsed = _cpu_values(lines.filter(F.col("line").isNotNull()), timed).filter(
+        F.col("_cpu").isNotNull())
     kept = _kept(lines, "line")
     return parsed.select(*kept, _line_time(timed), "_cpu").select(*kept, *_cpu_columns(timed))
 
@@ -92,6 +100,9 @@ def cpu_shaped(lines, timed=False):
 def cpu_samples(lines, timed=False, chunk_width=LINES_PER_CHUNK):
     """The line after every CPU header; lines that are not six numbers give no row.
 
+    For lines that are in a table already. Files are better read cut at the
+    headers, see cpu_report_samples, which needs no shuffle.
+
     A capture is cut in chunks of line numbers, so a host that holds most of the
     lines is shared by many tasks. Inside a chunk a window finds the next line.
     A header that ends its chunk takes the first line of the next one: the first

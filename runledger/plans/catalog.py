@@ -12,7 +12,7 @@ from runledger.plans import render
 from runledger.session import scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
-from runledger.sources.lines import read_client_logs
+from runledger.sources.lines import read_client_logs, read_cpu_reports
 from runledger.sources.specs import (
     conf_properties, parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
 from runledger.sources.tables import read_table, spread
@@ -370,13 +370,21 @@ def cpu_summary(spark, sf):
 
 
 def _capture_files(spark, sf):
+    """Captures as files. Lines of one report share the range key, so every file
+    starts with a whole report."""
     path = scratch_path(spark, "captures")
-    lines = iostat(spark, sf, timed=True)
-    lines.repartitionByRange(shuffle_partitions(spark), "capture", "line_no").select(
-        "capture", "line").write.partitionBy("capture").text(path)
+    report = F.call_function("div", F.col("line_no"), F.lit(render.REPORT_LINES))
+    lines = iostat(spark, sf, timed=True).withColumn("report", report)
+    lines.repartitionByRange(shuffle_partitions(spark), "capture", "report").sortWithinPartitions(
+        "capture", "line_no").select("capture", "line").write.partitionBy("capture").text(path)
     return path
 
 
+def cpu_report_files(spark, sf):
+    reports = read_cpu_reports(spark, _capture_files(spark, sf))
+    return monitor.cpu_report_samples(reports, timed=True)
+
+
 def stream_samples(spark, sf):
     samples = stream.stream_samples(spark, _capture_files(spark, sf), "disk")
     return stream.drain_samples(samples)
@@ -537,7 +545,8 @@ QUERIES = [
     spec_values, spec_violations, run_order, run_order_shuffled, union_designs, design_tsv,
     run_conf_documents, run_confs_roundtrip, total_sort, word_count, join_merge, join_broadcast, join_salted,
     join_partsupp, merge_horizontal, pair_runs, resolve_profiles, unify, unify_last_wins,
-    jobs_with_conf, disk_samples, cpu_samples, cpu_samples_timed, memory_samples,
+    jobs_with_conf, disk_samples, cpu_samples, cpu_samples_timed, cpu_report_files,
+    memory_samples,
     monitor_summary, cpu_summary, stream_samples, stream_cpu_samples, stream_utilisation,
     gen_tpch, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
     run_output_roundtrip, tsv_roundtrip, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,

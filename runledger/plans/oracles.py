@@ -128,6 +128,8 @@ HOST = "'node-' || (user_id % 8)"
 CPU = """value as "user", 0.1::double as nice, value / 2 as system, 1.5::double as iowait,
          0.0::double as steal, 100 - value as idle"""
 SECOND = "date_trunc('second', ts)"
+CPU_REPORTS = f"""select {HOST} as host, {SECOND} as ts, {CPU} from events
+where event_type <> 'error'"""
 
 EDGES = """
 edges as (
@@ -325,8 +327,8 @@ ORACLES = {
         from events where event_type <> 'error' group by 1""",
     "stream_samples": f"""select {HOST} as host, {SECOND} as ts, value as mb_read,
         value * 2 as mb_write from events""",
-    "stream_cpu_samples": f"""select {HOST} as host, {SECOND} as ts, {CPU} from events
-        where event_type <> 'error'""",
+    "stream_cpu_samples": CPU_REPORTS,
+    "cpu_report_files": CPU_REPORTS,
     "stream_utilisation": f"""select date_trunc('hour', ts) as window_start, {HOST} as host,
         count(*) as samples, round(avg(value), 7) as avg_mb_read, max(value) as max_mb_read,
         round(avg(value * 2), 7) as avg_mb_write, max(value * 2) as max_mb_write

@@ -11,6 +11,7 @@ from runledger.functions.text import run_id
 
 JOB_STAMP = "202401010000"
 LINES_PER_ATTEMPT = 12
+REPORT_LINES = 8
 CPU_HEADER = "avg-cpu:  %user   %nice %system %iowait  %steal   %idle"
 DISK_HEADER = "Device:            tps    MB_read/s    MB_wrtn/s    MB_read    MB_wrtn"
 SWAP_HEADER = "procs -----------memory---------- ---swap-- -----io---- --system-- -----cpu------"
@@ -118,7 +119,7 @@ def _captures(events, prefix, lines, timed):
         F.unix_timestamp("ts").alias("second"), "event_id", F.posexplode(lines).alias("pos", "line"))
     line = F.concat_ws(" ", F.col("second").cast("string"), "line") if timed else F.col("line")
     return rows.filter(F.col("line").isNotNull()).select(
-        "host", "capture", (F.col("event_id") * 8 + F.col("pos")).alias("line_no"),
+        "host", "capture", (F.col("event_id") * REPORT_LINES + F.col("pos")).alias("line_no"),
         line.alias("line"))
 
 

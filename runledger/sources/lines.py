@@ -10,6 +10,8 @@ CAPTURE_PATTERN = r"(?:iostat|vmstat)_output-([^/]+)"
 MONITOR_FILES = {"disk": "*iostat_output-*", "cpu": "*iostat_output-*",
                  "memory": "*vmstat_output-*"}
 
+CPU_MARK = "avg-cpu:"
+
 _UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
           "g": 1 << 30, "gb": 1 << 30}
 
@@ -85,6 +87,24 @@ def read_monitor(spark, directory, kind):
         host=CAPTURE_PATTERN, capture=r"([^/]+/[^/]+)$")
 
 
+def cpu_reports(reader, directory):
+    """Captures cut at every CPU header, from a batch or stream reader.
+
+    A record starts right behind a header's mark and runs up to the next one,
+    so the line after the header is in the same row and no order of lines is
+    needed.
+    """
+    records = reader.option("lineSep", CPU_MARK).load(
+        f"{directory.rstrip('/')}/{MONITOR_FILES['cpu']}")
+    return records.select(
+        F.regexp_extract(F.col("_metadata.file_path"), CAPTURE_PATTERN, 1).alias("host"),
+        F.col("value").alias("report"))
+
+
+def read_cpu_reports(spark, directory):
+    return cpu_reports(spark.read.format("text"), directory)
+
+
 def read_artifacts(spark, base, kind):
     """Lines of one kind of artifact of every run: `<base>/EXPT-dddd/<kind>/<file>`."""
     return read_lines(spark, f"{base.rstrip('/')}/EXPT-*/{kind}/*",

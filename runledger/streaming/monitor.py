@@ -4,22 +4,23 @@ from pyspark.sql import functions as F
 
 from runledger.operators import monitor
 from runledger.session import scratch_path
-from runledger.sources.lines import CAPTURE_PATTERN, MONITOR_FILES
+from runledger.sources.lines import CAPTURE_PATTERN, MONITOR_FILES, cpu_reports
 
-_PARSERS = {"disk": monitor.disk_samples, "memory": monitor.memory_samples,
-            "cpu": monitor.cpu_shaped}
+_PARSERS = {"disk": monitor.disk_samples, "memory": monitor.memory_samples}
 
 
 def stream_samples(spark, directory, kind, files_per_trigger=None):
     """Typed samples of timed captures as the files arrive.
 
-    A CPU line is known by its shape here: a stream has no next line.
+    A stream has no next line, so CPU captures are cut at their headers.
     """
     if kind not in MONITOR_FILES:
         raise ValueError(f"unknown monitor kind {kind!r}")
     reader = spark.readStream.format("text").schema("value string")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if kind == "cpu":
+        return monitor.cpu_report_samples(cpu_reports(reader, directory), timed=True)
     lines = reader.load(f"{directory.rstrip('/')}/{MONITOR_FILES[kind]}").select(
         F.regexp_extract(F.col("_metadata.file_path"), CAPTURE_PATTERN, 1).alias("host"),
         F.col("value").alias("line"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.operators import monitor
-from runledger.sources.lines import read_monitor
+from runledger.sources.lines import read_cpu_reports, read_monitor
 from runledger.streaming import monitor as stream
 
 HEADER = "avg-cpu:  %user   %nice %system %iowait  %steal   %idle"
@@ -82,12 +82,31 @@ def test_capture_files_and_stream_agree(spark, tmp_path):
         assert sorted(map(tuple, rows.select(streamed.columns).collect())) == sorted(
             map(tuple, streamed.collect()))
         assert {r.host for r in streamed.collect()} == {"n1", "n2"}
-    shaped = stream.drain_samples(stream.stream_samples(spark, str(tmp_path), "cpu"))
-    assert shaped.filter("host = 'n1'").count() == 3
+    cpu = stream.drain_samples(stream.stream_samples(spark, str(tmp_path), "cpu"))
+    found = [(r.ts.timestamp(), r.user, r.idle)
+             for r in cpu.filter("host = 'n1'").orderBy("ts").collect()]
+    assert found == [(103, 15.48, 51.15), (110, 1.0, 6.0)]
     with pytest.raises(ValueError, match="kind"):
         read_monitor(spark, str(tmp_path), "net")
 
 
+@pytest.mark.parametrize("split", [64, 100, 1000])
+def test_reports_are_cut_right_over_splits(spark, tmp_path, split):
+    write(tmp_path, "iostat_output-n1", IOSTAT * 20)
+    old = {k: spark.conf.get(k) for k in
+           ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in old:
+            spark.conf.set(key, f"{split}b")
+        cut = monitor.cpu_report_samples(read_cpu_reports(spark, str(tmp_path)))
+        by_line = monitor.cpu_samples(read_monitor(spark, str(tmp_path), "cpu"), chunk_width=7)
+        assert cut.count() == by_line.count() == 40
+        assert sorted(r.user for r in cut.collect()) == sorted(r.user for r in by_line.collect())
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
 

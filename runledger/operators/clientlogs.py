@@ -15,8 +15,15 @@ def extract_job_ids(lines):
 
 
 def run_job_map(runs, ids):
-    """One row per run and job; a run without a job stays with a NULL job."""
-    return runs.select("expt_id").distinct().join(ids, "expt_id", "left")
+    """One row per run and job; a run without a job stays with a NULL job.
+
+    Two joins in place of one outer join: the side with the jobs is then always
+    one that adaptive execution may split, should one run hold most of them.
+    """
+    listed = runs.select("expt_id").distinct()
+    started = ids.join(listed, "expt_id", "left_semi")
+    idle = listed.join(ids, "expt_id", "left_anti")
+    return started.unionByName(idle.withColumn("job_id", F.lit(None).cast("string")))
 
 
 def job_run_times(lines):
@@ -41,9 +48,11 @@ def job_run_times(lines):
 
 def experiment_stats(settings, jobs, times):
     """Settings, job and run time of every run that has settings and an output."""
+    # The join on both keys comes first: it spreads the jobs of a run, and leaves
+    # the join on the run alone last, where skewed partitions can be split.
+    timed = jobs.join(times.select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
     # A grid has far more rows than the size of its specification tells the
     # planner, so it must not be picked for a broadcast.
-    stats = settings.hint("merge").join(jobs, "expt_id").hint("merge").join(
-        times.select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
+    stats = settings.hint("merge").join(timed, "expt_id")
     row = F.concat_ws(",", "settings", F.coalesce(F.col("seconds").cast("string"), F.lit("")))
     return stats.select("expt_id", "job_id", "settings", "seconds", row.alias("row"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators.ordering import with_ordinal
-from runledger.session import materialise
+from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise
 
 NEIGHBOURS_PER_ROW = 100_000
 HREF = r'href="([^"]+)"'
@@ -62,22 +62,32 @@ def link_edges(pages, pattern, source, column="text"):
     return pages.select(F.col(source).alias("src"), F.explode(targets).alias("dst")).distinct()
 
 
-def adjacency(edges, neighbours_per_row=NEIGHBOURS_PER_ROW):
+def adjacency(edges, neighbours_per_row=NEIGHBOURS_PER_ROW, limit=BROADCAST_LIMIT, salts=64):
     """Sorted distinct neighbours of every node, as (node, part, neighbours).
 
     A node with more neighbours than fit one row gets several parts, each with
     the neighbours of one hash share, so no row or task holds a whole hub. All
-    others have the single part 0. The nodes to cut are at most the number of
-    edges over the row limit; adaptive execution picks the join by their size.
+    others have the single part 0. Edges are written once, as they are read for
+    the degrees and for the lists. The hubs, at most one per
+    `neighbours_per_row` edges, are broadcast when their measured size is within
+    `limit`; beyond it every edge joins on its node and a salt, so that a hub's
+    edges never meet in one task.
     """
-    links = edges.select("src", "dst").distinct()
-    hubs = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(
-        F.col("degree") > neighbours_per_row)
+    links = materialise(edges.select("src", "dst").distinct(), "edges")
+    hubs = materialise(
+        links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(
+            F.col("degree") > neighbours_per_row), "hubs")
+    if fits_broadcast(hubs, limit):
+        marked = links.join(F.broadcast(hubs), "src", "left")
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        salt = F.pmod(F.xxhash64("dst", F.lit("salt")), F.lit(salts)).cast("int")
+        marked = links.withColumn("salt", salt).hint("merge").join(
+            hubs.withColumn("salt", every), ["src", "salt"], "left")
     parts = F.ceil(F.col("degree") / neighbours_per_row)
     part = F.when(F.col("degree").isNotNull(), F.pmod(F.xxhash64("dst"), parts)).otherwise(0)
-    return links.join(hubs, "src", "left").groupBy(
-        F.col("src").alias("node"), part.cast("long").alias("part")
-    ).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+    return marked.groupBy(F.col("src").alias("node"), part.cast("long").alias("part")).agg(
+        F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
 def bfs_encode(lists, source):

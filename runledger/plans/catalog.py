@@ -73,10 +73,9 @@ def job_summary(spark, sf):
 
 
 def logs_for_runs(spark, sf):
-    lines = attempt_lines(spark, sf)
-    wanted = attempts.with_attempt_parts(lines.select("attempt_id").distinct()).filter(
-        F.regexp_extract("job_id", r"(\d)$", 1).cast("int") % 2 == 0).select("job_id")
-    return attempts.logs_for_runs(lines, wanted).select("host", "attempt_id", "line_no")
+    """Attempt lines of the jobs that the client logs name."""
+    return attempts.logs_for_runs(attempt_lines(spark, sf), job_ids(spark, sf)).select(
+        "host", "attempt_id", "line_no")
 
 
 def shuffle_transfers(spark, sf):
@@ -306,13 +305,9 @@ def resolve_profiles(spark, sf):
     return reshape.resolve_profiles(line, by_run.union(by_job))
 
 
-def _listed(events):
-    return render.runs_of(events).filter(F.col("run_order") % 2 == 0)
-
-
 def unify(spark, sf):
     events = _events(spark, sf)
-    return reshape.unify(render.artifacts(events), _listed(events), "userlogs")
+    return reshape.unify(render.artifacts(events), render.started_runs(events), "userlogs")
 
 
 def unify_last_wins(spark, sf):

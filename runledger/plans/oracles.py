@@ -106,7 +106,8 @@ NATION_GRID = _grid("nation", "n_nationkey", "other")
 
 SIZES = "(1 + c_custkey % 3) * (1 + c_custkey % 2) * 2"
 
-ARTIFACTS = RUNS + f""",
+ARTIFACTS = f"""
+runs as (select distinct user_id as run_order from events where event_type = 'click'),
 artifacts as (
   select user_id as run_order, {_run('user_id')} as expt_id, kind,
          kind || '_' || slot as file_name, max(value) as content
@@ -119,7 +120,7 @@ artifacts as (
 unified as (
   select a.expt_id, a.kind, a.file_name, a.content, a.run_order
   from artifacts a join runs r using (run_order)
-  where a.kind = 'userlogs' and run_order % 2 = 0)"""
+  where a.kind = 'userlogs')"""
 
 JOIN = """select p_partkey, p_name, p_brand, l_orderkey, l_partkey, l_quantity
 from part join lineitem on p_partkey = l_partkey"""
@@ -190,7 +191,9 @@ ORACLES = {
                round(avg(seconds), 7) as avg_seconds, max(seconds) as max_seconds
         from outcome group by job_id, phase""",
     "logs_for_runs": f"""with {LINES}
-        select host, attempt_id, event_id as line_no from lines where (g % 10) % 2 = 0""",
+        select host, attempt_id, event_id as line_no from lines
+        where g % 10 in (select user_id * 10 + event_id % 3 from events
+                         where event_type = 'click')""",
     "shuffle_transfers": f"""with {LINES}
         select host, attempt_id, event_id as line_no from lines
         where phase = 'r' and event_type in ('view', 'error')""",

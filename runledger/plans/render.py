@@ -108,6 +108,13 @@ def runs_of(events):
         run_id(F.col("user_id")).alias("expt_id"), F.col("user_id").alias("run_order"))
 
 
+def started_runs(events):
+    """The runs that started a job, in run order."""
+    users = events.filter(F.col("event_type") == "click").select("user_id").distinct()
+    return users.select(run_id(F.col("user_id")).alias("expt_id"),
+                        F.col("user_id").alias("run_order"))
+
+
 def _host(events):
     return F.format_string("node-%d", F.col("user_id") % 8)
 

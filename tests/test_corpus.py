@@ -38,10 +38,11 @@ def test_html(spark):
         corpus.plain_text(pages, "tex")
 
 
-def test_hubs_are_cut_and_stay_whole(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_hubs_are_cut_and_stay_whole(spark, limit):
     pairs = [("hub", i) for i in range(95)] + [("leaf", 1), ("leaf", 1), ("leaf", 0)]
     edges = spark.createDataFrame(pairs, "src string, dst int")
-    rows = corpus.adjacency(edges, neighbours_per_row=10).collect()
+    rows = corpus.adjacency(edges, neighbours_per_row=10, limit=limit).collect()
     hub = [r for r in rows if r.node == "hub"]
     assert len(hub) > 5 and max(len(r.neighbours) for r in hub) < 40
     assert sorted(n for r in hub for n in r.neighbours) == list(range(95))

@@ -127,11 +127,11 @@ def manifest_roundtrip(spark, sf):
 
 
 def experiment_stats(spark, sf):
-    runs = grid(spark, sf, "supplier", "s_suppkey")
+    """Runs that have both settings and client output, with their jobs and run times."""
     lines = client_lines(spark, sf)
     stats = clientlogs.experiment_stats(
-        design.stats_row(runs),
-        clientlogs.run_job_map(design.design_ids(runs), clientlogs.extract_job_ids(lines)),
+        design.stats_row(grid(spark, sf, "supplier", "s_suppkey")),
+        clientlogs.run_job_map(lines, clientlogs.extract_job_ids(lines)),
         clientlogs.job_run_times(lines))
     return stats.select("expt_id", "job_id", "seconds", "row")
 

@@ -216,6 +216,7 @@ ORACLES = {
                task || ',' || trim(sort_mb) || ',' || split_part(opt, ' ', 1) || ',' ||
                coalesce(t.seconds::varchar, '') as row
         from (select *, {_run('run_no')} as expt_id from grid_runs) r
+        join (select distinct expt_id from client) c on c.expt_id = r.expt_id
         left join ids i on i.expt_id = r.expt_id
         left join job_times t on t.expt_id = i.expt_id and t.job_id = i.job_id""",
     "sort_stats": f"""with {SUPPLIER_GRID}

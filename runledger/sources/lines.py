@@ -62,6 +62,17 @@ def read_attempt_logs(spark, path):
         F.col("attempt_id") != "")
 
 
+def attempt_glob(base, job_id=None, phase=None):
+    """Path pattern of all attempt logs, or of one job or phase.
+
+    Line numbers stand in the way of pushing a filter on the attempt into the
+    scan, so a reader of few jobs should name them here: other files are then
+    never opened.
+    """
+    job = job_id.removeprefix("job_") if job_id else "*"
+    return f"{base.rstrip('/')}/*/attempt_{job}_{phase or '[mr]'}_*/syslog"
+
+
 def attempt_files(spark, path):
     """One row per attempt log file with its size and time; contents are not read.
 

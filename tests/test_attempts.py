@@ -138,6 +138,21 @@ def test_logs_are_read_in_file_order_over_many_splits(spark, tmp_path):
     assert [r.host for r in newest] == ["hostA", "hostB"]
 
 
+def test_glob_opens_only_the_logs_of_a_job(spark, tmp_path):
+    for attempt in (A, R, R.replace("_r_", "_m_")):
+        folder = tmp_path / "hostA" / attempt
+        folder.mkdir(parents=True)
+        (folder / "syslog").write_text(START + "\n")
+
+    def found(*args):
+        rows = sources.read_attempt_logs(spark, sources.attempt_glob(str(tmp_path), *args))
+        return {r.attempt_id for r in rows.collect()}
+
+    assert found() == {A, R, R.replace("_r_", "_m_")}
+    assert found("job_201001052153_0021") == {R, R.replace("_r_", "_m_")}
+    assert found("201001052153_0021", "r") == {R}
+
+
 def test_attempt_facts_use_one_hash_aggregation(spark, capsys):
     attempts.attempt_times(log(spark, [START, DONE])).explain()
     plan = capsys.readouterr().out

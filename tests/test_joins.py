@@ -68,3 +68,11 @@ def test_word_count(spark):
     lines = spark.createDataFrame([(" a b\tA\n\nb ",), ("",), ("b\x0bc",)], "line string")
     found = {r.word: r.n for r in jobs.JOBS["wordcount"](lines).collect()}
     assert found == {"a": 1, "b": 2, "A": 1, "b\x0bc": 1}
+
+
+def test_spread_only_when_cores_would_idle(spark):
+    from runledger.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    wide = spark.range(10, numPartitions=cores + 3)
+    assert spread(wide) is wide

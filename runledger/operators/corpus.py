@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators.ordering import with_ordinal
-from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise
+from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise, row_bytes
 
 NEIGHBOURS_PER_ROW = 100_000
 HREF = r'href="([^"]+)"'
@@ -95,33 +95,28 @@ def bfs_encode(lists, source):
     return lists.withColumn("dist", F.when(F.col("node") == F.lit(source), 0))
 
 
-def bfs(edges, source, max_iter=None):
+def bfs(edges, source, max_iter=None, limit=BROADCAST_LIMIT):
     """Hops from the source to every node it reaches.
 
-    Each round joins the newest nodes with the edges, keeps one row per node
-    and drops the known ones; rounds are written to the shared folder, which
-    cuts the lineage.
+    Each round joins the newest nodes with the edges, keeps one row per node and
+    drops the known ones. Rounds are written to the shared folder, which cuts
+    the lineage. While the newest nodes are measured to be within `limit` they
+    are broadcast, so the edges are not shuffled; a larger round is a shuffled
+    semi join, whose edge side may be split where it is skewed.
     """
     spark = edges.sparkSession
     links = materialise(edges.select("src", "dst").distinct(), "bfs-edges")
     kind = links.schema["src"].dataType
     start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("dist"))
-    frontier = materialise(start, "bfs-0")
-    rounds, step = [frontier], 0
-    while max_iter is None or step < max_iter:
+    newest = known = materialise(start, "bfs-0")
+    size, step = row_bytes(newest), 0
+    while size > 0 and (max_iter is None or step < max_iter):
         step += 1
-        known = rounds[0]
-        for earlier in rounds[1:]:
-            known = known.unionByName(earlier)
-        reached = links.join(frontier, links["src"] == frontier["node"], "left_semi").select(
-            F.col("dst").alias("node")).distinct()
-        fresh = reached.join(known.select("node"), "node", "left_anti").withColumn(
-            "dist", F.lit(step))
-        frontier = materialise(fresh, f"bfs-{step}")
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    found = rounds[0]
-    for later in rounds[1:]:
-        found = found.unionByName(later)
-    return found
+        side = newest.select(F.col("node").alias("src"))
+        reached = links.join(F.broadcast(side) if size <= limit else side, "src", "left_semi")
+        fresh = reached.select(F.col("dst").alias("node")).distinct().join(
+            known.select("node"), "node", "left_anti")
+        newest = materialise(fresh.withColumn("dist", F.lit(step)), f"bfs-{step}")
+        known = known.unionByName(newest)
+        size = row_bytes(newest)
+    return known

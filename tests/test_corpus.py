@@ -61,6 +61,8 @@ def test_bfs_against_a_queue(spark):
                 near[dst] = near[node] + 1
                 queue.append(dst)
     edges = spark.createDataFrame(pairs, "src int, dst int")
-    assert {r.node: r.dist for r in corpus.bfs(edges, 12).collect()} == near
+    for limit in (0, 1 << 20):
+        assert {r.node: r.dist for r in corpus.bfs(edges, 12, limit=limit).collect()} == near
+    assert [tuple(r) for r in corpus.bfs(edges, 77).collect()] == [(77, 0)]
     two = {k: v for k, v in near.items() if v <= 2}
     assert {r.node: r.dist for r in corpus.bfs(edges, 12, max_iter=2).collect()} == two

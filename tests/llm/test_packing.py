@@ -1,0 +1,109 @@
+"""Packing and the encoder against the tokenizer itself."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from runledger.llm import bpe, packing
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    found = Tokenizer.from_file(PATH)
+    found.encode_special_tokens = True
+    return found
+
+
+def ids_of(tokenizer, text):
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_equals_tokenizer(tokenizer, seed):
+    rng = random.Random(seed)
+    parts = ["a", "s", "t", "ll", "re", "'", " ", "\n", "\t", "!", "1", "é", "  ", "\u2003", "\u3000", "日本",
+             "'s", "'ve", "<|endoftext|>", "d", "\x00", "¼", "\x85", "\x1c", "The", "tokens", "\u0378", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [None, ""]
+    flat, bounds = bpe.Encoder(PATH).rows(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert [*flat[a:b].tolist(), 0] == ids_of(tokenizer, text), repr(text)
+
+
+def test_piece_memory_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES_IN_MEMORY", 10)
+    encoder = bpe.Encoder(PATH)
+    for n in range(5):
+        text = " ".join(f"w{n}x{i}" for i in range(30))
+        assert [*encoder.rows(pa.array([text]))[0].tolist(), 0] == ids_of(tokenizer, text)
+
+
+def check(tokenizer, rows, packed, capacity):
+    """Every id in exactly one piece, sequences gapless and within the capacity."""
+    wanted = sorted(((d, ids_of(tokenizer, t)) for d, t in rows), key=str)
+    by_doc = {}
+    for p in packed:
+        by_doc.setdefault((p.doc_id, p.doc_tokens), []).append(p)
+    assert sum(len(ids) for _, ids in wanted) == sum(p.length for p in packed)
+    for doc_id, ids in wanted:
+        pieces = by_doc[doc_id, len(ids)]
+        found = {(p.start, p.length, p.ids_crc32) for p in pieces}
+        for a in range(0, len(ids), capacity):
+            part = np.array(ids[a:a + capacity], "<u4")
+            assert (a, len(part), zlib.crc32(part.tobytes())) in found
+    by_sequence = {}
+    for p in packed:
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for places in by_sequence.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    return len(by_sequence)
+
+
+def test_pack(spark, tokenizer):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "é", "x"]) for _ in range(rng.choice([0, 3, 40, 300]))))
+            for i in range(200)]
+    rows += [(3, rows[3][1]), (None, "no id"), (900, None), (901, ""), (902, "long " * 5000), (903, "\n" * 63)]
+    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, length string").repartition(5)
+    packed = packing.pack(docs, PATH, capacity=64).collect()
+    count = check(tokenizer, rows, packed, 64)
+    assert sum(p.length for p in packed) >= 0.9 * 64 * (count - 1)
+
+
+def test_sequences(spark, tokenizer):
+    rows = [(i, "word " * i) for i in range(40)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 32, with_ids=True)
+    ids = {r.sequence_id: r for r in packing.sequences(packed, 32).collect()}
+    assert all(len(r.ids) == 32 for r in ids.values())
+    for p in packed.collect():
+        assert ids[p.sequence_id].ids[p.offset:p.offset + p.length] == p.ids
+        assert p.ids == ids_of(tokenizer, rows[p.doc_id][1])[p.start:p.start + p.length]
+
+
+def test_empty(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_patterns_hold_the_histogram(seed):
+    rng = random.Random(seed)
+    histogram = {n: rng.randint(1, 10 ** rng.randint(0, 7)) for n in rng.sample(range(1, 1025), rng.randint(1, 900))}
+    patterns = packing.shortest_pack_first(histogram)
+    found = {}
+    for pattern, count in patterns:
+        assert sum(pattern) <= 1024 and count > 0
+        for n in pattern:
+            found[n] = found.get(n, 0) + count
+    assert found == histogram
+    assert len(patterns) <= 4 * len(histogram)

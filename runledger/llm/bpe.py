@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from runledger.llm.textops import Hasher, mix
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-PIECES_IN_MEMORY = 600_000
+PIECES_IN_MEMORY = 400_000
 # The characters with the White_Space property, and the endings
 # that stand as a piece after an apostrophe.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from runledger.llm import decontam, packing, pii, quality, simhash
+from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, warc, winnow
+from runledger.session import scratch_path
 from runledger.sources.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,14 +40,36 @@ def op3_decontamination(spark, sf):
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op5_warc(spark, sf):
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_fingerprints(spark, sf):
+    return winnow.with_neighbours(_documents(spark, sf)).drop("positions")
+
+
+def op7_licenses(spark, sf):
+    found = licenses.scan(_documents(spark, sf))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op8_simhash(spark, sf):
     found = simhash.near_duplicates(_documents(spark, sf))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_lm(spark, sf):
+    return lm.score(_documents(spark, sf))
+
+
 def op10_quality(spark, sf):
     return quality.score_documents(_documents(spark, sf), read_table(spark, sf, "labels"))
 
 
-QUERIES = [op1_pii, op2_packing, op3_decontamination, op8_simhash, op10_quality]
+QUERIES = [op1_pii, op2_packing, op3_decontamination, op5_warc, op6_fingerprints, op7_licenses, op8_simhash, op9_lm, op10_quality]
 ORACLES = {}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, warc, winnow
+from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, suffixes, warc, winnow
 from runledger.session import scratch_path
 from runledger.sources.tables import read_table
 
@@ -40,6 +40,10 @@ def op3_decontamination(spark, sf):
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op4_suffixes(spark, sf):
+    return suffixes.remove_repeats(_documents(spark, sf)).drop("starts", "ends")
+
+
 def op5_warc(spark, sf):
     folder = scratch_path(spark, "warc")
     warc.write_archives(read_table(spark, sf, "pages"), folder)
@@ -71,5 +75,5 @@ def op10_quality(spark, sf):
     return quality.score_documents(_documents(spark, sf), read_table(spark, sf, "labels"))
 
 
-QUERIES = [op1_pii, op2_packing, op3_decontamination, op5_warc, op6_fingerprints, op7_licenses, op8_simhash, op9_lm, op10_quality]
+QUERIES = [op1_pii, op2_packing, op3_decontamination, op4_suffixes, op5_warc, op6_fingerprints, op7_licenses, op8_simhash, op9_lm, op10_quality]
 ORACLES = {}

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -85,7 +85,7 @@ class Hasher:
 
     def _grow(self, n):
         if len(self._powers) < n:
-            size = max(n, 2 * len(self._powers), 1 << 16)
+            size = (n | 0xFFFFF) + 1
             for name, base in (("_powers", _MULTIPLIER), ("_inverses", _INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1

@@ -24,8 +24,8 @@ from runledger.session import materialise, shuffle_partitions
 
 ORDER = 2
 STRENGTH = 2.0
-SEGMENT_TOKENS = 2_500_000
-GRAMS_PER_BUCKET = 1_000_000
+SEGMENT_TOKENS = 1_250_000
+GRAMS_PER_BUCKET = 500_000
 
 # Stand for the beginning and the end of a text; no word hash can be told apart
 # from them other than by chance, like any two words.
@@ -230,10 +230,10 @@ def score(docs, order=ORDER, strength=STRENGTH):
     """
     segments = materialise(_segments(docs), "lm-segments")
     total = segments.agg(F.sum("n_words").alias("words"), F.sum(F.aggregate(
-        "n_tokens", F.lit(0).cast("long"), lambda a, b: a + b)).alias("tokens")).first()
+        "n_tokens", F.lit(0).cast("long"), lambda a, b: a + b)).alias("tokens"), F.count(F.lit(1)).alias("segments")).first()
     size = (total["words"] or 0) + (order - 1) * (total["tokens"] or 0)
-    parts = shuffle_partitions(docs.sparkSession)
-    buckets = max(parts, -(-size // (order * GRAMS_PER_BUCKET)))
+    parts = max(shuffle_partitions(docs.sparkSession), total["segments"])
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // (order * GRAMS_PER_BUCKET)))
     grams = segments.mapInArrow(_gram_rows(order, buckets), GRAM_SCHEMA)
     grams = grams.repartition(buckets, "place").sortWithinPartitions("n_order", "bucket", "segment")
     answers = materialise(grams.mapInArrow(_count, ANSWER_SCHEMA), "lm-answers")

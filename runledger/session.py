@@ -1,6 +1,7 @@
 """Session set-up, the shared scratch folder and the size check for broadcasts."""
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +30,24 @@ def local_session(cpus=8, memory="8g", **extra):
     return builder.getOrCreate()
 
 
+_SHIPPED = set()
+
+
+def ship_package(spark):
+    """Let Python workers import this package wherever they start; once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="runledger-"), "runledger")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "runledger"))
+        _SHIPPED.add(application)
+
+
+def is_local(master):
+    """Whether driver and executors are one process and share every folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark, label):
     """A fresh path in the shared folder that the cluster names.
 
@@ -37,7 +56,7 @@ def scratch_path(spark, label):
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"runledger-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/runledger/{label}-{uuid.uuid4().hex}"

@@ -116,6 +116,7 @@ def _segments(docs):
                 parts, size, number = [], 0, number + 1
         if parts:
             yield rows_of(parts, number)
+        textops.release()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, SEGMENT_SCHEMA)
 
@@ -124,6 +125,8 @@ def _rows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+        del batch
+        textops.release()
 
 
 def _bounds(distinct, buckets):

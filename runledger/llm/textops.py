@@ -4,6 +4,8 @@ Everything here works on one bounded chunk of whole rows at a time, inside a
 task. Null text counts as empty text throughout.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +45,14 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
             first = last
 
 
+def release():
+    """Give freed memory back to the system: workers are reused, and share it with their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column):
     """(all bytes, row bounds) of a string column; row i is bytes[bounds[i]:bounds[i + 1]]."""
     column = pc.fill_null(column, "").cast(pa.large_string())

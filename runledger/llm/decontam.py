@@ -19,7 +19,7 @@ WINDOW_WORDS = 13
 SLACK_WORDS = 2
 WINDOWS_PER_BLOCK = 100_000
 VOCABULARY_LIMIT = 4_000_000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 2 << 20
 CANDIDATES_PER_STEP = 1 << 20
 
 INDEX_SCHEMA = ("doc_id array<long>, text_key array<long>, first array<long>, n_words array<long>, "
@@ -192,6 +192,7 @@ def _searcher(blocks, slack):
         for batch in batches:
             for i in range(batch.num_rows):
                 yield rows_of({name: batch.column(name)[i].as_py() for name in batch.schema.names})
+            textops.release()
     return run
 
 

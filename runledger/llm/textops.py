@@ -43,6 +43,8 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
             last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+        del batch, sizes
+        release()
 
 
 def release():

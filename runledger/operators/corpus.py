@@ -47,8 +47,8 @@ def plain_text(pages, markup="wiki", column="text"):
 
 
 def doc_numbers(pages, key="page_id"):
-    """Dense document numbers from 1 in key order."""
-    return with_ordinal(pages.select(key), [key], name="docno", collapse_copies=False)
+    """Dense document numbers from 1 in key order; pages with one key share its number."""
+    return with_ordinal(pages.select(key).distinct(), [key], name="docno", collapse_copies=False)
 
 
 def repack(pages, docnos, key="page_id"):

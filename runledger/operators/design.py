@@ -55,11 +55,15 @@ def checked_specs(specs):
     return accepted
 
 
+def _product(counts):
+    """Product of the value counts of one file, a list as long as its properties."""
+    return F.aggregate(counts, F.lit(1).cast("long"), lambda a, b: a * b)
+
+
 def design_size(specs):
-    """Runs per file: the product of the value counts."""
-    return specs.groupBy("file_no").agg(
-        F.product(F.size("value_list")).cast("long").alias("runs"),
-        F.count(F.lit(1)).alias("params"))
+    """Runs per file: the product of the value counts, exact or an overflow error."""
+    counts = F.collect_list(F.size("value_list").cast("long"))
+    return specs.groupBy("file_no").agg(_product(counts).alias("runs"), F.count(F.lit(1)).alias("params"))
 
 
 def design_total(specs):
@@ -81,8 +85,8 @@ def expand_design(specs):
     whole = Window.partitionBy("file_no")
     n = F.size("value_list").cast("long")
     sized = specs.withColumn("_n", n).withColumn(
-        "_inner", F.coalesce(F.product("_n").over(after), F.lit(1.0)).cast("long")
-    ).withColumn("_runs", F.product("_n").over(whole).cast("long"))
+        "_inner", _product(F.collect_list("_n").over(after))
+    ).withColumn("_runs", _product(F.collect_list("_n").over(whole)))
     files = design_size(specs).select("file_no", "runs")
     starts = running_before(
         files, chunk_of("file_no", FILES_PER_CHUNK), ["file_no"], "runs", "_first"
@@ -104,8 +108,8 @@ def expand_design(specs):
 
 
 def design_ids(design):
-    """One row per run."""
-    return design.filter(F.col("pos") == 0).select("expt_id", "run_no", "file_no", "file_run")
+    """One row per run, whatever the places of its parameters; combined before the shuffle."""
+    return design.select("expt_id", "run_no", "file_no", "file_run").distinct()
 
 
 def run_order(runs, seed=None):

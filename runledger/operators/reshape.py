@@ -9,11 +9,14 @@ KINDS = ("history", "userlogs", "profiles", "transfers")
 
 
 def unify(artifacts, runs, kind):
-    """Artifacts of one kind of the listed runs, each with its run id and run order."""
+    """Artifacts of one kind of the listed runs, each with its run id and run order.
+
+    A run that is listed more than once counts at its last place.
+    """
     if kind not in KINDS:
         raise ValueError(f"the kind must be one of {', '.join(KINDS)}")
     return artifacts.filter(F.col("kind") == kind).join(
-        runs.select("expt_id", "run_order"), "expt_id")
+        runs.groupBy("expt_id").agg(F.max("run_order").alias("run_order")), "expt_id")
 
 
 def unify_last_wins(artifacts, name="file_name", order="run_order"):

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from runledger.functions.delimited import read_delimited
 from runledger.functions.sampling import zipf_rank
 from runledger.functions.text import run_id
 from runledger.operators import (
@@ -15,11 +16,10 @@ from runledger.sources import generate
 from runledger.sources.lines import read_client_logs, read_cpu_reports
 from runledger.sources.specs import (
     conf_properties, parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
-from runledger.sources.tables import read_table, spread
+from runledger.sources.tables import read_table, read_tpch, spread
 from runledger.sources.wiki import read_wiki_xml
 from runledger.streaming import monitor as stream
 
-RUN_FOLDERS = 200
 RECORDS_PER_TASK = 10_000_000
 TEXT_BYTES_PER_TASK = 500 * 1024 * 1024
 
@@ -110,8 +110,8 @@ def job_run_times(spark, sf):
 
 
 def client_log_files(spark, sf):
-    """Write the client output of 200 runs to their folders, scan it back, time the jobs."""
-    lines = render.client_lines(_events(spark, sf), RUN_FOLDERS)
+    """Write the client output of every run to its folder, scan it back, time the jobs."""
+    lines = render.client_lines(_events(spark, sf))
     path = scratch_path(spark, "client-logs")
     ordered = lines.repartitionByRange(shuffle_partitions(spark), "expt_id", "line_no").sortWithinPartitions(
         "expt_id", "line_no")
@@ -153,8 +153,8 @@ def specs(spark, sf, table="customer", key="c_custkey"):
 
 
 def grid(spark, sf, table="customer", key="c_custkey"):
-    accepted, _ = design.validate_specs(specs(spark, sf, table, key))
-    return design.expand_design(accepted)
+    """The grid of all files; a file that is not acceptable stops the query."""
+    return design.expand_design(design.checked_specs(specs(spark, sf, table, key)))
 
 
 def design_expand(spark, sf):
@@ -166,11 +166,11 @@ def design_ids(spark, sf):
 
 
 def design_size(spark, sf):
-    return design.design_size(design.validate_specs(specs(spark, sf))[0])
+    return design.design_size(design.checked_specs(specs(spark, sf)))
 
 
 def design_total(spark, sf):
-    return design.design_total(design.validate_specs(specs(spark, sf))[0])
+    return design.design_total(design.checked_specs(specs(spark, sf)))
 
 
 def spec_values(spark, sf):
@@ -465,15 +465,36 @@ def tsv_roundtrip(spark, sf):
     rows = read_table(spark, sf, "customer")
     path = scratch_path(spark, "tsv")
     writers.write_tsv(rows, path)
-    return spark.read.schema(rows.schema).option("sep", "\t").csv(path)
+    return read_delimited(spark, path, rows.schema, "\t")
+
+
+def text_roundtrip(spark, sf):
+    """Texts with line ends, tabs and quotes as TSV and back."""
+    rows = read_table(spark, sf, "documents")
+    path = scratch_path(spark, "tsv")
+    writers.write_tsv(rows, path)
+    return read_delimited(spark, path, rows.schema, "\t")
+
+
+def tpch_scan(spark, sf):
+    """A table folder of delimited text, read back with the declared schema."""
+    rows = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("int"), "c_name", F.lit(None).cast("string").alias("c_address"), "c_nationkey",
+        F.lit("").alias("c_phone"), F.col("c_acctbal").cast("decimal(15,2)"), "c_mktsegment",
+        F.concat(F.lit(" padded | "), F.col("c_name"), F.lit("\n")).alias("c_comment"))
+    path = scratch_path(spark, "tables")
+    writers.write_tables({"customer": rows}, path, 4)
+    return read_tpch(spark, f"{path}/customer", "customer").select(
+        "c_custkey", "c_name", "c_address", "c_nationkey", "c_phone",
+        F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment", "c_comment")
 
 
 def sequence_roundtrip(spark, sf):
-    rows = read_table(spark, sf, "pages").select("page_id", "url")
+    rows = read_table(spark, sf, "pages").select("page_id", "html")
     path = scratch_path(spark, "sequence")
     writers.write_sequence(
-        corpus.repack(rows, corpus.doc_numbers(rows)), "docno", "url", path)
-    return writers.read_sequence(spark, path, "docno long, url string")
+        corpus.repack(rows, corpus.doc_numbers(rows)), "docno", "html", path)
+    return writers.read_sequence(spark, path, "docno long, html string")
 
 
 # ---- corpus -----------------------------------------------------------------
@@ -544,6 +565,6 @@ QUERIES = [
     memory_samples,
     monitor_summary, cpu_summary, stream_samples, stream_cpu_samples, stream_utilisation,
     gen_tpch, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
-    run_output_roundtrip, tsv_roundtrip, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
+    run_output_roundtrip, tsv_roundtrip, text_roundtrip, tpch_scan, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
     link_edges, adjacency, bfs_encode, bfs,
 ]

@@ -206,7 +206,7 @@ ORACLES = {
         select {_run('run_order')} as expt_id, job_id
         from runs left join ids on ids.expt_id = {_run('run_order')}""",
     "job_run_times": f"with {JOB_TIMES} select * from job_times",
-    "client_log_files": f"with {_client('user_id % 200')}{TIMES} select * from job_times",
+    "client_log_files": f"with {_client('user_id')}{TIMES} select * from job_times",
     "manifest_roundtrip": f"""with {JOB_IDS}, {RUNS}
         select {_run('run_order')} as expt_id, job_id
         from runs left join ids on ids.expt_id = {_run('run_order')}""",
@@ -368,7 +368,13 @@ ORACLES = {
     "write_roundtrip": "select * from lineitem",
     "run_output_roundtrip": "select * from orders",
     "tsv_roundtrip": "select * from customer",
-    "sequence_roundtrip": "select row_number() over (order by page_id) as docno, url from pages",
+    "sequence_roundtrip": "select row_number() over (order by page_id) as docno, html from pages",
+    "text_roundtrip": "select * from documents",
+    "tpch_scan": """
+        select c_custkey::int as c_custkey, c_name, null::varchar as c_address, c_nationkey, '' as c_phone,
+               c_acctbal::decimal(15,2)::double as c_acctbal, c_mktsegment,
+               ' padded | ' || c_name || chr(10) as c_comment
+        from customer""",
     "wiki_dump": "select page_id, url as title, html as text from pages",
     "plain_text": f"select page_id, {PLAIN} as plain from pages",
     "doc_numbers": "select page_id, row_number() over (order by page_id) as docno from pages",

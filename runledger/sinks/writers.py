@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from runledger.functions import delimited
 from runledger.functions.text import run_id
 from runledger.operators.design import JOB_CONF
 from runledger.session import shuffle_partitions
@@ -26,10 +27,10 @@ def write_tables(tables, directory, num_files, fmt="csv", compression=None, plac
             df = df.coalesce(1)
         elif not placed:
             df = df.repartition(num_files)
-        writer = _writer(df, compression)
+        writer = _writer(delimited.escaped(df) if fmt == "csv" else df, compression)
         path = f"{directory.rstrip('/')}/{name}"
         if fmt == "csv":
-            writer.option("sep", "|").csv(path)
+            writer.options(**delimited.WRITE_OPTIONS).option("sep", "|").csv(path)
         else:
             writer.format(fmt).save(path)
 
@@ -127,7 +128,8 @@ def write_manifest(job_map, path, compression=None):
 
 
 def write_tsv(df, path, compression=None):
-    _writer(df, compression).option("sep", "\t").csv(path)
+    """Tab-separated rows; `read_delimited` gives back the same values."""
+    _writer(delimited.escaped(df), compression).options(**delimited.WRITE_OPTIONS).option("sep", "\t").csv(path)
 
 
 def write_sequence(df, key, value, path, codec=SEQUENCE_CODEC):

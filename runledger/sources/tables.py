@@ -1,6 +1,7 @@
 """Benchmark tables as delimited text or parquet."""
 
 from runledger import schemas
+from runledger.functions.delimited import READ_OPTIONS, unescaped
 
 
 def read_tpch(spark, path, table, fmt="csv", sep="|", wide_keys=False):
@@ -11,8 +12,9 @@ def read_tpch(spark, path, table, fmt="csv", sep="|", wide_keys=False):
     """
     schema = schemas.tpch(table, wide_keys)
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.schema(schema).option("sep", sep).option("mode", "FAILFAST").csv(path)
+        return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).options(**READ_OPTIONS).option("sep", sep).option("mode", "FAILFAST")
+    return unescaped(rows.csv(path))
 
 
 def read_table(spark, directory, table):

@@ -104,3 +104,17 @@ def test_run_output(spark, tmp_path):
     flags = spark.createDataFrame([("false",), ("true",), (None,), ("FALSE",)], "d string")
     assert [r.k for r in flags.select(writers.keeps_output(F.col("d")).alias("k")).collect()] == [
         True, False, False, False]
+
+
+def test_delimited_text_comes_back_unchanged(spark):
+    from runledger.functions.delimited import read_delimited
+    from runledger.session import scratch_path
+    from runledger.sinks import writers
+
+    texts = [" padded ", "two\nlines", "", None, "tab\there", 'quo"te', "\\N", "\\n", "a|b", "end\\", "\r\n", '"', "\\b\\"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    path = scratch_path(spark, "delimited")
+    writers.write_tsv(rows, f"{path}/tsv")
+    writers.write_tables({"t": rows}, path, 2)
+    for found in (read_delimited(spark, f"{path}/tsv", rows.schema, "\t"), read_delimited(spark, f"{path}/t", rows.schema, "|")):
+        assert [r.text for r in sorted(found.collect())] == texts

@@ -15,12 +15,10 @@ _HTML = [
     (r"(?s)<!--.*?-->", " "),
     (r"<[^>]*>", " "),
 ]
+_COMMENT = (r"(?s)<!--.*?-->", " ")
 _WIKI = [
-    (r"(?s)<!--.*?-->", " "),
     (r"(?is)<ref[^>/]*>.*?</ref>", " "),
     (r"(?s)\{\|.*?\|\}", " "),
-    (r"(?s)\{\{[^{}]*\}\}", " "),
-    (r"(?s)\{\{[^{}]*\}\}", " "),
     (r"\[\[(?:File|Image|Category):[^\]]*\]\]", " "),
     (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
     (r"\[\[([^\]]*)\]\]", "$1"),
@@ -33,11 +31,37 @@ _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&n
              ("&amp;", "&")]
 
 
+# Noncharacters, which no text may hold, stand for the template marks.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def _without_templates(text):
+    """Text whose templates, nested to any depth, became blanks.
+
+    The text is cut at the marks and folded over a stack of open templates; a
+    mark without a partner stays in the text.
+    """
+    marked = F.replace(F.replace(text, F.lit("{{"), F.lit(_OPEN)), F.lit("}}"), F.lit(_CLOSE))
+    pieces = F.split(marked, f"(?<=[{_OPEN}{_CLOSE}])|(?=[{_OPEN}{_CLOSE}])")
+
+    def fold(stack, piece):
+        below, top = F.slice(stack, 1, F.size(stack) - 1), F.element_at(stack, -1)
+        closed = F.concat(F.slice(stack, 1, F.size(stack) - 2), F.array(F.concat(F.element_at(stack, -2), F.lit(" "))))
+        return (F.when(piece == _OPEN, F.concat(stack, F.array(F.lit(""))))
+                .when((piece == _CLOSE) & (F.size(stack) > 1), closed)
+                .otherwise(F.concat(below, F.array(F.concat(top, F.when(piece == _CLOSE, "}}").otherwise(piece))))))
+
+    folded = F.aggregate(pieces, F.array(F.lit("")), fold, lambda stack: F.array_join(stack, "{{"))
+    return F.when(F.contains(text, F.lit("{{")), folded).otherwise(text)
+
+
 def plain_text(pages, markup="wiki", column="text"):
     """Readable text of every page; `markup` is wiki or html."""
     if markup not in ("wiki", "html"):
         raise ValueError("markup must be wiki or html")
     text = F.col(column)
+    if markup == "wiki":
+        text = _without_templates(F.regexp_replace(text, *_COMMENT))
     for pattern, replacement in _HTML if markup == "html" else _WIKI:
         text = F.regexp_replace(text, pattern, replacement)
     for entity, character in _ENTITIES:

@@ -15,11 +15,12 @@ def _key(df, position):
 
 
 def join_by_position(left, left_column, right, right_column, strategy="merge",
-                     limit=BROADCAST_LIMIT, salts=16):
+                     limit=BROADCAST_LIMIT, salts=16, n=None):
     """Inner join on the 1-based columns of both sides.
 
     merge      shuffles and sorts both sides; skewed partitions of either side
-               are split at run time by adaptive execution.
+               are split at run time by adaptive execution. With `n`, both sides are
+               dealt to exactly n reducers, and nothing is split.
     broadcast  sends the left side to every task, if its measured size is within
                `limit`; beyond it this is the merge join.
     salted     splits every key of the right side over `salts` partitions and
@@ -29,6 +30,8 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}")
+    if n is not None and (strategy != "merge" or n < 1):
+        raise ValueError("a number of reducers, at least 1, belongs to the merge join")
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"both sides have columns {sorted(clash)}")
@@ -43,4 +46,5 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
             "_r", F.pmod(F.xxhash64(*right.columns, "_block"), F.lit(salts)).cast("int"))
         joined = repeated.hint("merge").join(spread, condition & (F.col("_l") == F.col("_r")))
         return unfold_copies(joined).select(*left.columns, *right.columns)
-    return left.hint("merge").join(right, condition).select(*left.columns, *right.columns)
+    sides = (left.repartition(n, a), right.repartition(n, b)) if n else (left, right)
+    return sides[0].hint("merge").join(sides[1], condition).select(*left.columns, *right.columns)

@@ -13,9 +13,11 @@ from runledger.plans import render
 from runledger.session import scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
-from runledger.sources.lines import read_client_logs, read_cpu_reports
+from runledger.sources.lines import (
+    read_attempt_logs, read_client_logs, read_cpu_reports, read_monitor, read_text)
 from runledger.sources.specs import (
-    conf_properties, parse_param_specs, read_manifest, read_run_confs, with_job_of_conf)
+    conf_properties, parse_param_specs, read_job_confs, read_manifest, read_param_specs, read_run_confs,
+    with_job_of_conf)
 from runledger.sources.tables import read_table, read_tpch, spread
 from runledger.sources.wiki import read_wiki_xml
 from runledger.streaming import monitor as stream
@@ -38,6 +40,15 @@ def attempt_times(spark, sf):
     return attempts.attempt_times(attempt_lines(spark, sf))
 
 
+def attempt_log_files(spark, sf):
+    """Write every attempt's log to its folder, scan the tree, time the attempts."""
+    path = scratch_path(spark, "attempt-logs")
+    attempt = ["host", "attempt_id"]
+    attempt_lines(spark, sf).repartition(*attempt).sortWithinPartitions(*attempt, "line_no").select(
+        *attempt, "line").write.partitionBy(*attempt).text(path)
+    return attempts.attempt_times(read_attempt_logs(spark, f"{path}/*/*"))
+
+
 def map_attempt_times(spark, sf):
     return attempts.map_attempt_times(attempt_lines(spark, sf))
 
@@ -179,6 +190,19 @@ def spec_values(spark, sf):
                        F.posexplode("value_list").alias("value_no", "value"))
 
 
+def spec_files(spark, sf):
+    """Write a specification file per customer, read the folder in name order, list the values."""
+    path = scratch_path(spark, "specs")
+    named = specs(spark, sf).withColumn("file", F.format_string("spec-%012d", "file_no"))
+    named.repartition("file").sortWithinPartitions("file", "pos").select(
+        "file", "name", "type", "numvalues", "value_delimitter", "values", "delete_on_exit",
+    ).write.partitionBy("file").format("xml").option("rootTag", "configuration").option(
+        "rowTag", "property").save(path)
+    rows = design.split_values(read_param_specs(spark, f"{path}/*"))
+    return rows.select("file_no", F.regexp_extract("file", "spec-([0-9]+)", 1).cast("long").alias("source"), "pos",
+                       "name", "type", F.posexplode("value_list").alias("value_no", "value"))
+
+
 def spec_violations(spark, sf):
     rows = specs(spark, sf)
     broken = rows.withColumn(
@@ -243,6 +267,13 @@ def word_count(spark, sf):
     return jobs.word_count(spread(read_table(spark, sf, "documents").select("text")), "text")
 
 
+def text_corpus(spark, sf):
+    """Words of the documents as a text corpus in files."""
+    path = scratch_path(spark, "text")
+    spread(read_table(spark, sf, "documents").select("text").filter("text is not null")).write.text(path)
+    return jobs.word_count(read_text(spark, path), "line")
+
+
 def _part_lineitem(spark, sf):
     part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
     line = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
@@ -254,6 +285,12 @@ def join_merge(spark, sf):
     return jobs.JOBS["DefaultJoin"](part, 1, line, 2)
 
 
+def join_reducers(spark, sf):
+    """The merge join with a fixed number of reducers."""
+    part, line = _part_lineitem(spark, sf)
+    return joins.join_by_position(part, 1, line, 2, n=6)
+
+
 def join_broadcast(spark, sf):
     part, line = _part_lineitem(spark, sf)
     return jobs.JOBS["MapJoin"](part, 1, line, 2)
@@ -324,6 +361,19 @@ def jobs_with_conf(spark, sf):
     return reshape.jobs_with_conf(started, with_job_of_conf(confs))
 
 
+def job_conf_files(spark, sf):
+    """Write a configuration file per customer, read the folder, join it with the jobs."""
+    started = read_table(spark, sf, "orders").select(
+        run_id(F.col("o_orderkey")).alias("expt_id"),
+        render.job_name(F.col("o_custkey")).alias("job_id"))
+    path = scratch_path(spark, "job-confs")
+    documents = render.conf_documents(read_table(spark, sf, "customer"), "c_custkey", "c_name")
+    documents.repartition("conf").write.partitionBy("conf").text(path)
+    confs = read_job_confs(spark, path)
+    return reshape.jobs_with_conf(started, confs).select(
+        "job_id", "expt_id", "conf", F.col("value").alias("owner"))
+
+
 # ---- monitor ----------------------------------------------------------------
 
 def iostat(spark, sf, **options):
@@ -348,10 +398,21 @@ def memory_samples(spark, sf):
     return monitor.memory_samples(lines).select("host", "line_no", *monitor.MEMORY)
 
 
+def memory_sample_files(spark, sf):
+    """Timed memory captures, written per host and read back."""
+    path = _write_captures(spark, render.vmstat_lines(_events(spark, sf), timed=True), "line_no")
+    samples = monitor.memory_samples(read_monitor(spark, path, "memory"), timed=True)
+    return samples.select("host", "ts", *monitor.MEMORY)
+
+
+def disk_sample_files(spark, sf):
+    samples = monitor.disk_samples(read_monitor(spark, _capture_files(spark, sf), "disk"), timed=True)
+    return samples.select("host", "ts", *monitor.DISK)
+
+
 def _comparable(df):
-    """Means to 7 places, as the order of a sum is open; no approximate percentiles."""
-    return df.select(*[F.round(c, 7).alias(c) if c.startswith("avg_") else c
-                       for c in df.columns if not c.startswith("p95_")])
+    """Means to 7 places, as the order of a sum is open."""
+    return df.select(*[F.round(c, 7).alias(c) if c.startswith("avg_") else c for c in df.columns])
 
 
 def monitor_summary(spark, sf):
@@ -364,15 +425,19 @@ def cpu_summary(spark, sf):
     return _comparable(monitor.monitor_summary(samples, ["user", "idle"]))
 
 
-def _capture_files(spark, sf):
-    """Captures as files. Lines of one report share the range key, so every file
-    starts with a whole report."""
-    path = scratch_path(spark, "captures")
+def _write_captures(spark, lines, unit, path=None):
+    """Captures as files; lines of one unit stay in one file. A path that is there gets more files."""
+    path = path or scratch_path(spark, "captures")
+    lines.repartitionByRange(shuffle_partitions(spark), "capture", unit).sortWithinPartitions(
+        "capture", "line_no").select("capture", "line").write.mode("append").partitionBy("capture").text(path)
+    return path
+
+
+def _capture_files(spark, sf, path=None):
+    """Lines of one report share the range key, so every file starts with a whole report."""
     report = F.call_function("div", F.col("line_no"), F.lit(render.REPORT_LINES))
     lines = iostat(spark, sf, timed=True).withColumn("report", report)
-    lines.repartitionByRange(shuffle_partitions(spark), "capture", "report").sortWithinPartitions(
-        "capture", "line_no").select("capture", "line").write.partitionBy("capture").text(path)
-    return path
+    return _write_captures(spark, lines, "report", path)
 
 
 def cpu_report_files(spark, sf):
@@ -396,6 +461,19 @@ def stream_utilisation(spark, sf):
     return _comparable(stream.drain_utilisation(windows))
 
 
+def stream_late_rows(spark, sf):
+    """All captures arrive twice; the second time only windows that are still open take them."""
+    folder, path, state = _capture_files(spark, sf), scratch_path(spark, "windows"), scratch_path(spark, "state")
+
+    def drain():
+        samples = stream.stream_samples(spark, folder, "disk")
+        return stream.drain_utilisation(stream.stream_utilisation(samples, monitor.DISK, "1 hour"), path, state)
+
+    drain()
+    _capture_files(spark, sf, folder)
+    return _comparable(drain())
+
+
 # ---- generators, sized by the given tables ----------------------------------
 
 def _tasks(spark, size, per_task):
@@ -517,6 +595,14 @@ def plain_text(spark, sf):
     return corpus.plain_text(pages(spark, sf), "html", "html").select("page_id", "plain")
 
 
+def plain_text_wiki(spark, sf):
+    return corpus.plain_text(render.wiki_pages(pages(spark, sf))).select("page_id", "plain")
+
+
+def link_edges_wiki(spark, sf):
+    return corpus.link_edges(render.wiki_pages(pages(spark, sf)), corpus.WIKI_LINK, "title")
+
+
 def doc_numbers(spark, sf):
     return corpus.doc_numbers(pages(spark, sf))
 
@@ -543,14 +629,24 @@ def bfs_encode(spark, sf):
     return _flat(corpus.bfs_encode(corpus.adjacency(link_edges(spark, sf)), source))
 
 
-def bfs(spark, sf):
-    """Hops from part 0 in the graph that links every part with its suppliers."""
+def _supply_edges(spark, sf):
+    """The graph that links every part with its suppliers."""
     pairs = read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
-    edges = pairs.select(F.explode(F.array(
+    return pairs.select(F.explode(F.array(
         F.struct(part.alias("src"), supplier.alias("dst")),
         F.struct(supplier.alias("src"), part.alias("dst")))).alias("e")).select("e.src", "e.dst")
-    return corpus.bfs(edges, "p0")
+
+
+def adjacency_parts(spark, sf):
+    """Lists of at most some ten neighbours a part; unfolded they are the edges again."""
+    lists = corpus.adjacency(_supply_edges(spark, sf), neighbours_per_row=10)
+    return lists.select(F.col("node").alias("src"), F.explode("neighbours").alias("dst"))
+
+
+def bfs(spark, sf):
+    """Hops from part 0 to every part and supplier."""
+    return corpus.bfs(_supply_edges(spark, sf), "p0")
 
 
 QUERIES = [
@@ -567,4 +663,6 @@ QUERIES = [
     gen_tpch, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
     run_output_roundtrip, tsv_roundtrip, text_roundtrip, tpch_scan, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
     link_edges, adjacency, bfs_encode, bfs,
+    attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,
+    join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
 ]

@@ -132,6 +132,20 @@ SECOND = "date_trunc('second', ts)"
 CPU_REPORTS = f"""select {HOST} as host, {SECOND} as ts, {CPU} from events
 where event_type <> 'error'"""
 
+UTILISATION = """round(avg(value), 7) as avg_mb_read, max(value) as max_mb_read,
+        round(avg(value * 2), 7) as avg_mb_write, max(value * 2) as max_mb_write"""
+
+
+def _p95(value):
+    """The value whose place in the sorted list is the rounded up share of all."""
+    return f"list_sort(list({value}))[ceil(0.95::double * count(*))::bigint]"
+
+
+SUPPLY = """
+  select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem
+  union
+  select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem"""
+
 EDGES = """
 edges as (
   select distinct url as src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as dst
@@ -322,12 +336,14 @@ ORACLES = {
     "monitor_summary": f"""select {HOST} as host, count(*) as samples,
         round(avg(value), 7) as avg_mb_read, max(value) as max_mb_read,
         round(avg(value * 2), 7) as avg_mb_write,
-        max(value * 2) as max_mb_write
+        max(value * 2) as max_mb_write,
+        {_p95('value')} as p95_mb_read, {_p95('value * 2')} as p95_mb_write
         from events group by 1""",
     "cpu_summary": f"""select {HOST} as host, count(*) as samples,
         round(avg(value), 7) as avg_user, max(value) as max_user,
         round(avg(100 - value), 7) as avg_idle,
-        max(100 - value) as max_idle
+        max(100 - value) as max_idle,
+        {_p95('value')} as p95_user, {_p95('100 - value')} as p95_idle
         from events where event_type <> 'error' group by 1""",
     "stream_samples": f"""select {HOST} as host, {SECOND} as ts, value as mb_read,
         value * 2 as mb_write from events""",
@@ -394,4 +410,40 @@ ORACLES = {
           select links.dst, walk.dist + 1 from walk join links on links.src = walk.node
           where walk.dist < 10)
         select node, min(dist)::int as dist from walk group by node""",
+    "adjacency_parts": SUPPLY,
+    "text_corpus": r"""select word, count(*) as n
+        from (select regexp_split_to_table(text, '[ \t\n\r\f]+') as word from documents)
+        where word <> '' group by word""",
+    "join_reducers": JOIN,
+    "disk_sample_files": f"""select {HOST} as host, {SECOND} as ts, value as mb_read,
+        value * 2 as mb_write from events""",
+    "memory_sample_files": f"""select {HOST} as host, {SECOND} as ts, event_id as swpd,
+        user_id + 1000 as free, floor(value * 4)::bigint as buff, length(props) as cache
+        from events""",
+    "attempt_log_files": f"""with {FACTS}
+        select host, attempt_id, job_id, phase, seconds, {STATUS},
+               phase = 'r' and good and cleaned as cleanup_conflict from outcome""",
+    "job_conf_files": f"""
+        select {_job('c_custkey')} as job_id, {_run('o_orderkey')} as expt_id,
+               'localhost_1_' || {_job('c_custkey')} || '_conf.xml' as conf, c_name as owner
+        from orders join customer on o_custkey = c_custkey""",
+    "spec_files": f"""with {CUSTOMER_GRID}
+        select distinct dense_rank() over (order by file_no) - 1 as file_no, file_no as source, pos, param as name,
+               type, value_no::int as value_no, value
+        from (select g.*, row_number() over (partition by file_no, pos order by first) - 1 as value_no
+              from (select file_no, pos, param, type, value, min(run_no) as first
+                    from grid group by all) g)""",
+    "stream_late_rows": f"""
+        select date_trunc('hour', ts) as window_start, {HOST} as host,
+               count(*) * case when date_trunc('hour', ts) + interval 1 hour >
+                   (select max({SECOND}) - interval 2 minutes from events) then 2 else 1 end as samples,
+        {UTILISATION}
+        from events group by 1, 2""",
+    "plain_text_wiki": """
+        select page_id, 'Page ' || page_id || ' see the next and Page ' || (page_id % 10)
+                        || '. Source ' || url as plain
+        from pages""",
+    "link_edges_wiki": """
+        select url as src, 'Page ' || (page_id + 1) as dst from pages
+        union select url, 'Page ' || (page_id % 10) from pages""",
 }

@@ -183,6 +183,23 @@ def spec_documents(table, key):
                         xml.alias("xml"))
 
 
+def wiki_pages(pages):
+    """Pages as wiki mark-up: a template of depth three and links to two other pages."""
+    number = F.col("page_id")
+    text = F.concat(
+        F.lit("'''Page "), number, F.lit("''' {{box|x {{in|{{deep|"), number, F.lit("}} y}} z}} see [[Page "),
+        number + 1, F.lit("|the next]] and [[Page "), number % 10, F.lit("]].\n== Source ==\n"), F.col("url"))
+    return pages.select("page_id", F.col("url").alias("title"), text.alias("text"))
+
+
+def conf_documents(table, key, name):
+    """A job configuration document per row, with its file name."""
+    conf = F.concat(F.lit("localhost_1_"), job_name(F.col(key)), F.lit("_conf.xml"))
+    xml = F.concat(F.lit("<configuration><property><name>owner</name><value>"), F.col(name),
+                   F.lit("</value></property></configuration>"))
+    return table.select(conf.alias("conf"), xml.alias("xml"))
+
+
 def artifacts(events):
     """Files that runs left behind: up to seven per run and kind, the value is the content."""
     kind = (F.when(F.col("event_type").isin("click", "error"), "userlogs")

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 # How the three kinds of files are named.
 RUN_PATTERN = r"(EXPT-\d+)"
-ATTEMPT_PATTERN = r"(attempt_\d+_\d+_[mr]_\d+_\d+)/syslog"
-HOST_PATTERN = r"([^/]+)(?:/userlogs)?/attempt_\d+_\d+_[mr]_\d+_\d+/syslog"
+# A log is the file syslog of its attempt, or the part files of a folder that Spark
+# wrote as host=<host>/attempt_id=<attempt>.
+ATTEMPT_PATTERN = r"(attempt_\d+_\d+_[mr]_\d+_\d+)/(?:syslog|part-)"
+HOST_PATTERN = r"([^/=]+)(?:/userlogs)?/(?:attempt_id=)?attempt_\d+_\d+_[mr]_\d+_\d+/(?:syslog|part-)"
 CAPTURE_PATTERN = r"(?:iostat|vmstat)_output-([^/]+)"
 MONITOR_FILES = {"disk": "*iostat_output-*", "cpu": "*iostat_output-*",
                  "memory": "*vmstat_output-*"}

@@ -8,6 +8,8 @@ from runledger.operators.ordering import with_ordinal
 from runledger.sources.lines import RUN_PATTERN, read_lines
 
 JOB_IN_NAME = r"_(job_[0-9]+_[0-9]+)_conf\.xml$"
+# The name of a configuration file, or of a folder that holds its part file.
+CONF_IN_PATH = r"([^/=]+_conf\.xml)(?:/[^/]+)?$"
 
 
 def parse_param_specs(documents, file_no="file_no", file="file", xml="xml"):
@@ -71,9 +73,9 @@ def _read_confs(spark, path):
     A configuration file is a small document. Reading it as one text value lets
     Spark pack many files in a task, which the XML source does not do.
     """
+    place = F.col("_metadata.file_path")
     return conf_properties(spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("conf"),
-        F.col("value").alias("xml")))
+        place.alias("path"), F.regexp_extract(place, CONF_IN_PATH, 1).alias("conf"), F.col("value").alias("xml")))
 
 
 def read_job_confs(spark, path):

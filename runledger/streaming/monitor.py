@@ -1,6 +1,7 @@
 """Monitor captures as a stream of files."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.operators import monitor
 from runledger.session import scratch_path
@@ -48,19 +49,27 @@ def drain_samples(samples, path=None):
     return spark.read.schema(samples.schema).parquet(path)
 
 
-def drain_utilisation(utilisation, path=None):
+def drain_utilisation(utilisation, path=None, state=None):
     """All windows, open ones too, after taking in the files that are there.
 
-    Every batch rewrites the whole result, so a batch that is run again does no
-    harm.
+    Every batch writes the windows it changed to a folder of its own, so a batch
+    that is run again does no harm, and the last batch of a window has its final
+    values. Rows of windows that the watermark has closed are dropped, and only
+    open windows are kept as state. A later call with the same path and state
+    takes in the files that came since.
     """
     spark = utilisation.sparkSession
     path = path or scratch_path(spark, "stream-out")
+    state = state or scratch_path(spark, "stream-state")
 
-    def replace(batch, _):
-        batch.write.mode("overwrite").parquet(path)
+    def changed(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    utilisation.writeStream.outputMode("complete").foreachBatch(replace).option(
-        "checkpointLocation", scratch_path(spark, "stream-state")
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(utilisation.schema).parquet(path)
+    utilisation.writeStream.outputMode("update").foreachBatch(changed).option(
+        "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    schema = utilisation.schema
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    keys = ["window_start", "host"]
+    rest = [c for c in utilisation.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])

@@ -66,3 +66,15 @@ def test_bfs_against_a_queue(spark):
     assert [tuple(r) for r in corpus.bfs(edges, 77).collect()] == [(77, 0)]
     two = {k: v for k, v in near.items() if v <= 2}
     assert {r.node: r.dist for r in corpus.bfs(edges, 12, max_iter=2).collect()} == two
+
+
+@pytest.mark.parametrize("text, plain", [
+    ("a {{x {{y {{z}} q}} r}} b", "a b"),
+    ("a {{x {{y {{z {{w}}}}}} q}} b {{c}}d", "a b d"),
+    ("open {{ stays and {{goes}} on", "open {{ stays and on"),
+    ("close }} stays", "close }} stays"),
+    ("{{a\nb}}c", "c"), ("", ""), (None, None),
+])
+def test_templates_of_any_depth(spark, text, plain):
+    pages = spark.createDataFrame([(text,)], "text string")
+    assert corpus.plain_text(pages).first().plain == plain

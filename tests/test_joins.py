@@ -76,3 +76,15 @@ def test_spread_only_when_cores_would_idle(spark):
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
     wide = spark.range(10, numPartitions=cores + 3)
     assert spread(wide) is wide
+
+
+def test_number_of_reducers(spark):
+    left = spark.range(50).selectExpr("id as a", "id * 2 as b")
+    right = spark.range(200).selectExpr("id % 60 as c", "id as d")
+    joined = joins.join_by_position(left, 1, right, 1, n=7)
+    plain = joins.join_by_position(left, 1, right, 1)
+    assert sorted(joined.collect()) == sorted(plain.collect())
+    assert "hashpartitioning(a" in joined._jdf.queryExecution().toString() and ", 7)" in joined._jdf.queryExecution().toString()
+    for options in ({"n": 0}, {"n": 3, "strategy": "broadcast"}):
+        with pytest.raises(ValueError, match="reducers"):
+            joins.join_by_position(left, 1, right, 1, **options)

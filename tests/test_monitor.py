@@ -125,3 +125,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
     # c's line at second 10 comes after the watermark has passed its window.
     assert {(r.host, int(r.window_start.timestamp()), r.samples) for r in closed} == {
         ("a", 0, 2), ("a", 600, 1), ("b", 660, 1)}
+
+
+def test_drained_windows_honour_the_watermark_over_restarts(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+
+    def disk(second, value):
+        return f"{second} sda2 1 {value} 3.0 4 5"
+
+    def drained():
+        samples = stream.stream_samples(spark, folder, "disk")
+        windows = stream.stream_utilisation(samples, ["mb_read"], "1 minute", "2 minutes")
+        rows = stream.drain_utilisation(windows, out, state).collect()
+        return {(r.host, int(r.window_start.timestamp())): (r.samples, r.max_mb_read) for r in rows}
+
+    write(tmp_path / "in", "iostat_output-a", [disk(0, 1), disk(30, 2), disk(600, 3)])
+    assert drained() == {("a", 0): (2, 2.0), ("a", 600): (1, 3.0)}
+    # Second 10 is behind the watermark of 480, second 610 is in a window that is still open.
+    write(tmp_path / "in", "iostat_output-b", [disk(10, 9)])
+    write(tmp_path / "in", "more-iostat_output-a", [disk(20, 9), disk(610, 9)])
+    assert drained() == {("a", 0): (2, 2.0), ("a", 600): (2, 9.0)}
+    assert drained() == {("a", 0): (2, 2.0), ("a", 600): (2, 9.0)}
+
+
+def test_percentile_is_a_value_of_the_host(spark):
+    samples = spark.range(1, 101).selectExpr("'n' as host", "cast(id as double) as mb_read")
+    assert monitor.monitor_summary(samples, ["mb_read"]).first().p95_mb_read == 95.0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.text import log_timestamp
 from runledger.operators.ordering import chunk_of
-from runledger.session import fits_broadcast
+from runledger.session import fits_broadcast, materialise
 
 # Attempt ids, the phrases that decide an outcome, its two names.
 ATTEMPT = r"attempt_(\d+_\d+)_([mr])_(\d+)_(\d+)"
@@ -50,7 +50,8 @@ def attempts_of(lines, job_id, phase=None):
 def logs_for_runs(lines, jobs):
     """Lines of the listed jobs only."""
     job = F.concat(F.lit("job_"), F.regexp_extract("attempt_id", ATTEMPT, 1))
-    wanted = jobs.select("job_id").filter(F.col("job_id").isNotNull()).distinct()
+    # Written once: the list is measured and joined.
+    wanted = materialise(jobs.select("job_id").filter(F.col("job_id").isNotNull()).distinct(), "wanted-jobs")
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
     return lines.withColumn("job_id", job).join(wanted, "job_id", "left_semi").select(

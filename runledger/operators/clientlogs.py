@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.functions.text import client_timestamp
+from runledger.session import materialise
 
 NO_JOB = "Null"
 
@@ -18,9 +19,11 @@ def run_job_map(runs, ids):
     """One row per run and job; a run without a job stays with a NULL job.
 
     Two joins in place of one outer join: the side with the jobs is then always
-    one that adaptive execution may split, should one run hold most of them.
+    one that adaptive execution may split, should one run hold most of them. Both
+    read the two narrow sides from tables that are written once.
     """
-    listed = runs.select("expt_id").distinct()
+    ids = materialise(ids.select("expt_id", "job_id"), "job-ids")
+    listed = materialise(runs.select("expt_id").distinct(), "listed-runs")
     started = ids.join(listed, "expt_id", "left_semi")
     idle = listed.join(ids, "expt_id", "left_anti")
     return started.unionByName(idle.withColumn("job_id", F.lit(None).cast("string")))

@@ -1,10 +1,9 @@
 """Experiment grids: checked parameter lists, numbered runs, run order."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runledger.functions.text import run_id, split_list
-from runledger.operators.ordering import chunk_of, running_before
+from runledger.operators.ordering import running_before, running_total
 from runledger.session import shuffle_partitions
 
 # The two parameter types, the names a program parameter may
@@ -15,7 +14,6 @@ PROGRAM_NAMES = ["jar_path", "jar_class_name", "jar_input_params", "jar_output_p
 DEFAULT_DELIMITER = ","
 
 RUNS_PER_BLOCK = 1 << 14
-FILES_PER_CHUNK = 1 << 12
 
 
 def split_values(specs):
@@ -79,21 +77,20 @@ def expand_design(specs):
     the grid on its own, without a join of the lists. Rows are cut in blocks of
     runs first, so that one huge file is expanded by many tasks. Run numbers
     continue from file to file.
+
+    The properties of a file are gathered in one row, written once with the
+    number of its first run, and unfolded again.
     """
-    after = Window.partitionBy("file_no").orderBy(F.desc("pos")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file_no")
-    n = F.size("value_list").cast("long")
-    sized = specs.withColumn("_n", n).withColumn(
-        "_inner", _product(F.collect_list("_n").over(after))
-    ).withColumn("_runs", _product(F.collect_list("_n").over(whole)))
-    files = design_size(specs).select("file_no", "runs")
-    starts = running_before(
-        files, chunk_of("file_no", FILES_PER_CHUNK), ["file_no"], "runs", "_first"
-    ).select("file_no", "_first")
+    props = F.sort_array(F.collect_list(F.struct("pos", "name", "type", "value_list", "delete_on_exit")))
+    files = specs.groupBy("file_no").agg(props.alias("_props"))
+    counts = F.transform("_props", lambda p: F.size(p["value_list"]).cast("long"))
+    files = files.withColumn("_counts", counts).withColumn("_runs", _product(F.col("_counts")))
+    files = running_total(files, ["file_no"], "_runs", "_first").filter(F.col("_runs") > 0)
+    rows = files.select("file_no", "_first", "_runs", "_counts", F.posexplode("_props").alias("_at", "_p"))
+    inner = _product(F.slice("_counts", F.col("_at") + 2, F.size("_counts")))
+    sized = rows.select("file_no", "_first", "_runs", "_p.*", inner.alias("_inner"), F.get("_counts", "_at").alias("_n"))
     last_block = F.call_function("div", F.col("_runs") - 1, F.lit(RUNS_PER_BLOCK))
-    blocks = sized.join(starts.hint("merge"), "file_no").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    blocks = sized.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
     # An explicit number: block rows are small and would be coalesced to one task.
     blocks = blocks.repartition(shuffle_partitions(specs.sparkSession), "file_no", "_block")
     low = F.col("_block") * RUNS_PER_BLOCK

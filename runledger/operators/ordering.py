@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runledger.session import scratch_path, shuffle_partitions
+from runledger.session import materialise, scratch_path, shuffle_partitions
 
 COPIES_PER_ROW = 1 << 16
 _RECORD_BITS = (1 << 33) - 1
@@ -37,17 +37,23 @@ def unfold_copies(rows):
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
 
 
-def total_sort(df, keys, partitions=None, collapse_copies=True):
+def total_sort(df, keys, partitions=None, collapse_copies=True, from_files=False):
     """All rows in the order of the keys over `partitions` sorted ranges.
 
-    A hash of the whole row breaks ties, so one key that holds a large share of
-    the rows is spread over several ranges; whole-row copies, which no hash can
-    tell apart, are folded first. Pass collapse_copies=False for rows known to
-    be distinct: it saves one shuffle.
+    Ties are broken, so one key that holds a large share of the rows is spread
+    over several ranges. With from_files, for rows straight from parquet files,
+    the place in the file does it: it is the same on every attempt and tells
+    copies apart, so there is one shuffle. Else it is a hash of the whole row,
+    and whole-row copies, which no hash can tell apart, are folded first. Pass
+    collapse_copies=False for rows known to be distinct: it saves that shuffle.
     """
     columns = df.columns
     n = partitions or shuffle_partitions(df.sparkSession)
     order = [*_keys(keys), F.col("_tie")]
+    if from_files:
+        order.append(F.col("_row"))
+        placed = df.select("*", F.xxhash64("_metadata.file_path").alias("_tie"), F.col("_metadata.row_index").alias("_row"))
+        return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*columns)
     rows = df
     if collapse_copies:
         rows = fold_copies(df)
@@ -57,7 +63,7 @@ def total_sort(df, keys, partitions=None, collapse_copies=True):
     return (unfold_copies(rows) if collapse_copies else rows).select(*columns)
 
 
-def _placed(df, keys, partitions, collapse_copies):
+def _placed(df, keys, partitions, collapse_copies, from_files=False):
     """Sorted rows, written once, with range number, place in the range and range sizes.
 
     Range bounds come from a sample, so a second run could cut elsewhere.
@@ -65,7 +71,7 @@ def _placed(df, keys, partitions, collapse_copies):
     reads one narrow column.
     """
     spark = df.sparkSession
-    ranged = total_sort(df, keys, partitions, collapse_copies).select(
+    ranged = total_sort(df, keys, partitions, collapse_copies, from_files).select(
         "*", F.spark_partition_id().alias("_range"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_RECORD_BITS)).alias("_place"))
     path = scratch_path(spark, "ordinal")
@@ -76,9 +82,9 @@ def _placed(df, keys, partitions, collapse_copies):
     return rows, sizes
 
 
-def number_rows(df, keys, name="ordinal", start=1, partitions=None, collapse_copies=True):
+def number_rows(df, keys, name="ordinal", start=1, partitions=None, collapse_copies=True, from_files=False):
     """Like with_ordinal, and the row count beside it."""
-    rows, sizes = _placed(df, keys, partitions, collapse_copies)
+    rows, sizes = _placed(df, keys, partitions, collapse_copies, from_files)
     before, starts = start, []
     for number in range(max(sizes, default=-1) + 1):
         starts.append(str(before))
@@ -88,15 +94,35 @@ def number_rows(df, keys, name="ordinal", start=1, partitions=None, collapse_cop
     return rows.select(*df.columns, ordinal.alias(name)), before - start
 
 
-def with_ordinal(df, keys, name="ordinal", start=1, partitions=None, collapse_copies=True):
+def with_ordinal(df, keys, name="ordinal", start=1, partitions=None, collapse_copies=True, from_files=False):
     """Number the rows start, start + 1, ... in the order of the keys.
 
     Rows that tie on all keys are numbered in an unspecified order.
     """
-    return number_rows(df, keys, name, start, partitions, collapse_copies)[0]
+    return number_rows(df, keys, name, start, partitions, collapse_copies, from_files)[0]
 
 
-def running_before(df, chunk, order, weight, name, group=()):
+def running_total(df, order, weight, name):
+    """Sum of `weight` over all earlier rows of a table, as a table that is written once.
+
+    The rows are cut in sorted ranges. Sums inside a range are a window over the
+    range; the sums of the ranges, one number each, meet on the driver.
+    """
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).select(
+        "*", F.spark_partition_id().alias("_range"))
+    rows = materialise(rows, "running")
+    sums = {r["_range"]: r["total"] for r in rows.groupBy("_range").agg(F.sum(weight).alias("total")).collect()}
+    before, starts = 0, []
+    for number in range(max(sums, default=-1) + 1):
+        starts.append(str(before))
+        before += sums.get(number, 0)
+    offsets = F.split(F.lit(",".join(starts) or "0"), ",").cast("array<bigint>")
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.get(offsets, F.col("_range")) + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return rows.withColumn(name, total.cast("long")).drop("_range")
+
+
+def running_before(df, chunk, order, weight, name, group):
     """Sum of `weight` over all earlier rows of the group, in two levels.
 
     `chunk` must not fall as `order` grows. Rows are summed inside their chunk,
@@ -106,7 +132,7 @@ def running_before(df, chunk, order, weight, name, group=()):
     group = list(group)
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_chunk").rowsBetween(
+    across = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     rows = df.withColumn("_chunk", chunk)
     totals = rows.groupBy(*group, "_chunk").agg(F.sum(weight).alias("_total"))
@@ -119,6 +145,12 @@ def running_before(df, chunk, order, weight, name, group=()):
     ).drop("_chunk", "_before", "_inside")
 
 
-def sort_stats(stats, columns):
-    """Ascending numeric order over several columns; text that is no number sorts first."""
-    return total_sort(stats, [F.col(c).try_cast("double") for c in columns])
+def sort_stats(stats, columns, name=None, collapse_copies=True):
+    """Ascending numeric order over several columns; text that is no number sorts first.
+
+    With a name the rows are also numbered from 1, in the same sort.
+    """
+    keys = [F.col(c).try_cast("double") for c in columns]
+    if name:
+        return with_ordinal(stats, keys, name, collapse_copies=collapse_copies)
+    return total_sort(stats, keys, collapse_copies=collapse_copies)

@@ -151,10 +151,7 @@ def sort_stats(spark, sf):
     settings = design.stats_row(grid(spark, sf, "supplier", "s_suppkey"))
     columns = settings.select(
         "expt_id", "run_no", *[F.get("settings", F.lit(i)).alias(f"p{i}") for i in range(3)])
-    ranked = ordering.sort_stats(columns, ["p0", "p1", "run_no"])
-    return ordering.with_ordinal(
-        ranked, [F.col(c).try_cast("double") for c in ("p0", "p1", "run_no")],
-        name="position", collapse_copies=False)
+    return ordering.sort_stats(columns, ["p0", "p1", "run_no"], name="position", collapse_copies=False)
 
 
 # ---- designs ----------------------------------------------------------------
@@ -191,9 +188,9 @@ def spec_values(spark, sf):
 
 
 def spec_files(spark, sf):
-    """Write a specification file per customer, read the folder in name order, list the values."""
+    """Write a specification file per supplier, read the folder in name order, list the values."""
     path = scratch_path(spark, "specs")
-    named = specs(spark, sf).withColumn("file", F.format_string("spec-%012d", "file_no"))
+    named = specs(spark, sf, "supplier", "s_suppkey").withColumn("file", F.format_string("spec-%012d", "file_no"))
     named.repartition("file").sortWithinPartitions("file", "pos").select(
         "file", "name", "type", "numvalues", "value_delimitter", "values", "delete_on_exit",
     ).write.partitionBy("file").format("xml").option("rootTag", "configuration").option(
@@ -260,7 +257,7 @@ def run_confs_roundtrip(spark, sf):
 
 def total_sort(spark, sf):
     rows = read_table(spark, sf, "lineitem")
-    return ordering.with_ordinal(rows, rows.columns, name="position")
+    return ordering.with_ordinal(rows, rows.columns, name="position", from_files=True)
 
 
 def word_count(spark, sf):
@@ -336,8 +333,8 @@ def resolve_profiles(spark, sf):
     by_run = read_table(spark, sf, "supplier").select(
         F.concat(F.lit("profile_job_"), "s_suppkey", F.lit(".xml")).alias("name"),
         F.col("s_name").alias("location"))
-    by_job = read_table(spark, sf, "part").filter(F.col("p_size") > 5).select(
-        F.concat(F.lit("profile_"), "p_partkey", F.lit(".xml")).alias("name"),
+    by_job = read_table(spark, sf, "part").select(
+        F.concat(F.lit("profile_"), F.col("p_partkey") * 2, F.lit(".xml")).alias("name"),
         F.col("p_name").alias("location"))
     return reshape.resolve_profiles(line, by_run.union(by_job))
 

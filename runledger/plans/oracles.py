@@ -315,7 +315,7 @@ ORACLES = {
         select l_orderkey, l_linenumber, l_partkey::varchar as expt_id,
                l_partkey::varchar as job_id, coalesce(s_name, p_name) as profile
         from lineitem left join supplier on s_suppkey = l_partkey
-        left join part on p_partkey = l_partkey and p_size > 5""",
+        left join part on p_partkey * 2 = l_partkey""",
     "unify": f"with {ARTIFACTS} select * from unified",
     "unify_last_wins": f"""with {ARTIFACTS}
         select file_name, expt_id, content from unified
@@ -427,7 +427,7 @@ ORACLES = {
         select {_job('c_custkey')} as job_id, {_run('o_orderkey')} as expt_id,
                'localhost_1_' || {_job('c_custkey')} || '_conf.xml' as conf, c_name as owner
         from orders join customer on o_custkey = c_custkey""",
-    "spec_files": f"""with {CUSTOMER_GRID}
+    "spec_files": f"""with {SUPPLIER_GRID}
         select distinct dense_rank() over (order by file_no) - 1 as file_no, file_no as source, pos, param as name,
                type, value_no::int as value_no, value
         from (select g.*, row_number() over (partition by file_no, pos order by first) - 1 as value_no

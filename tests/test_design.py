@@ -55,7 +55,6 @@ def test_blocks_give_the_same_grid(spark, folder, monkeypatch):
     rows = design.checked_specs(specs.read_param_specs(spark, str(folder)))
     whole = sorted(map(tuple, design.expand_design(rows).collect()), key=str)
     monkeypatch.setattr(design, "RUNS_PER_BLOCK", 5)
-    monkeypatch.setattr(design, "FILES_PER_CHUNK", 1)
     assert sorted(map(tuple, design.expand_design(rows).collect()), key=str) == whole
 
 

@@ -110,3 +110,26 @@ def test_profiles(spark):
     assert found == {"EXPT-0000": "run", "EXPT-0001": "job", "EXPT-0002": None}
     shared = reshape.resolve_profiles(jobs, profiles, "one.xml").collect()
     assert {r.profile for r in shared} == {"one.xml"}
+
+
+def test_place_in_the_file_breaks_ties_in_one_shuffle(spark, tmp_path, capsys):
+    # One key holds all rows, and most rows are whole-row copies.
+    frame(spark, [(1, "same")] * 3000 + [(1, f"v{i}") for i in range(50)]).repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    ranged = ordering.total_sort(rows, ["k"], 8, from_files=True)
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3050 and max(sizes) < 1000
+    ranged.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan
+    found = ordering.with_ordinal(rows, ["v"], "n", from_files=True).collect()
+    assert sorted(r.n for r in found) == list(range(1, 3051))
+    assert [r.v for r in sorted(found, key=lambda r: r.n)] == sorted(r.v for r in found)
+
+
+def test_running_total_over_ranges(spark):
+    rows = frame(spark, [(i, "x") for i in range(0, 200, 2)]).withColumn("w", F.col("k") + 1)
+    found = ordering.running_total(rows, ["k"], "w", "before").collect()
+    assert len(found) == 100
+    assert all(r.before == sum(i + 1 for i in range(0, r.k, 2)) for r in found)
+    assert ordering.running_total(rows.limit(0), ["k"], "w", "before").count() == 0

@@ -167,12 +167,11 @@ def _searcher(blocks, slack):
             block = shared.value
             for window, start, exact in segment.search(block, slack):
                 length = block["length"][window]
-                # A proximity match that starts before its text belongs to none.
-                doc = np.maximum(segment.doc_of(start), 0)
+                # A proximity match may begin before its text, but its rarest term stands in it.
+                doc = segment.doc_of(start + block["offset"][window, 0])
                 np.add.at(marks, start[exact], 1)
                 np.add.at(marks, (start + length)[exact], -1)
-                near_doc = np.maximum(segment.doc_of(start + length // 2), 0)
-                for d, w, e in set(zip(np.where(exact, doc, near_doc).tolist(), window.tolist(), exact.tolist())):
+                for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist())):
                     for item in block["items"][w]:
                         if item not in number:
                             number[item] = len(names)

@@ -6,6 +6,7 @@ another one of the same or a higher priority give way.
 """
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +113,15 @@ def detect(text, ordered):
     for keyword, expression, label, priority, weight in ordered:
         if keyword in text:
             hits += [(-priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in expression.finditer(text)]
-    kept = []
+    # Of the kept intervals those inside no other one: starts and ends both rise.
+    kept, starts, ends = [], [], []
     for _, _, start, end, label, weight in sorted(hits):  # by priority, then the longest
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
-            kept.append((start, end, label, weight))
+        place = bisect_right(starts, start)
+        if place and ends[place - 1] >= end:
+            continue
+        kept.append((start, end, label, weight))
+        first, last = bisect_left(starts, start), bisect_right(ends, end)
+        starts[first:last], ends[first:last] = [start], [end]
     return sorted(kept)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, suffixes, warc, winnow
+from runledger.llm.oracles import ORACLES  # noqa: F401
 from runledger.session import scratch_path
 from runledger.sources.tables import read_table
 
@@ -75,5 +76,5 @@ def op10_quality(spark, sf):
     return quality.score_documents(_documents(spark, sf), read_table(spark, sf, "labels"))
 
 
-QUERIES = [op1_pii, op2_packing, op3_decontamination, op4_suffixes, op5_warc, op6_fingerprints, op7_licenses, op8_simhash, op9_lm, op10_quality]
-ORACLES = {}
+QUERIES = [op1_pii, op2_packing, op3_decontamination, op4_suffixes, op5_warc, op6_fingerprints, op7_licenses,
+           op8_simhash, op9_lm, op10_quality]

@@ -101,3 +101,22 @@ def test_drop(spark):
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
     kept = decontam.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.source for r in kept.collect()} == {"b", "c", "d"}
+
+
+def test_near_match_that_begins_before_its_text(spark):
+    """The words of a short item stand turned round at the very start of a text."""
+    docs = spark.createDataFrame([(1, "common common"), (2, "rare common mid common")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, "common mid rare")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.find_contamination(docs, bench).collect()}
+    assert rows[1].near_items == [] and rows[2]["items"] == []
+    near = spark.createDataFrame([(1, "pad pad"), (2, "rare common")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, "common rare")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.find_contamination(near, bench).collect()}
+    assert (rows[1].near_items, rows[2].near_items) == ([], ["9"])
+
+
+def test_near_match_belongs_to_the_text_of_its_rarest_word(spark):
+    docs = spark.createDataFrame([(1, "x a b x"), (2, "c a b"), (3, "a b a b")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.find_contamination(docs, bench, slack=3).collect()}
+    assert [rows[i].near_items for i in (1, 2, 3)] == [[], ["9"], []]

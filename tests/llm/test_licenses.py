@@ -55,3 +55,23 @@ def test_contained_detections_give_way():
 def test_plain_text_has_no_labels(spark):
     assert [r.labels for r in run(spark, [(1, "permit the emission of licensed taxis under the bridge")])] == [[]]
     assert run(spark, []) == []
+
+
+def test_suppression_against_all_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 60)))
+        rules = sorted([("", re.compile("".join(rng.choice(["a", "b", "a+", "b{1,3}", "[ab]*", " "]) for _ in range(rng.randint(1, 4)))),
+                         f"l{i}", rng.choice([1, 1, 2, 3]), 0.5) for i in range(5)], key=lambda r: -r[3])
+        hits = sorted((-p, m.start() - m.end(), m.start(), m.end(), label, w)
+                      for _, e, label, p, w in rules for m in e.finditer(text))
+        kept = []
+        for _, _, start, end, label, weight in hits:
+            if not any(a <= start and end <= b for a, b, _, _ in kept):
+                kept.append((start, end, label, weight))
+        assert licenses.detect(text, rules) == sorted(kept)
+
+
+def test_a_text_full_of_notices():
+    text = "licensed under the mit license, see mit license. " * 20_000
+    assert {d[2] for d in licenses.detect(text, licenses.rules())} == {"mit"}

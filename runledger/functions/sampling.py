@@ -22,6 +22,24 @@ def _area(x, z):
     return math.log(x) if z == 1 else x ** (1.0 - z) / (1.0 - z)
 
 
+def _sum_to(x, z):
+    """Column that differs from the sum of rank ** -z over the ranks below x by a constant.
+
+    x is half-way between two ranks. These are the first terms of the midpoint
+    summation formula; beyond HEAD the ones left out are below 1e-13.
+    """
+    slope = -z * F.pow(x, -(z + 1.0))
+    third = -z * (z + 1.0) * (z + 2.0) * F.pow(x, -(z + 3.0))
+    area = F.log(x) if z == 1 else F.pow(x, 1.0 - z) / (1.0 - z)
+    return area - slope / 24 + third * 7 / 5760
+
+
+def _sum_at(x, z):
+    slope = -z * x ** -(z + 1.0)
+    third = -z * (z + 1.0) * (z + 2.0) * x ** -(z + 3.0)
+    return _area(x, z) - slope / 24 + third * 7 / 5760
+
+
 def _search(u, cumulative, first, last):
     """Balanced comparison tree for the first rank whose cumulative share exceeds u."""
     if first == last:
@@ -32,11 +50,11 @@ def _search(u, cumulative, first, last):
 
 
 def zipf_rank(u, n_keys, z):
-    """Rank in 1..n_keys with probability proportional to rank ** -z.
+    """The first rank whose cumulative share exceeds u, for shares proportional to rank ** -z.
 
-    The first ranks use their exact cumulative shares. From there on the sum is
-    replaced by the integral over rank +- 1/2, which can be inverted in closed
-    form, so a key space of any size needs neither a table nor a join.
+    Shares are sums over all ranks, whatever their number. The first ones are
+    compared one by one; sums beyond them have a closed form that is exact to
+    rounding, so a key space of any size needs neither a table nor a join.
     """
     if not 0 <= z <= 4:
         raise ValueError("the zipf factor must be between 0 and 4")
@@ -44,9 +62,10 @@ def zipf_rank(u, n_keys, z):
         raise ValueError("at least one key is needed")
     if z == 0:
         return F.least(F.floor(u * n_keys) + 1, F.lit(n_keys)).cast("long")
+    z = float(z)
     head = min(HEAD, n_keys)
-    weights = [k ** -float(z) for k in range(1, head + 1)]
-    tail = _area(n_keys + 0.5, z) - _area(head + 0.5, z) if n_keys > head else 0.0
+    weights = [k ** -z for k in range(1, head + 1)]
+    tail = _sum_at(n_keys + 0.5, z) - _sum_at(head + 0.5, z) if n_keys > head else 0.0
     total = sum(weights) + tail
     cumulative, share = [], 0.0
     for weight in weights:
@@ -55,13 +74,12 @@ def zipf_rank(u, n_keys, z):
     in_head = _search(u, cumulative, 0, head - 1)
     if n_keys == head:
         return in_head
-    area = (u - cumulative[-1]) * total + _area(head + 0.5, z)
-    if z == 1:
-        x = F.exp(area)
-    else:
-        x = F.pow(F.greatest(area * (1.0 - z), F.lit(1e-300)), 1.0 / (1.0 - z))
-    # Rounding can push the last ranks out of the key space: bring them back.
-    in_tail = F.least(F.greatest(F.floor(x + 0.5), F.lit(head + 1)), F.lit(n_keys)).cast("long")
+    wanted = (u - cumulative[-1]) * total + _sum_at(head + 0.5, z)
+    x = F.exp(wanted) if z == 1 else F.pow(F.greatest(wanted * (1.0 - z), F.lit(1e-300)), 1.0 / (1.0 - z))
+    # The area alone is off by less than one rank: the sums on both sides settle it.
+    near = F.greatest(F.floor(x + 0.5), F.lit(head + 1)).cast("double")
+    rank = near + F.when(_sum_to(near + 0.5, z) <= wanted, 1).when(_sum_to(near - 0.5, z) > wanted, -1).otherwise(0)
+    in_tail = F.least(F.greatest(rank, F.lit(head + 1)), F.lit(n_keys)).cast("long")
     return F.when(u < cumulative[-1], in_head).otherwise(in_tail)
 
 

@@ -6,6 +6,7 @@ from runledger.operators.ordering import with_ordinal
 from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise, row_bytes
 
 NEIGHBOURS_PER_ROW = 100_000
+TABLES_KEPT = 6
 HREF = r'href="([^"]+)"'
 WIKI_LINK = r"\[\[([^\]|#]+)[^\]]*\]\]"
 
@@ -119,12 +120,41 @@ def bfs_encode(lists, source):
     return lists.withColumn("dist", F.when(F.col("node") == F.lit(source), 0))
 
 
+def _compacted(tables):
+    """(table, bytes) pairs, newest last, with the newest ones of like size written as one.
+
+    A row is written again only with at least half as many others, so the number
+    of tables and the rewriting grow with the logarithm of the rows.
+    """
+    if len(tables) <= TABLES_KEPT:
+        return tables
+    first = len(tables) - 1
+    size = tables[first][1]
+    while first > 0 and tables[first - 1][1] < 2 * size:
+        first -= 1
+        size += tables[first][1]
+    if first == len(tables) - 1:
+        return tables
+    merged = tables[first][0]
+    for table, _ in tables[first + 1:]:
+        merged = merged.unionByName(table)
+    return [*tables[:first], (materialise(merged, "bfs-known"), size)]
+
+
+def _union(tables):
+    known = tables[0][0]
+    for table, _ in tables[1:]:
+        known = known.unionByName(table)
+    return known
+
+
 def bfs(edges, source, max_iter=None, limit=BROADCAST_LIMIT):
     """Hops from the source to every node it reaches.
 
     Each round joins the newest nodes with the edges, keeps one row per node and
     drops the known ones. Rounds are written to the shared folder, which cuts
-    the lineage. While the newest nodes are measured to be within `limit` they
+    the lineage, and every few rounds the known nodes are compacted, so plans stay
+    small on long paths. While the newest nodes are measured to be within `limit` they
     are broadcast, so the edges are not shuffled; a larger round is a shuffled
     semi join, whose edge side may be split where it is skewed.
     """
@@ -132,15 +162,17 @@ def bfs(edges, source, max_iter=None, limit=BROADCAST_LIMIT):
     links = materialise(edges.select("src", "dst").distinct(), "bfs-edges")
     kind = links.schema["src"].dataType
     start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("dist"))
-    newest = known = materialise(start, "bfs-0")
+    newest = materialise(start, "bfs-0")
     size, step = row_bytes(newest), 0
+    known = [(newest, size)]
     while size > 0 and (max_iter is None or step < max_iter):
         step += 1
         side = newest.select(F.col("node").alias("src"))
         reached = links.join(F.broadcast(side) if size <= limit else side, "src", "left_semi")
         fresh = reached.select(F.col("dst").alias("node")).distinct().join(
-            known.select("node"), "node", "left_anti")
+            _union(known).select("node"), "node", "left_anti")
         newest = materialise(fresh.withColumn("dist", F.lit(step)), f"bfs-{step}")
-        known = known.unionByName(newest)
         size = row_bytes(newest)
-    return known
+        if size > 0:
+            known = _compacted([*known, (newest, size)])
+    return _union(known)

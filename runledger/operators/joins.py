@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators.ordering import fold_copies, unfold_copies
-from runledger.session import BROADCAST_LIMIT, fits_broadcast
+from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise
 
 STRATEGIES = ("merge", "broadcast", "salted")
 
@@ -14,6 +14,13 @@ def _key(df, position):
     return df.columns[position - 1]
 
 
+def hot_keys(df, key, salts):
+    """The keys that hold more than one row in `salts`, as column _hot: fewer than `salts` of them."""
+    total = df.filter(F.col(key).isNotNull()).count()
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(counts.filter(F.col("_n") * salts > total).select("_hot"), "hot-keys")
+
+
 def join_by_position(left, left_column, right, right_column, strategy="merge",
                      limit=BROADCAST_LIMIT, salts=16, n=None):
     """Inner join on the 1-based columns of both sides.
@@ -23,10 +30,11 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
                dealt to exactly n reducers, and nothing is split.
     broadcast  sends the left side to every task, if its measured size is within
                `limit`; beyond it this is the merge join.
-    salted     splits every key of the right side over `salts` partitions and
-               repeats the left side, for a right side whose one key is known to
-               hold a large share of the rows. Whole-row copies, which would get
-               the same salt, are folded before and unfolded after the join.
+    salted     splits the hot keys of the right side, those with more than one
+               row in `salts`, over `salts` partitions and repeats their left
+               rows. Whole-row copies, which would get the same salt, are folded
+               before and unfolded after the join. All other keys take the
+               merge join, neither folded nor repeated.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}")
@@ -40,11 +48,14 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
     if strategy == "broadcast" and fits_broadcast(left, limit):
         return F.broadcast(left).join(right, condition).select(*left.columns, *right.columns)
     if strategy == "salted":
-        repeated = left.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        folded = fold_copies(right)
-        spread = folded.withColumn(
+        hot = hot_keys(right, b, salts)
+        cold = left.hint("merge").join(right.join(F.broadcast(hot), F.col(b) == F.col("_hot"), "left_anti"), condition)
+        spread = fold_copies(right.join(F.broadcast(hot), F.col(b) == F.col("_hot"), "left_semi")).withColumn(
             "_r", F.pmod(F.xxhash64(*right.columns, "_block"), F.lit(salts)).cast("int"))
-        joined = repeated.hint("merge").join(spread, condition & (F.col("_l") == F.col("_r")))
-        return unfold_copies(joined).select(*left.columns, *right.columns)
+        repeated = left.join(F.broadcast(hot), F.col(a) == F.col("_hot"), "left_semi").withColumn(
+            "_l", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = unfold_copies(repeated.hint("merge").join(spread, condition & (F.col("_l") == F.col("_r"))))
+        columns = [*left.columns, *right.columns]
+        return cold.select(*columns).unionByName(salted.select(*columns))
     sides = (left.repartition(n, a), right.repartition(n, b)) if n else (left, right)
     return sides[0].hint("merge").join(sides[1], condition).select(*left.columns, *right.columns)

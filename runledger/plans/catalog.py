@@ -14,9 +14,9 @@ from runledger.session import scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.lines import (
-    read_attempt_logs, read_client_logs, read_cpu_reports, read_monitor, read_text)
+    read_artifacts, read_attempt_logs, read_client_logs, read_cpu_reports, read_monitor, read_text)
 from runledger.sources.specs import (
-    conf_properties, parse_param_specs, read_job_confs, read_manifest, read_param_specs, read_run_confs,
+    conf_properties, parse_param_specs, read_job_confs, read_manifest, read_param_specs, read_run_confs, read_run_list,
     with_job_of_conf)
 from runledger.sources.tables import read_table, read_tpch, spread
 from runledger.sources.wiki import read_wiki_xml
@@ -348,6 +348,24 @@ def unify_last_wins(spark, sf):
     return reshape.unify_last_wins(unify(spark, sf)).select("file_name", "expt_id", "content")
 
 
+def unify_files(spark, sf):
+    """Artifacts written to a folder per run and kind, read back for a run list that names some runs twice."""
+    events = _events(spark, sf)
+    path, listed = scratch_path(spark, "artifacts"), scratch_path(spark, "run-list")
+    number = F.regexp_extract("expt_id", r"(\d+)", 1).cast("long")
+    files = render.artifacts(events).groupBy("expt_id", "kind").agg(F.max("content").cast("string").alias("content"))
+    files = files.withColumn("file_name", F.concat_ws("_", "kind", number % 7))
+    files.repartition("expt_id").write.partitionBy("expt_id", "kind", "file_name").text(path)
+    runs = render.started_runs(events)
+    again = runs.filter(F.col("run_order") % 3 == 0)
+    both = runs.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2)))
+    # A run list is one file, as its order is that of its lines.
+    both.repartitionByRange(1, "turn", "run_order").sortWithinPartitions("turn", "run_order").select("expt_id").write.text(listed)
+    artifacts = read_artifacts(spark, path, "userlogs").withColumnRenamed("line", "content")
+    unified = reshape.unify(artifacts.drop("line_no"), read_run_list(spark, f"{listed}/part-*"), "userlogs")
+    return reshape.unify_last_wins(unified).select("file_name", "expt_id", F.col("content").cast("double"))
+
+
 def jobs_with_conf(spark, sf):
     started = read_table(spark, sf, "orders").select(
         run_id(F.col("o_orderkey")).alias("expt_id"),
@@ -515,7 +533,7 @@ def zipf_key(spark, sf):
     """Orders per zipf rank when the place of an order is its share of [0, 1)."""
     orders = read_table(spark, sf, "orders")
     u = (F.col("o_orderkey") + 0.5) / F.lit(float(orders.count()))
-    return orders.select(zipf_rank(u, 64, 1.0).alias("rank")).groupBy("rank").agg(
+    return orders.select(zipf_rank(u, 2000, 1.0).alias("rank")).groupBy("rank").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -661,5 +679,5 @@ QUERIES = [
     run_output_roundtrip, tsv_roundtrip, text_roundtrip, tpch_scan, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
     link_edges, adjacency, bfs_encode, bfs,
     attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,
-    join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
+    unify_files, join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
 ]

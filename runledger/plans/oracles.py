@@ -320,6 +320,11 @@ ORACLES = {
     "unify_last_wins": f"""with {ARTIFACTS}
         select file_name, expt_id, content from unified
         qualify row_number() over (partition by file_name order by run_order desc) = 1""",
+    "unify_files": f"""with {ARTIFACTS},
+        files as (select run_order, expt_id, 'userlogs_' || run_order % 7 as file_name, max(content) as content
+                  from unified group by all)
+        select file_name, expt_id, content from files
+        qualify row_number() over (partition by file_name order by run_order % 3 = 0 desc, run_order desc) = 1""",
     "jobs_with_conf": f"""
         select {_job('c_custkey')} as job_id, {_run('o_orderkey')} as expt_id,
                'localhost_1_' || {_job('c_custkey')} || '_conf.xml' as conf, c_name as owner
@@ -374,7 +379,7 @@ ORACLES = {
         from (select count(*) from documents)""",
     "zipf_key": """
         with total as (select count(*)::double as n from orders),
-        weights as (select k, 1.0::double / k as w from range(1, 65) r(k)),
+        weights as (select k, 1.0::double / k as w from range(1, 2001) r(k)),
         bounds as (select k, sum(w) over (order by k) / (select sum(w) from weights) as hi,
                           (sum(w) over (order by k) - w) / (select sum(w) from weights) as lo
                    from weights)

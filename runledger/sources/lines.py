@@ -119,6 +119,9 @@ def read_cpu_reports(spark, directory):
 
 
 def read_artifacts(spark, base, kind):
-    """Lines of one kind of artifact of every run: `<base>/EXPT-dddd/<kind>/<file>`."""
-    return read_lines(spark, f"{base.rstrip('/')}/EXPT-*/{kind}/*",
-                      expt_id=RUN_PATTERN, file_name=r"([^/]+)$").withColumn("kind", F.lit(kind))
+    """Lines of one kind of artifact of every run: `<base>/EXPT-dddd/<kind>/<file>`.
+
+    Folders that a partitioned writer named `kind=<kind>/file_name=<file>` are read alike.
+    """
+    return read_lines(spark, f"{base.rstrip('/')}/*EXPT-*/{{{kind},kind={kind}}}/*",
+                      expt_id=RUN_PATTERN, file_name=r"([^/=]+)(?:/part-[^/]*)?$").withColumn("kind", F.lit(kind))

@@ -1,6 +1,7 @@
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from runledger.operators import corpus
 from runledger.sources.wiki import read_wiki_xml
@@ -78,3 +79,13 @@ def test_bfs_against_a_queue(spark):
 def test_templates_of_any_depth(spark, text, plain):
     pages = spark.createDataFrame([(text,)], "text string")
     assert corpus.plain_text(pages).first().plain == plain
+
+
+def test_bfs_on_a_long_path(spark, monkeypatch):
+    """Known nodes stand in few tables whatever the number of rounds."""
+    held = []
+    compact = corpus._compacted
+    monkeypatch.setattr(corpus, "_compacted", lambda tables: held.append(len(tables)) or compact(tables))
+    edges = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.node: r.dist for r in corpus.bfs(edges, 0).collect()} == {i: i for i in range(21)}
+    assert len(held) == 20 and max(held) <= corpus.TABLES_KEPT + 2

@@ -1,3 +1,6 @@
+from bisect import bisect_right
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,16 @@ def test_zipf_shares(spark, z, n):
         assert abs(seen - expected) <= 2
 
 
+@pytest.mark.parametrize("z", [0.5, 1, 1.5, 4])
+@pytest.mark.parametrize("n", [64, 65, 3000])
+def test_zipf_ranks_follow_the_exact_sums(spark, z, n):
+    weights = [k ** -float(z) for k in range(1, n + 1)]
+    bounds = [s / sum(weights) for s in accumulate(weights)]
+    u = [(i + 0.5) / 5000 for i in range(5000)]
+    rows = spark.createDataFrame([(x,) for x in u], "u double").select("u", zipf_rank(F.col("u"), n, z).alias("rank")).collect()
+    assert all(r["rank"] == min(bisect_right(bounds, r["u"]) + 1, n) for r in rows)
+
+
 def test_zipf_key_is_a_function_of_the_row(spark):
     df = spark.range(2000)
     one = zipf_key(df, "id", 100, 1.0, seed=3)

@@ -88,3 +88,14 @@ def test_number_of_reducers(spark):
     for options in ({"n": 0}, {"n": 3, "strategy": "broadcast"}):
         with pytest.raises(ValueError, match="reducers"):
             joins.join_by_position(left, 1, right, 1, **options)
+
+
+def test_salted_join_of_hot_and_cold_keys(spark):
+    left = spark.createDataFrame([(i, f"n{i % 7}") for i in [*range(40), 3, 3]] + [(None, "null")], "a int, b string")
+    right = spark.createDataFrame([(3, i % 5) for i in range(400)] + [(i, i) for i in range(60)] + [(None, 1)] * 90, "c int, d int")
+    keys = [r[0] for r in joins.hot_keys(right, "c", 16).collect()]
+    assert keys == [3]
+    both = [sorted(map(tuple, joins.join_by_position(left, 1, right, 1, s).collect())) for s in ("merge", "salted")]
+    assert both[0] == both[1] and len(both[0]) == 3 * 401 + 39
+    assert joins.hot_keys(right.filter("c is null"), "c", 16).count() == 0
+    assert joins.join_by_position(left, 1, right.limit(0), 1, "salted").count() == 0

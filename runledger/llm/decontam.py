@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runledger.llm import textops
-from runledger.session import materialise
+from runledger.session import fits_broadcast, materialise
 
 WINDOW_WORDS = 13
 SLACK_WORDS = 2
@@ -201,9 +201,12 @@ def _blocks(windows, index, words):
     distinct = materialise(windows.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(
         F.monotonically_increasing_id().alias("window"), "terms", "items"), "windows")
     n = distinct.count()
-    counted = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(
-        F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
-    placed = distinct.select("window", F.posexplode("terms").alias("offset", "term")).join(counted, "term", "left")
+    places = distinct.select("window", F.posexplode("terms").alias("offset", "term"))
+    counted = materialise(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(
+        F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n")).join(
+            places.select("term").distinct(), "term", "left_semi"), "term-counts")
+    # A word may stand in most windows: where its size allows, the small side goes to them.
+    placed = places.join(F.broadcast(counted) if fits_broadcast(counted) else counted, "term", "left")
     ranked = materialise(placed.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(
         F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("ranked")).join(
             distinct.select("window", "items"), "window"), "ranked-windows")

@@ -78,6 +78,7 @@ def test_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "WINDOWS_PER_BLOCK", 40)
     monkeypatch.setattr(decontam, "VOCABULARY_LIMIT", 0)
     monkeypatch.setattr(decontam, "CANDIDATES_PER_STEP", 5)
+    monkeypatch.setattr(decontam, "fits_broadcast", lambda df: False)
     docs, items = tables(4)
     assert run(spark, docs, items) == brute(docs, items)
 

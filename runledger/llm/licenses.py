@@ -1,8 +1,10 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression with a keyword that must stand in the text for
-it to be tried, a label, a priority and a weight. Detections that lie inside
-another one of the same or a higher priority give way.
+it to be tried, a label, a priority and a weight. Keywords are looked up with
+every run of white space as one blank, as the expressions take any between
+words. Detections that lie inside another one of the same or a higher priority
+give way.
 """
 
 import re
@@ -40,7 +42,7 @@ LICENSES = [
     ("cc-by-nd", "cc by-nd", r"cc by-nd(?: [1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nd"),
     ("cc-by-sa", "cc by-sa", r"cc by-sa(?: [1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa"),
     ("cc-by", "cc by", r"cc by(?: [1-4]\.[05])?", r"cc-by-[1-4]\.[05]", r"creativecommons\.org/licenses/by/"),
-    ("creative-commons", "creative commons", r"creative commons(?: attribution)?(?:[ -]\w+){0,4} licen[sc]e", r"cc-pddc", r"creativecommons\.org/licenses"),
+    ("creative-commons", "creative commons", r"creative commons(?: attribution)?(?:(?: |-)\w+){0,4} licen[sc]e", r"cc-pddc", r"creativecommons\.org/licenses"),
     ("isc", "isc", r"isc licen[sc]e", r"isc", r"opensource\.org/licenses/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib", r"opensource\.org/licenses/zlib"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense\.org"),
@@ -65,7 +67,7 @@ LICENSES = [
     ("vim", "vim", r"vim licen[sc]e", r"vim", r"vimhelp\.org/uganda"),
     ("x11", "x11", r"x11 licen[sc]e", r"x11", r"x\.org/\S*license"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e", r"w3c", r"w3\.org/consortium/legal"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    ("odbl", "database", r"open (?:data commons )?(?:open )?database licen[sc]e", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
     ("pddl", "public domain dedication", r"public domain dedication (?:and )?licen[sc]e", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
     ("beerware", "beer", r"beer-?ware licen[sc]e", r"beerware", r"people\.freebsd\.org/~phk"),
@@ -109,9 +111,9 @@ def lower(text):
 
 def detect(text, ordered):
     """[(start, end, label, weight)] left after suppression; text in lower case."""
-    hits = []
+    hits, folded = [], " ".join(text.split())
     for keyword, expression, label, priority, weight in ordered:
-        if keyword in text:
+        if keyword in folded:
             hits += [(-priority, m.start() - m.end(), m.start(), m.end(), label, weight) for m in expression.finditer(text)]
     # Of the kept intervals those inside no other one: starts and ends both rise.
     kept, starts, ends = [], [], []

@@ -75,3 +75,44 @@ def test_suppression_against_all_pairs():
 def test_a_text_full_of_notices():
     text = "licensed under the mit license, see mit license. " * 20_000
     assert {d[2] for d in licenses.detect(text, licenses.rules())} == {"mit"}
+
+
+NAMES = [
+    ("agpl", "GNU Affero General Public License"), ("lgpl", "GNU Lesser General Public License"), ("gpl", "GNU General Public License"),
+    ("gfdl", "GNU Free Documentation License"), ("mit", "MIT License"), ("apache", "Apache Software License"), ("bsd", "BSD 3-Clause License"),
+    ("mpl", "Mozilla Public License"), ("epl", "Eclipse Public License"), ("edl", "Eclipse Distribution License"),
+    ("cddl", "Common Development and Distribution License"), ("cpl", "Common Public License"),
+    ("cpal", "Common Public Attribution License"), ("cc0", "CC0 1.0 Universal"), ("cc-by-nc-nd", "CC BY-NC-ND 4.0"),
+    ("cc-by-nc-sa", "CC BY-NC-SA 4.0"), ("cc-by-nc", "CC BY-NC 4.0"), ("cc-by-nd", "CC BY-ND 4.0"), ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by", "CC BY 4.0"), ("creative-commons", "Creative Commons Attribution Share Alike International License"),
+    ("isc", "ISC License"), ("zlib", "zlib License"), ("unlicense", "The Unlicense"),
+    ("wtfpl", "Do What The Fox You Want To Public License"), ("artistic", "Perl Artistic License"), ("boost", "Boost Software License"),
+    ("postgresql", "PostgreSQL License"), ("python", "Python Software Foundation License"), ("php", "PHP License"),
+    ("ruby", "Ruby License"), ("openssl", "OpenSSL License"), ("ssleay", "Original SSLeay License"), ("ofl", "SIL Open Font License"),
+    ("ms-pl", "Microsoft Public License"), ("ms-rl", "Microsoft Reciprocal License"), ("eupl", "European Union Public Licence"),
+    ("osl", "Open Software License"), ("afl", "Academic Free License"), ("ncsa", "NCSA Open Source License"), ("qpl", "Q Public License"),
+    ("sleepycat", "Sleepycat License"), ("vim", "Vim License"), ("x11", "X11 License"), ("w3c", "W3C Software Notice and License"),
+    ("odbl", "Open Data Commons Open Database License"), ("odc-by", "Open Data Commons Attribution License"),
+    ("pddl", "Public Domain Dedication and License"), ("beerware", "Beerware License"), ("json", "JSON License"),
+    ("upl", "Universal Permissive License"), ("mulan", "Mulan Permissive Software License"), ("cecill", "CeCILL Free Software License"),
+    ("ecl", "Educational Community License"), ("sspl", "Server Side Public License"), ("busl", "Business Source License"),
+    ("elastic", "Elastic License"), ("openrail", "BigScience OpenRAIL-M License")]
+
+
+def test_names_wrapped_between_any_two_words():
+    ordered = licenses.rules()
+    assert {label for label, _ in NAMES} == {row[0] for row in licenses.LICENSES}
+    for label, name in [*NAMES, ("odbl", "Open Data Commons Database License")]:
+        words = f"Licensed under the {name}".lower().split()
+        plain = [(d[2], d[3]) for d in licenses.detect(" ".join(words), ordered)]
+        assert (label, 0.95) in plain, name
+        for gap in ("\n", "  ", "\n    ", "\t", "\u00a0"):
+            texts = [gap.join(words), *(" ".join(words[:i]) + gap + " ".join(words[i:]) for i in range(1, len(words)))]
+            for text in texts:
+                assert [(d[2], d[3]) for d in licenses.detect(text, ordered)] == plain, repr(text)
+
+
+def test_wrapped_names_reach_the_scan(spark):
+    found = run(spark, [(1, "Licensed under the SIL Open\nFont License."), (2, "licensed under the GNU General\n  Public License")])
+    assert {r.doc_id: r.labels for r in found} == {1: ["ofl"], 2: ["gpl"]}
+    assert {r.doc_id: round(r.score, 6) for r in found} == {1: 0.95, 2: 0.98}

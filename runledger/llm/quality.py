@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from runledger.llm import textops
 
 PASSAGE_BYTES = 512
+# Stands for the byte after the last one of a text, which has no neighbour there.
+END = 0x10000
 GRAM_BUCKETS = 256
 CLASSES = 12
 FEATURES = GRAM_BUCKETS + CLASSES + 3
@@ -45,7 +47,8 @@ def encode(column):
 
     A row is cut every PASSAGE_BYTES bytes; an empty or null one is a single
     empty passage. Features are shares: hashed byte pairs, byte classes, length,
-    distinct pairs and the share of the commonest pair.
+    distinct pairs and the share of the commonest pair. No feature depends on
+    other rows: the last byte of a row is paired with END.
     """
     data, bounds = textops.text_bytes(column)
     size = np.diff(bounds)
@@ -57,6 +60,8 @@ def encode(column):
     length = np.bincount(passage, minlength=total)
     pair = data.astype(np.uint32)
     pair[:-1] = (pair[:-1] << 8) | data[1:]
+    last = bounds[1:][size > 0] - 1
+    pair[last] = data[last] | np.uint32(END)
     bucket = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.int64)
     grams = np.bincount(passage * GRAM_BUCKETS + bucket, minlength=total * GRAM_BUCKETS).reshape(total, -1)
     kinds = np.bincount(passage * CLASSES + BYTE_CLASS[data], minlength=total * CLASSES).reshape(total, -1)

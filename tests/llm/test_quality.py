@@ -89,3 +89,25 @@ def test_passages_cover_whole_texts():
     features, first = quality.encode(pa.array(["a" * 1300, None, "b"]))
     assert first.tolist() == [0, 3, 4] and len(features) == 5
     assert abs(features[:3, -3].sum() * quality.PASSAGE_BYTES - 1300) < 1e-2
+
+
+def test_features_do_not_depend_on_other_rows():
+    texts = ["b", "water", "", None, "é" * 256, "x" * 511 + "!", "stone\n", "b"]
+    alone = [quality.encode(pa.array([t], pa.string()))[0] for t in texts]
+    for order in (range(8), range(7, -1, -1), [1, 0, 3, 6, 4, 2, 7, 5]):
+        features, first = quality.encode(pa.array([texts[i] for i in order], pa.string()))
+        ends = [*first[1:], len(features)]
+        for i, a, b in zip(order, first, ends):
+            assert np.array_equal(features[a:b], alone[i]), texts[i]
+
+
+def test_equal_texts_score_alike_anywhere():
+    rng = random.Random(6)
+    words = ["water", "stone", "!!", "b", "river 7"]
+    bags = [quality.encode(pa.array([" ".join(rng.choices(words, k=rng.randint(1, 9)))]))[0] for _ in range(60)]
+    model = quality.QualityModel.train(bags, [float(i % 2) for i in range(60)])
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 400))) for _ in range(40)]
+    alone = np.array([model.score_rows(pa.array([t]))[0] for t in texts])
+    for _ in range(5):
+        order = rng.sample(range(40), 40)
+        assert np.allclose(model.score_rows(pa.array([texts[i] for i in order])), alone[order], rtol=0, atol=1e-5)

@@ -81,19 +81,22 @@ class Encoder:
     """Ids of text columns as the tokenizer file defines them, with the pieces seen so far.
 
     New pieces are merged in bulk by the ranks of the file's own vocabulary,
-    where ids rise in merge order; whole texts fall back on the tokenizer.
+    where ids rise in merge order; whole texts fall back on the tokenizer. With
+    added_tokens the content of an added token in a text gets the token's own
+    id, as the tokenizer does by default; without, it is text like any other.
     """
 
-    def __init__(self, tokenizer_path):
+    def __init__(self, tokenizer_path, added_tokens=False):
         import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         stand_in = _bytes_of_symbols()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(stand_in[c] for c in token): number
                  for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items()
                  if token not in special}
+        self.whole = sorted(special) if added_tokens else []
         self.merger = tiktoken.Encoding("pieces", pat_str=r" ?\S+|\s", mergeable_ranks=ranks, special_tokens={})
         self.newline = ranks[b"\n"]
         self.hasher = Hasher()
@@ -149,16 +152,22 @@ class Encoder:
         table = classes()
         odd = codes >= KNOWN_BELOW
         odd |= table[np.where(odd, 0, codes)] == 255
+        apart = np.zeros(len(whole), dtype=bool)
         if odd.any():
             seen = np.concatenate([[0], np.cumsum(odd)])
-            return self._mixed(whole, seen[bounds[1:]] > seen[bounds[:-1]])
+            apart = seen[bounds[1:]] > seen[bounds[:-1]]
+        for content in self.whole:
+            if content in joined:  # perhaps only across a row bound
+                apart |= np.fromiter((content in t for t in whole), bool, len(whole))
+        if apart.any():
+            return self._mixed(whole, apart)
         return self._fast(joined, codes, bounds)
 
-    def _mixed(self, texts, odd):
-        usual = [t for t, o in zip(texts, odd) if not o]
+    def _mixed(self, texts, apart):
+        usual = [t for t, o in zip(texts, apart) if not o]
         flat, bounds = self.rows(pa.array(usual, pa.large_string()))
         parts, seen = [], 0
-        for text, o in zip(texts, odd):
+        for text, o in zip(texts, apart):
             if o:
                 parts.append(self._plain(text))
             else:
@@ -193,5 +202,5 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(tokenizer_path):
-    """One encoder per Python worker, kept from task to task."""
-    return Encoder(tokenizer_path)
+    """One encoder per Python worker, kept from task to task; its ids are those of the unmodified tokenizer."""
+    return Encoder(tokenizer_path, added_tokens=True)

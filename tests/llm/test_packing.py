@@ -107,3 +107,20 @@ def test_patterns_hold_the_histogram(seed):
             found[n] = found.get(n, 0) + count
     assert found == histogram
     assert len(patterns) <= 4 * len(histogram)
+
+
+def test_added_tokens_as_the_unmodified_tokenizer(spark):
+    unmodified = Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "The tokens", "日本", "'s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(2000)]
+    texts += ["a <|endoftext|> b", "<|endof", "text|>", None, "", "<|endoftext|>"]
+    flat, bounds = bpe.encoder(PATH).rows(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert [*flat[a:b].tolist(), 0] == ids_of(unmodified, text), repr(text)
+    flat, bounds = bpe.encoder(PATH).rows(pa.array(["<|endof", "text|>"]))  # an added token only across rows
+    assert flat.tolist() == ids_of(unmodified, "<|endof")[:-1] + ids_of(unmodified, "text|>")[:-1]
+    assert 50256 in ids_of(unmodified, "a <|endoftext|> b")
+    rows = list(enumerate(texts[-6:]))
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, capacity=16).collect()
+    check(unmodified, rows, packed, 16)

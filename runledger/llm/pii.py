@@ -182,6 +182,7 @@ def listed(spans):
 def redact(docs, **options):
     """The documents with every span replaced by its kind in brackets.
 
+    Of spans that overlap, the later one stands for what it has beyond the others.
     All columns are kept; n_chars, where there is one, follows the new text.
     Texts without spans, null ones too, stay as they are.
     """
@@ -190,9 +191,9 @@ def redact(docs, **options):
     same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     clean = F.expr(f"""CASE WHEN _spans IS NULL THEN text ELSE aggregate(_spans, struct(0 AS pos, '' AS done),
-        (acc, s) -> CASE WHEN s.start < acc.pos THEN acc ELSE struct(
+        (acc, s) -> CASE WHEN s.end <= acc.pos THEN acc ELSE struct(
             s.end AS pos,
-            concat(acc.done, substring(text, acc.pos + 1, s.start - acc.pos), array({names})[s.kind]) AS done) END,
+            concat(acc.done, substring(text, acc.pos + 1, greatest(s.start - acc.pos, 0)), array({names})[s.kind]) AS done) END,
         acc -> concat(acc.done, substring(text, acc.pos + 1))) END""")
     columns = {"text": clean}
     rows = docs.join(found, same, "left").withColumns(columns)

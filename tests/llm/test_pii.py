@@ -122,3 +122,18 @@ def test_redact(spark):
     assert rows.columns == docs.columns
     assert sorted(map(tuple, rows.collect()), key=str) == sorted([
         (1, "à [EMAIL], [IP]!", 16, "x"), (2, None, 0, "y"), (3, "clean", 5, "z"), (None, "[IP]", 4, "n"), (3, "mail [EMAIL]", 12, "z")], key=str)
+
+
+def test_redact_covers_overlapping_spans(spark):
+    rows = [(1, "call +1 (202) 555-0123.bob@mail.com now", "call [PHONE][EMAIL] now"),
+            (2, "at 10.0.0.4111 x", None), (3, "1.2.3.4 and me@a.bc", "[IP] and [EMAIL]"),
+            (4, "+1 202 555 0123@a.bc", "[PHONE][EMAIL]")]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for doc_id, text, wanted in rows:
+        if wanted is not None:
+            assert clean[doc_id] == wanted
+        gone = {i for s in spans[doc_id] for i in range(s["start"], s["end"])}
+        left = "".join(c for i, c in enumerate(text) if i not in gone)
+        assert re.sub(r"\[[A-Z]+\]", "", clean[doc_id]) == left

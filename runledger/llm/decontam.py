@@ -11,6 +11,7 @@ holds a third of all tokens has its postings spread over all of them.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from runledger.llm import textops
 from runledger.session import fits_broadcast, materialise
@@ -22,8 +23,10 @@ VOCABULARY_LIMIT = 4_000_000
 SEGMENT_BYTES = 2 << 20
 CANDIDATES_PER_STEP = 1 << 20
 
-INDEX_SCHEMA = ("doc_id array<long>, text_key array<long>, first array<long>, n_words array<long>, "
+INDEX_SCHEMA = ("segment long, doc_id array<long>, text_key array<long>, first array<long>, n_words array<long>, "
                 "terms array<long>, counts array<long>, postings binary")
+PART_SCHEMA = ("segment long, part int, doc_id array<long>, text_key array<long>, first array<long>, n_words array<long>, "
+               "places array<long>, changes array<long>, docs array<long>, items array<string>, exact array<boolean>")
 FOUND_SCHEMA = ("doc_id long, text_key long, n_words long, n_hit long, "
                 "items array<string>, near_items array<string>")
 
@@ -72,7 +75,7 @@ def build_index(docs, vocabulary=None, gap=WINDOW_WORDS + 2 * SLACK_WORDS + 1):
         if known is not None:
             seen = np.zeros(1 << 20, dtype=bool)
             seen[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        for chunk in textops.chunks(batches, limit=SEGMENT_BYTES):
+        for number, chunk in enumerate(textops.chunks(batches, limit=SEGMENT_BYTES)):
             hashes, before = _terms(hasher, chunk.column("text"))
             n_words = np.diff(before)
             first = before[:-1] + gap * np.arange(1, chunk.num_rows + 1)
@@ -87,6 +90,7 @@ def build_index(docs, vocabulary=None, gap=WINDOW_WORDS + 2 * SLACK_WORDS + 1):
             terms, counts = np.unique(hashes, return_counts=True)
             deltas = np.diff(positions, prepend=np.uint32(0))
             yield pa.RecordBatch.from_arrays([
+                pa.array([(TaskContext.get().partitionId() << 32) | number], pa.int64()),
                 pa.array([chunk.column("doc_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64()), from_pandas=True)
                 if chunk.column("doc_id").null_count == 0 else
                 pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -94,7 +98,7 @@ def build_index(docs, vocabulary=None, gap=WINDOW_WORDS + 2 * SLACK_WORDS + 1):
                 pa.array([first], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int64())),
                 pa.array([terms.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
                 pa.array([textops.pack(deltas)], pa.binary())],
-                ["doc_id", "text_key", "first", "n_words", "terms", "counts", "postings"])
+                ["segment", "doc_id", "text_key", "first", "n_words", "terms", "counts", "postings"])
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(run, INDEX_SCHEMA)
 
@@ -151,52 +155,95 @@ class _Segment:
         return np.searchsorted(self.first, start, "right") - 1
 
 
-def _items_by_doc(pairs, names, n_docs):
+def _items_by_doc(pairs, n_docs):
     found = [[] for _ in range(n_docs)]
     for doc, item in sorted(pairs):
-        found[doc].append(names[item])
+        found[doc].append(item)
     return found
 
 
-def _searcher(blocks, slack):
-    def rows_of(row):
-        segment = _Segment(row)
-        marks = np.zeros(segment.size + 64, np.int64)
-        exact_pairs, near_pairs, names, number = set(), set(), [], {}
-        for shared in blocks:
-            block = shared.value
-            for window, start, exact in segment.search(block, slack):
-                length = block["length"][window]
-                # A proximity match may begin before its text, but its rarest term stands in it.
-                doc = segment.doc_of(start + block["offset"][window, 0])
-                np.add.at(marks, start[exact], 1)
-                np.add.at(marks, (start + length)[exact], -1)
-                for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist())):
-                    for item in block["items"][w]:
-                        if item not in number:
-                            number[item] = len(names)
-                            names.append(item)
-                        (exact_pairs if e else near_pairs).add((d, number[item]))
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-        n_hit = covered[segment.first + segment.n_words] - covered[segment.first]
-        docs = len(segment.first)
-        return pa.RecordBatch.from_arrays([
-            pa.array(row["doc_id"], pa.int64()), pa.array(row["text_key"], pa.int64()),
-            pa.array(segment.n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-            pa.array(_items_by_doc(exact_pairs, names, docs), pa.list_(pa.string())),
-            pa.array(_items_by_doc(near_pairs - exact_pairs, names, docs), pa.list_(pa.string()))],
-            ["doc_id", "text_key", "n_words", "n_hit", "items", "near_items"])
-
+def _search(segment, block, slack):
+    """(marks at which exact matches begin and end, exact pairs, near pairs) of a block; pairs are (row, item_id)."""
+    marks, exact_pairs, near_pairs = np.zeros(segment.size + 64, np.int64), set(), set()
+    for window, start, exact in segment.search(block, slack):
+        length = block["length"][window]
+        # A proximity match may begin before its text, but its rarest term stands in it.
+        doc = segment.doc_of(start + block["offset"][window, 0])
+        np.add.at(marks, start[exact], 1)
+        np.add.at(marks, (start + length)[exact], -1)
+        for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist())):
+            (exact_pairs if e else near_pairs).update((d, item) for item in block["items"][w])
+    return marks, exact_pairs, near_pairs
+
+
+def _found(row, marks, exact_pairs, near_pairs):
+    first, n_words = np.asarray(row["first"], np.int64), np.asarray(row["n_words"], np.int64)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+    n_hit = covered[first + n_words] - covered[first]
+    return pa.RecordBatch.from_arrays([
+        pa.array(row["doc_id"], pa.int64()), pa.array(row["text_key"], pa.int64()),
+        pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+        pa.array(_items_by_doc(exact_pairs, len(first)), pa.list_(pa.string())),
+        pa.array(_items_by_doc(near_pairs - exact_pairs, len(first)), pa.list_(pa.string()))],
+        ["doc_id", "text_key", "n_words", "n_hit", "items", "near_items"])
+
+
+def _each(work):
+    """Runs work(row) for one row after the other; None gives no rows."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield rows_of({name: batch.column(name)[i].as_py() for name in batch.schema.names})
+                out = work({name: batch.column(name)[i].as_py() for name in batch.schema.names})
+                if out is not None:
+                    yield out
             textops.release()
     return run
 
 
+def _searcher(shared, slack):
+    """The answer, when there is one block or none."""
+    def rows_of(row):
+        segment = _Segment(row)
+        block = shared.value if shared is not None else None
+        return _found(row, *(_search(segment, block, slack) if block else (np.zeros(segment.size + 64, np.int64), set(), set())))
+    return _each(rows_of)
+
+
+def _part_searcher(shared, slack, part):
+    """What one of several blocks finds, for each segment in which it finds something."""
+    def rows_of(row):
+        marks, exact, near = _search(_Segment(row), shared.value, slack)
+        if not exact and not near:
+            return None
+        places, pairs = np.flatnonzero(marks), [*((*p, True) for p in exact), *((*p, False) for p in near)]
+        docs, items, kinds = zip(*pairs)
+        values = [row["segment"], part, None, None, None, None, places, marks[places], docs, items, kinds]
+        kinds = [pa.int64(), pa.int32()] + [pa.list_(pa.int64())] * 7 + [pa.list_(pa.string()), pa.list_(pa.bool_())]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
+                                          [c.split()[0] for c in PART_SCHEMA.split(", ")])
+    return _each(rows_of)
+
+
+def _merge(batches):
+    """Answers of segments from what all blocks found; the rows of a segment follow each other, part 0 first."""
+    row = None
+    for part in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+        if part["part"] == 0:
+            if row is not None:
+                yield _found(row, marks, exact, near)
+            row, exact, near = part, set(), set()
+            size = row["first"][-1] + row["n_words"][-1] + 1 if row["first"] else 1
+            marks = np.zeros(size + 64, np.int64)
+        else:
+            marks[part["places"]] += part["changes"]
+            for doc, item, is_exact in zip(part["docs"], part["items"], part["exact"]):
+                (exact if is_exact else near).add((doc, item))
+    if row is not None:
+        yield _found(row, marks, exact, near)
+
+
 def _blocks(windows, index, words):
-    """Broadcast blocks of the distinct windows, terms of each by their count in the index."""
+    """Number of blocks of the distinct windows and an iterator that broadcasts one; terms by their count in the index."""
     spark = windows.sparkSession
     distinct = materialise(windows.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(
         F.monotonically_increasing_id().alias("window"), "terms", "items"), "windows")
@@ -211,7 +258,8 @@ def _blocks(windows, index, words):
         F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("ranked")).join(
             distinct.select("window", "items"), "window"), "ranked-windows")
     n_blocks = -(-n // WINDOWS_PER_BLOCK)
-    for number in range(n_blocks):
+
+    def block(number):
         rows = ranked.filter(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == number).select("ranked", "items").toArrow()
         terms = np.zeros((len(rows), words), np.uint64)
         offsets = np.zeros((len(rows), words), np.int64)
@@ -220,8 +268,9 @@ def _blocks(windows, index, words):
             length[i] = len(ranked_terms)
             for rank, t in enumerate(ranked_terms):
                 terms[i, rank], offsets[i, rank] = t["term"] % (1 << 64), t["offset"]
-        yield spark.sparkContext.broadcast({
+        return spark.sparkContext.broadcast({
             "terms": terms, "offset": offsets, "length": length, "items": rows.column("items").to_pylist()})
+    return n_blocks, map(block, range(n_blocks))
 
 
 def _vocabulary(windows):
@@ -242,13 +291,22 @@ def find_contamination(docs, benchmark, words=WINDOW_WORDS, slack=SLACK_WORDS):
 
     Null and wordless texts have 0 words and no items. Repeated rows and ids
     are judged row by row. An empty benchmark gives no items. The benchmark goes
-    to the tasks in broadcast blocks of at most WINDOWS_PER_BLOCK windows, so
-    every row is held against every window, whatever the size of either table.
+    to the tasks in broadcast blocks of at most WINDOWS_PER_BLOCK windows, one
+    after the other: a block is dropped before the next one is made, and what the
+    blocks find is added up by segment. So every row is held against every
+    window, whatever the size of either table.
     """
     windows = materialise(phrase_windows(benchmark, words), "phrases")
     index = materialise(build_index(docs, _vocabulary(windows), words + 2 * slack + 1), "positional-index")
-    blocks = list(_blocks(windows, index, words))
-    return index.mapInArrow(_searcher(blocks, slack), FOUND_SCHEMA)
+    n_blocks, blocks = _blocks(windows, index, words)
+    if n_blocks <= 1:
+        return index.mapInArrow(_searcher(next(blocks, None), slack), FOUND_SCHEMA)
+    parts = index.select("segment", F.lit(0).alias("part"), "doc_id", "text_key", "first", "n_words")
+    for number, shared in enumerate(blocks, 1):
+        part = materialise(index.mapInArrow(_part_searcher(shared, slack, number), PART_SCHEMA), f"part-{number}")
+        shared.destroy()
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    return parts.repartition("segment").sortWithinPartitions("segment", "part").mapInArrow(_merge, FOUND_SCHEMA)
 
 
 def is_contaminated(n_hit, n_words):

@@ -121,3 +121,24 @@ def test_near_match_belongs_to_the_text_of_its_rarest_word(spark):
     bench = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
     rows = {r.doc_id: r for r in decontam.find_contamination(docs, bench, slack=3).collect()}
     assert [rows[i].near_items for i in (1, 2, 3)] == [[], ["9"], []]
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "WINDOWS_PER_BLOCK", 40)
+    docs, items = tables(5)
+    made, gone, blocks = [], [], decontam._blocks
+
+    def watched(*args):
+        n, found = blocks(*args)
+
+        def each():
+            for shared in found:
+                assert made == gone
+                made.append(id(shared))
+                destroy = shared.destroy
+                shared.destroy = lambda shared=shared, destroy=destroy: (gone.append(id(shared)), destroy())
+                yield shared
+        return n, each()
+    monkeypatch.setattr(decontam, "_blocks", watched)
+    assert run(spark, docs, items) == brute(docs, items)
+    assert len(made) > 2 and made == gone

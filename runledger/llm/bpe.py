@@ -181,7 +181,7 @@ class Encoder:
         starts = np.flatnonzero(piece_starts(codes, bounds[:-1][bounds[:-1] < len(codes)]))
         ends = np.append(starts[1:], len(codes))
         sums = self.hasher.prefix_of(mix(codes.astype(np.uint64) + np.uint64(1)))
-        hashes = self.hasher.spans(sums, starts, ends)
+        hashes = self.hasher.spans(sums, starts, ends, codes)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         _, there = self._find(distinct)
         new = np.flatnonzero(~there)

@@ -36,7 +36,7 @@ def _terms(hasher, column):
     data, bounds = textops.text_bytes(column)
     data = textops.LOWER[data]
     starts, ends, before = textops.word_spans(data, bounds, textops.ALNUM)
-    return hasher.spans(hasher.prefix(data), starts, ends), before
+    return hasher.spans(hasher.prefix(data), starts, ends, data), before
 
 
 def phrase_windows(benchmark, words=WINDOW_WORDS):

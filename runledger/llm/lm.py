@@ -102,7 +102,7 @@ def _segments(docs):
             data, bounds = textops.text_bytes(chunk.column("text"))
             data = textops.LOWER[data]
             starts, ends, before = textops.word_spans(data, bounds, textops.NONBLANK)
-            hashes = hasher.spans(hasher.prefix(data), starts, ends)
+            hashes = hasher.spans(hasher.prefix(data), starts, ends, data)
             n = np.diff(before)
             at = before[:-1] + 2 * np.arange(len(n))
             stream = np.empty(len(hashes) + 2 * len(n), np.uint64)

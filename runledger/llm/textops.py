@@ -5,12 +5,14 @@ task. Null text counts as empty text throughout.
 """
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+LONG_SPAN = 32
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -89,7 +91,10 @@ class Hasher:
     """64-bit hashes of any spans of a byte array from one running sum.
 
     The sum of symbol * multiplier^i over a prefix gives every span by one
-    subtraction; powers of the inverse take the place out again.
+    subtraction; powers of the inverse take the place out again. Modulo 2^64 such
+    sums are equal for long balanced, self-similar spans and their mirror images,
+    whatever the multiplier, so spans above LONG_SPAN symbols are hashed one by
+    one from their own bytes when `data` is given.
     """
 
     def __init__(self):
@@ -113,9 +118,14 @@ class Hasher:
         np.cumsum(symbols * self._powers[:len(symbols)], out=sums[1:])
         return sums
 
-    def spans(self, sums, starts, ends):
+    def spans(self, sums, starts, ends, data=None):
         values = (sums[ends] - sums[starts]) * self._inverses[starts]
-        return mix(values + (ends - starts).astype(np.uint64))
+        hashes = mix(values + (ends - starts).astype(np.uint64))
+        if data is not None:
+            for i in np.flatnonzero(ends - starts > LONG_SPAN):
+                digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+                hashes[i] = int.from_bytes(digest, "little")
+        return hashes
 
     def grams(self, sums, k):
         """Hashes of all k-byte grams, by start."""

@@ -142,3 +142,18 @@ def test_one_block_is_held_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(decontam, "_blocks", watched)
     assert run(spark, docs, items) == brute(docs, items)
     assert len(made) > 2 and made == gone
+
+
+def mirrored(n):
+    """Two words of n letters that polynomial hashes modulo 2^64 cannot tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_sums_cannot_tell_apart(spark):
+    pairs = [mirrored(n) for n in (1024, 2048)]
+    docs = [(i, w) for i, (_, w) in enumerate(pairs)] + [(9, pairs[0][0])]
+    items = [(i, w) for i, (w, _) in enumerate(pairs)]
+    found = run(spark, docs, items)
+    assert found == brute(docs, items)
+    assert [row[2] for row in found] == [0, 0, 1]

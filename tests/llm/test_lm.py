@@ -83,3 +83,12 @@ def test_probabilities_sum_to_one(spark):
     total = sum((arcs.get(w, 0) + lm.STRENGTH * p) / (c["a"] + lm.STRENGTH) for w, p in base.items())
     assert abs(total - 1) < 1e-12
     assert run(spark, rows) == brute(rows, lm.ORDER, lm.STRENGTH)
+
+
+def test_long_words_that_sums_cannot_tell_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    seen = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(seen, word), (held, mirror), (seen + 1000, word[:1024]), (held, mirror[:1024])]
+    assert run(spark, rows) == brute(rows, lm.ORDER, lm.STRENGTH)

@@ -36,6 +36,16 @@ def test_encoder_equals_tokenizer(tokenizer, seed):
         assert [*flat[a:b].tolist(), 0] == ids_of(tokenizer, text), repr(text)
 
 
+def test_long_pieces_that_sums_cannot_tell_apart(tokenizer):
+    texts = []
+    for n in (1024, 2048):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    flat, bounds = bpe.Encoder(PATH).rows(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert [*flat[a:b].tolist(), 0] == ids_of(tokenizer, text)
+
+
 def test_piece_memory_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "PIECES_IN_MEMORY", 10)
     encoder = bpe.Encoder(PATH)

@@ -153,4 +153,27 @@ select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
 from placed
 """
 
-ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES}
+URLS = r"""
+with parts as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages
+),
+rules(verdict, rule_host, rule_path) as (
+  values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+),
+numbered as (select row_number() over () as row_no, * from parts),
+best as (
+  select row_no, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(verdict, length(rule_host || rule_path)) as verdict
+  from numbered join rules
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by row_no
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from numbered left join best using (row_no)
+"""
+
+ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES, "op11_urls": URLS}

@@ -2,13 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, suffixes, warc, winnow
+from runledger.llm import decontam, licenses, lm, packing, pii, quality, simhash, suffixes, urls, warc, winnow
 from runledger.llm.oracles import ORACLES  # noqa: F401
 from runledger.session import scratch_path
 from runledger.sources.tables import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
+# The rules of the URL query, as action, host and path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
 
 def tokenizer_path():
     """The public vocabulary file that the queries use; operators take any path."""
@@ -76,5 +85,10 @@ def op10_quality(spark, sf):
     return quality.score_documents(_documents(spark, sf), read_table(spark, sf, "labels"))
 
 
+def op11_urls(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(read_table(spark, sf, "pages").select("page_id", "url"), rules).drop("url")
+
+
 QUERIES = [op1_pii, op2_packing, op3_decontamination, op4_suffixes, op5_warc, op6_fingerprints, op7_licenses,
-           op8_simhash, op9_lm, op10_quality]
+           op8_simhash, op9_lm, op10_quality, op11_urls]

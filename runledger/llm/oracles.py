@@ -176,4 +176,55 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from numbered left join best using (row_no)
 """
 
-ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES, "op11_urls": URLS}
+INTERACTION = r"""
+with texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents
+),
+firsts as (
+  select text, min(doc_id) as first_id from texts group by text
+),
+marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels where doc_id is not null group by doc_id
+),
+failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (case when len(words) < 200 then ['A'] else [] end)
+    || (case when 100 * len(list_distinct(words)) < 50 * len(words) then ['B'] else [] end)
+    || (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then ['C'] else [] end)
+    || (case when regexp_matches(text, '[#$%&*|]') then ['D'] else [] end)
+    || (case when doc_id > first_id then ['E'] else [] end) as fails
+  from texts join firsts using (text) left join marks using (doc_id)
+),
+combos as (
+  select part, good, toxic, fails, count(*) as n from failed group by all
+),
+letters(letter) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select [a.letter, b.letter, c.letter, d.letter, e.letter] as letters
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+),
+steps as (
+  select array_to_string(letters, '') as filter_order, step, letters[step] as own, letters[1:step - 1] as before
+  from orders, (select unnest(range(1, 6)) as step)
+),
+counted as (
+  select part, filter_order, step, own,
+    sum(case when not list_contains(fails, own) and not list_has_any(fails, before) then n else 0 end) as kept,
+    sum(case when list_contains(fails, own) and not list_has_any(fails, before) then n else 0 end) as removed,
+    sum(case when list_contains(fails, own) and list_has_any(fails, before) then n else 0 end) as redundant,
+    sum(case when fails = [own] then n else 0 end) as unique_fails,
+    sum(case when list_contains(fails, own) and not list_has_any(fails, before) then n * good else 0 end) as good_lost,
+    sum(case when list_contains(fails, own) and not list_has_any(fails, before) then n * toxic else 0 end) as toxic_lost
+  from combos, steps group by all
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from counted
+"""
+
+ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES, "op11_urls": URLS, "op13_interaction": INTERACTION}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runledger.llm import decontam, interaction, licenses, lm, packing, pii, quality, simhash, suffixes, urls, warc, winnow
+from runledger.llm import decontam, interaction, licenses, lm, packing, pii, quality, repair, simhash, suffixes, urls, warc, winnow
 from runledger.llm.oracles import ORACLES  # noqa: F401
 from runledger.session import scratch_path
 from runledger.sources.tables import read_table
@@ -90,9 +90,13 @@ def op11_urls(spark, sf):
     return urls.judge(read_table(spark, sf, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op12_conversations(spark, sf):
+    return repair.report(repair.repair(repair.damage(read_table(spark, sf, "conversations"))))
+
+
 def op13_interaction(spark, sf):
     return interaction.audit(_documents(spark, sf), read_table(spark, sf, "labels"))
 
 
 QUERIES = [op1_pii, op2_packing, op3_decontamination, op4_suffixes, op5_warc, op6_fingerprints, op7_licenses,
-           op8_simhash, op9_lm, op10_quality, op11_urls, op13_interaction]
+           op8_simhash, op9_lm, op10_quality, op11_urls, op12_conversations, op13_interaction]

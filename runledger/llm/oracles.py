@@ -227,4 +227,104 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
 from counted
 """
 
-ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES, "op11_urls": URLS, "op13_interaction": INTERACTION}
+_FAR = 1 << 40
+
+
+def _edit(state, cost, letter, line="''"):
+    """A state (cost, audit, text) after one more edit."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+def _least(*states):
+    return f"list_min([{', '.join(states)}])"
+
+
+def _insertions(found):
+    """Columns s0 to s3 with rows inserted before the next one; three insertions can follow each other."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    for _ in range(2):
+        found = (f"select * replace ({_least('s2', *(_edit(s, 5, 'I', user) for s in ('s0', 's1', 's3')))} as s2, "
+                 f"{_least('s3', _edit('s2', 5, 'I', assistant))} as s3) from ({found})")
+    return found
+
+
+def _conversations():
+    far = f"{{'c': {_FAR}, 'a': '', 't': ''}}"
+    line = "chr(10) || role || ':' || text"
+    rerole = {who: f"chr(10) || '{who}:' || text" for who in ("user", "assistant")}
+
+    def kept(state, initial):
+        return f"case when must_go or initial <> '{initial}' then {far} else {_edit(state, 'extra', 'K', line)} end"
+
+    def changed(state, role):
+        return f"case when must_go then {far} else {_edit(state, '1 + extra', 'R', rerole[role])} end"
+    speak = [f(s, x) for s in ("w.s0", "w.s1", "w.s3") for f, x in ((kept, "u"), (changed, "user"))]
+    step = f"""
+    select w.key, r.place, {_edit('w.s0', 2, 'D')} as s0, {_least(_edit('w.s1', 2, 'D'), kept('w.s0', 's'))} as s1,
+      {_least(_edit('w.s2', 2, 'D'), *speak)} as s2,
+      {_least(_edit('w.s3', 2, 'D'), kept('w.s2', 'a'), changed('w.s2', 'assistant'))} as s3
+    from walk w join numbered r on r.key = w.key and r.place = w.place + 1"""
+    start = f"select key, cast(0 as bigint) as place, {{'c': cast(0 as bigint), 'a': '', 't': ''}} as s0, {far} as s1, {far} as s2, {far} as s3 from ids"
+    return rf"""
+with recursive ids as (
+  select distinct conv_id, coalesce(cast(conv_id as varchar), '') as key from conversations
+),
+spaced as (
+  select conv_id, coalesce(cast(conv_id as varchar), '') as key, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as place_key
+  from conversations
+),
+hashed as (
+  select *, xor(4294967295, list_reduce(
+      list_prepend(cast(4294967295 as bigint), list_transform(string_split(place_key, ''), lambda c: cast(ascii(c) as bigint))),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, unused: xor(x >> 1, 3988292384 * (x & 1))))) % 20 as fate
+  from spaced
+),
+damaged as (
+  select conv_id, key, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when fate = 3 then 2 else 1 end)) as copy
+  from hashed where fate <> 0
+),
+ordered as (
+  select *, row_number() over (partition by key order by turn nulls first, role, text, copy) as place,
+    rtrim(text, E' 	
+') as bare
+  from damaged
+),
+judged as (
+  select *, left(role, 1) as initial, row_number() over (partition by key, role, text order by place) > 1 as seen,
+    lag(left(role, 1)) over (partition by key order by place) as before
+  from ordered
+),
+numbered as (
+  select *, bare = '' or seen as must_go, bare = '' as blank, bare <> '' and seen as duplicate,
+    bare <> '' and not seen and right(bare, 1) not in ('.', '!', '?') as truncated,
+    case when right(bare, 1) not in ('.', '!', '?') then 5 else 0 end as extra,
+    place > 1 and before || initial not in ('su', 'ua', 'au') as illegal
+  from judged
+),
+counted as (
+  select key, count(*) as n, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps,
+    count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (illegal) as illegal
+  from numbered group by key
+),
+walk as (
+  {_insertions(start)}
+  union all
+  {_insertions(step)}
+),
+ends as (
+  select key, place, {_least('s0', 's3')} as best from walk
+)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit,
+  sha256(best.t[2:]) as repaired_sha256
+from ids left join counted using (key) join ends on ends.key = ids.key and ends.place = coalesce(n, 0)
+"""
+
+
+ORACLES = {"op3_decontamination": CONTAMINATION, "op4_suffixes": REPEATS, "op5_warc": ARCHIVES, "op11_urls": URLS, "op12_conversations": _conversations(),
+           "op13_interaction": INTERACTION}

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from runledger.operators.joins import hot_keys
 from runledger.operators.ordering import with_ordinal
-from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise, row_bytes
+from runledger.session import BROADCAST_LIMIT, bucketed, fits_broadcast, materialise, row_size, shuffle_partitions
 
 NEIGHBOURS_PER_ROW = 100_000
 TABLES_KEPT = 6
+FEW_NODES = 256
 HREF = r'href="([^"]+)"'
 WIKI_LINK = r"\[\[([^\]|#]+)[^\]]*\]\]"
 
@@ -120,12 +122,22 @@ def bfs_encode(lists, source):
     return lists.withColumn("dist", F.when(F.col("node") == F.lit(source), 0))
 
 
-def _compacted(tables):
+def _kept(rows, size, limit, label):
+    """Known nodes as a table: in buckets if they are too large to be broadcast."""
+    return (bucketed(rows, "node", label) if size > limit else materialise(rows, label)), size
+
+
+def _compacted(tables, limit):
     """(table, bytes) pairs, newest last, with the newest ones of like size written as one.
 
     A row is written again only with at least half as many others, so the number
-    of tables and the rewriting grow with the logarithm of the rows.
+    of tables and the rewriting grow with the logarithm of the rows. Small tables that
+    are together beyond the limit become one table in buckets.
     """
+    small = [pair for pair in tables if pair[1] <= limit]
+    total = sum(size for _, size in small)
+    if total > limit:
+        return [*(pair for pair in tables if pair[1] > limit), _kept(_union(small), total, limit, "bfs-known")]
     if len(tables) <= TABLES_KEPT:
         return tables
     first = len(tables) - 1
@@ -135,10 +147,7 @@ def _compacted(tables):
         size += tables[first][1]
     if first == len(tables) - 1:
         return tables
-    merged = tables[first][0]
-    for table, _ in tables[first + 1:]:
-        merged = merged.unionByName(table)
-    return [*tables[:first], (materialise(merged, "bfs-known"), size)]
+    return [*tables[:first], _kept(_union(tables[first:]), size, limit, "bfs-known")]
 
 
 def _union(tables):
@@ -148,31 +157,83 @@ def _union(tables):
     return known
 
 
-def bfs(edges, source, max_iter=None, limit=BROADCAST_LIMIT):
+def _without(fresh, known, limit):
+    """Fresh nodes that are in none of the tables: small ones are broadcast together, large ones keep their buckets."""
+    small = [pair for pair in known if pair[1] <= limit]
+    if small:
+        side = _union(small).select("node")
+        fresh = fresh.join(F.broadcast(side), "node", "left_anti")
+    for table, size in known:
+        if size > limit:
+            fresh = fresh.join(table.select("node").hint("merge"), "node", "left_anti")
+    return fresh
+
+
+def _values(rows, column):
+    """The values of a column of few rows."""
+    return [r[0] for r in rows.select(column).distinct().collect()]
+
+
+class _Links:
+    """Edges for search rounds: bucketed by their source, those of hubs apart and spread."""
+
+    def __init__(self, edges, limit, few, hubs):
+        spark, pairs = edges.sparkSession, materialise(edges.select("src", "dst").filter("src is not null and dst is not null"), "bfs-all")
+        self.limit, self.few = limit, few
+        found = hot_keys(pairs, "src", hubs or shuffle_partitions(spark))
+        self.hubs = F.array(*[F.lit(k) for k in found]).cast(f"array<{pairs.schema['src'].dataType.simpleString()}>")
+        is_hub = F.array_contains(self.hubs, F.col("src"))
+        self.plain = bucketed(pairs.filter(~is_hub) if found else pairs, "src", "bfs-edges")
+        self.of_hubs = materialise(pairs.filter(is_hub), "bfs-hubs") if found else None
+
+    def reached(self, newest, rows, size):
+        """Ends of the edges that start in the newest nodes, each once."""
+        side = newest.select(F.col("node").alias("src"))
+        if rows <= self.few:
+            found = self.plain.filter(F.col("src").isin(_values(side, "src")))
+        elif size <= self.limit:
+            found = self.plain.join(F.broadcast(side), "src", "left_semi")
+        else:
+            found = self.plain.join(side.hint("merge"), "src", "left_semi")
+        if self.of_hubs is not None:
+            met = _values(side.filter(F.array_contains(self.hubs, F.col("src"))), "src")
+            if met:
+                found = found.unionByName(self.of_hubs.filter(F.col("src").isin(met)))
+        return found.select(F.col("dst").alias("node")).distinct()
+
+
+def bfs(edges, source, max_iter=None, limit=BROADCAST_LIMIT, few=FEW_NODES, hubs=None):
     """Hops from the source to every node it reaches.
 
-    Each round joins the newest nodes with the edges, keeps one row per node and
-    drops the known ones. Rounds are written to the shared folder, which cuts
-    the lineage, and every few rounds the known nodes are compacted, so plans stay
-    small on long paths. While the newest nodes are measured to be within `limit` they
-    are broadcast, so the edges are not shuffled; a larger round is a shuffled
-    semi join, whose edge side may be split where it is skewed.
+    Edges are written once, in buckets by source. A round asks for the edges of its newest
+    nodes: by value if there are at most `few`, so that only their buckets are read; by
+    broadcast while they are measured to be within `limit`; else by a merge join, whose sides
+    have the same buckets. The nodes reached are shuffled once, and those that are known are
+    dropped: known nodes that are together within `limit` are broadcast, all others stand in
+    the buckets that the nodes reached were shuffled to. So no round shuffles edges or
+    more than `limit` of known nodes. Every few rounds known nodes are compacted, so plans stay
+    small on long paths. The rounds' tables cut the lineage.
+
+    Hubs, the sources of more than one edge in `hubs` (the number of shuffle partitions if
+    not given), would fill a bucket: their edges stand apart, spread over all tasks, and are
+    read whole when a round has one of the hubs, a list of at most 4 * `hubs`. Repeated
+    edges do no harm; those with a null end lead nowhere; a null or unknown source reaches itself only.
     """
     spark = edges.sparkSession
-    links = materialise(edges.select("src", "dst").distinct(), "bfs-edges")
-    kind = links.schema["src"].dataType
-    start = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("dist"))
-    newest = materialise(start, "bfs-0")
-    size, step = row_bytes(newest), 0
+    links = _Links(edges, limit, few, hubs)
+    kind = edges.schema["src"].dataType
+    newest = materialise(spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0).alias("dist")), "bfs-0")
+    (rows, size), step = row_size(newest), 0
+    if size > limit:
+        newest, _ = _kept(newest, size, limit, "bfs-0")
     known = [(newest, size)]
-    while size > 0 and (max_iter is None or step < max_iter):
+    while rows > 0 and (max_iter is None or step < max_iter):
         step += 1
-        side = newest.select(F.col("node").alias("src"))
-        reached = links.join(F.broadcast(side) if size <= limit else side, "src", "left_semi")
-        fresh = reached.select(F.col("dst").alias("node")).distinct().join(
-            _union(known).select("node"), "node", "left_anti")
+        fresh = _without(links.reached(newest, rows, size), known, limit)
         newest = materialise(fresh.withColumn("dist", F.lit(step)), f"bfs-{step}")
-        size = row_bytes(newest)
-        if size > 0:
-            known = _compacted([*known, (newest, size)])
+        rows, size = row_size(newest)
+        if rows > 0:
+            if size > limit:
+                newest, _ = _kept(newest, size, limit, f"bfs-{step}")
+            known = _compacted([*known, (newest, size)], limit)
     return _union(known)

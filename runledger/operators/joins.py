@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators.ordering import fold_copies, unfold_copies
-from runledger.session import BROADCAST_LIMIT, fits_broadcast, materialise
+from runledger.session import BROADCAST_LIMIT, fits_broadcast
 
 STRATEGIES = ("merge", "broadcast", "salted")
 
@@ -15,10 +15,17 @@ def _key(df, position):
 
 
 def hot_keys(df, key, salts):
-    """The keys that hold more than one row in `salts`, as column _hot: fewer than `salts` of them."""
-    total = df.filter(F.col(key).isNotNull()).count()
-    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-    return materialise(counts.filter(F.col("_n") * salts > total).select("_hot"), "hot-keys")
+    """At most 4 * salts values of a column, among them all that more than one row in `salts` has.
+
+    One pass with a mergeable sketch of frequent items. It keeps at least 64 counters
+    a salt; their counts are too low by at most 3.5 / 64 of a hot key's smallest count, and
+    it reports whatever it has counted beyond that error, most frequent first. Fewer than
+    2 * salts values can be counted as high as a hot one, so none of those is cut off.
+    """
+    counters = max(1024, 64 * salts)
+    top = F.call_function("approx_top_k", F.col(key), F.lit(4 * salts), F.lit(counters))
+    found = df.filter(F.col(key).isNotNull()).agg(top.alias("top")).first()["top"]
+    return [item["item"] for item in found or []]
 
 
 def join_by_position(left, left_column, right, right_column, strategy="merge",
@@ -31,8 +38,8 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
     broadcast  sends the left side to every task, if its measured size is within
                `limit`; beyond it this is the merge join.
     salted     splits the hot keys of the right side, those with more than one
-               row in `salts`, over `salts` partitions and repeats their left
-               rows. Whole-row copies, which would get the same salt, are folded
+               row in `salts` and perhaps some more that a sketch finds in one pass,
+               over `salts` partitions and repeats their left rows. Whole-row copies, which would get the same salt, are folded
                before and unfolded after the join. All other keys take the
                merge join, neither folded nor repeated.
     """
@@ -48,12 +55,12 @@ def join_by_position(left, left_column, right, right_column, strategy="merge",
     if strategy == "broadcast" and fits_broadcast(left, limit):
         return F.broadcast(left).join(right, condition).select(*left.columns, *right.columns)
     if strategy == "salted":
-        hot = hot_keys(right, b, salts)
-        cold = left.hint("merge").join(right.join(F.broadcast(hot), F.col(b) == F.col("_hot"), "left_anti"), condition)
-        spread = fold_copies(right.join(F.broadcast(hot), F.col(b) == F.col("_hot"), "left_semi")).withColumn(
+        hot = F.array(*[F.lit(k) for k in hot_keys(right, b, salts)]).cast(f"array<{right.schema[b].dataType.simpleString()}>")
+        is_hot = lambda column: F.coalesce(F.array_contains(hot, F.col(column)), F.lit(False))
+        cold = left.hint("merge").join(right.filter(~is_hot(b)), condition)
+        spread = fold_copies(right.filter(is_hot(b))).withColumn(
             "_r", F.pmod(F.xxhash64(*right.columns, "_block"), F.lit(salts)).cast("int"))
-        repeated = left.join(F.broadcast(hot), F.col(a) == F.col("_hot"), "left_semi").withColumn(
-            "_l", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        repeated = left.filter(is_hot(a)).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = unfold_copies(repeated.hint("merge").join(spread, condition & (F.col("_l") == F.col("_r"))))
         columns = [*left.columns, *right.columns]
         return cold.select(*columns).unionByName(salted.select(*columns))

@@ -69,6 +69,23 @@ def materialise(df, label):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df, column, label):
+    """Like materialise, the rows hashed into one bucket per shuffle partition and sorted there.
+
+    Merge joins of such tables on the column, with each other or with rows shuffled
+    on it, leave them where they are; a filter on a few values of it reads their buckets only.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = os.path.basename(path).replace("-", "_")
+    n = shuffle_partitions(spark)
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    # The name is only needed to write buckets; the files stay, and the table reads them.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _width(field):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -78,12 +95,17 @@ def _width(field):
     return F.lit(16)
 
 
-def row_bytes(df):
-    """Total size of the rows in memory, measured in one distributed pass."""
+def row_size(df):
+    """(number of rows, their total size in memory), measured in one distributed pass."""
     width = F.lit(8).cast("long")
     for field in df.schema.fields:
         width = width + _width(field)
-    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first())
+
+
+def row_bytes(df):
+    """Total size of the rows in memory."""
+    return row_size(df)[1]
 
 
 def fits_broadcast(df, limit=BROADCAST_LIMIT):

@@ -62,9 +62,11 @@ def test_bfs_against_a_queue(spark):
                 near[dst] = near[node] + 1
                 queue.append(dst)
     edges = spark.createDataFrame(pairs, "src int, dst int")
-    for limit in (0, 1 << 20):
-        assert {r.node: r.dist for r in corpus.bfs(edges, 12, limit=limit).collect()} == near
+    for options in ({"limit": 0, "few": 0}, {"few": 3, "hubs": 60}):
+        assert {r.node: r.dist for r in corpus.bfs(edges, 12, **options).collect()} == near
     assert [tuple(r) for r in corpus.bfs(edges, 77).collect()] == [(77, 0)]
+    odd = spark.createDataFrame([(12, None), (None, 12), (12, 13), (12, 13), (13, 12)], "src int, dst int")
+    assert sorted(tuple(r) for r in corpus.bfs(odd, 12).collect()) == [(12, 0), (13, 1)]
     two = {k: v for k, v in near.items() if v <= 2}
     assert {r.node: r.dist for r in corpus.bfs(edges, 12, max_iter=2).collect()} == two
 
@@ -85,7 +87,36 @@ def test_bfs_on_a_long_path(spark, monkeypatch):
     """Known nodes stand in few tables whatever the number of rounds."""
     held = []
     compact = corpus._compacted
-    monkeypatch.setattr(corpus, "_compacted", lambda tables: held.append(len(tables)) or compact(tables))
-    edges = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    assert {r.node: r.dist for r in corpus.bfs(edges, 0).collect()} == {i: i for i in range(21)}
-    assert len(held) == 20 and max(held) <= corpus.TABLES_KEPT + 2
+    monkeypatch.setattr(corpus, "_compacted", lambda tables, limit: held.append(len(tables)) or compact(tables, limit))
+    edges = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.node: r.dist for r in corpus.bfs(edges, 0).collect()} == {i: i for i in range(13)}
+    assert len(held) == 12 and max(held) <= corpus.TABLES_KEPT + 2
+
+
+def test_bfs_from_a_hub(spark):
+    """A node with a third of all edges is searched by its own spread table."""
+    pairs = [(0, i) for i in range(1, 500)] + [(i, i + 1000) for i in range(1, 500)] + [(i, 0) for i in range(1, 500)]
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    found = {r.node: r.dist for r in corpus.bfs(edges, 7).collect()}
+    assert found == {7: 0, 0: 1, 1007: 1} | {i: 2 for i in range(1, 500) if i != 7} | {i + 1000: 3 for i in range(1, 500) if i != 7}
+
+
+def test_bfs_rounds_leave_edges_and_known_nodes_in_place(spark, monkeypatch):
+    """Beyond the broadcast limit only the nodes that a round reaches are shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, written = [], corpus.materialise
+
+    def keep(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, label)
+    monkeypatch.setattr(corpus, "materialise", keep)
+    edges = spark.range(3000).select((F.col("id") % 50).cast("int").alias("src"), (F.col("id") * 7 % 400).cast("int").alias("dst"))
+    try:
+        corpus.bfs(edges, 1, limit=0, few=0, hubs=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [plan for label, plan in plans if label.startswith("bfs-") and label[4:].isdigit() and label != "bfs-0"]
+    assert len(rounds) > 3
+    for number, plan in enumerate(rounds, 1):
+        assert plan.count("Exchange") == 1, plan
+        assert plan.count("Bucketed: true") == 2 + number, plan

@@ -93,9 +93,35 @@ def test_number_of_reducers(spark):
 def test_salted_join_of_hot_and_cold_keys(spark):
     left = spark.createDataFrame([(i, f"n{i % 7}") for i in [*range(40), 3, 3]] + [(None, "null")], "a int, b string")
     right = spark.createDataFrame([(3, i % 5) for i in range(400)] + [(i, i) for i in range(60)] + [(None, 1)] * 90, "c int, d int")
-    keys = [r[0] for r in joins.hot_keys(right, "c", 16).collect()]
-    assert keys == [3]
+    assert 3 in joins.hot_keys(right, "c", 16)
     both = [sorted(map(tuple, joins.join_by_position(left, 1, right, 1, s).collect())) for s in ("merge", "salted")]
     assert both[0] == both[1] and len(both[0]) == 3 * 401 + 39
-    assert joins.hot_keys(right.filter("c is null"), "c", 16).count() == 0
+    assert joins.hot_keys(right.filter("c is null"), "c", 16) == []
     assert joins.join_by_position(left, 1, right.limit(0), 1, "salted").count() == 0
+
+
+@pytest.mark.parametrize("salts", [2, 16, 64])
+def test_sketched_keys_hold_all_hot_ones(spark, salts):
+    """Many keys just above and just below the bound, among very many rare ones, over several tasks."""
+    n = 40_000
+    heavy = [(f"h{k}",) for k in range(salts - 1) for _ in range(n // salts + 1)][:n * 9 // 10]
+    rare = [(f"r{i}",) for i in range(n - len(heavy))]
+    rows = spark.createDataFrame(heavy + rare, "k string").repartition(7)
+    counts = {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
+    hot = {k for k, c in counts.items() if c * salts > n}
+    found = joins.hot_keys(rows, "k", salts)
+    assert hot <= set(found) and len(found) <= 4 * salts and hot
+
+
+def test_salted_join_scans(spark):
+    """The right side is read three times: for the sketch, the cold and the hot keys."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    right = spark.createDataFrame([(3, i) for i in range(400)] + [(i, i) for i in range(60)], "c int, d int").mapInArrow(counted, "c int, d int")
+    left = spark.createDataFrame([(i, "x") for i in range(60)], "a int, b string")
+    assert joins.join_by_position(left, 1, right, 1, "salted").count() == 460
+    assert seen.value <= 3 * 460

@@ -20,11 +20,6 @@ _HTML = [
 ]
 _COMMENT = (r"(?s)<!--.*?-->", " ")
 _WIKI = [
-    (r"(?is)<ref[^>/]*>.*?</ref>", " "),
-    (r"(?s)\{\|.*?\|\}", " "),
-    (r"\[\[(?:File|Image|Category):[^\]]*\]\]", " "),
-    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
-    (r"\[\[([^\]]*)\]\]", "$1"),
     (r"\[https?://[^\s\]]+ ?([^\]]*)\]", "$1"),
     (r"'{2,}", ""),
     (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"),
@@ -34,28 +29,93 @@ _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&n
              ("&amp;", "&")]
 
 
-# Noncharacters, which no text may hold, stand for the template marks.
-_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+# A reference's tag up to its end, a `>` outside quotes; one that ends in `/>` has no text.
+_REF = r"""(?i:<ref(?:\s(?:"[^"]*"|'[^']*'|[^>"'])*)?)"""
+_FILES = "(?:File|Image|Category):"
+# Brackets of wiki text: opening and closing expression, and the literal forms of marks without a partner.
+# A table's end is not the end of a template whose last argument is empty.
+_BRACKETS = [
+    (r"\{\{", r"\}\}", "{{", "}}"),
+    (r"\{\|", r"\|\}(?!\}(?!\}))", "{|", "|}"),
+    (r"\[\[", r"\]\]", "[[", "]]"),
+    (rf"{_REF}(?<!/)>", r"(?i:</ref\s*>)", " ", " "),
+]
+# Noncharacters, which no text may hold, stand for the marks: opening and closing by kind.
+_OPEN = [chr(0xFDD0 + 2 * kind) for kind in range(len(_BRACKETS))]
+_CLOSE = [chr(0xFDD1 + 2 * kind) for kind in range(len(_BRACKETS))]
+_MARKS = f"[{_OPEN[0]}-{_CLOSE[-1]}]"
+_BETWEEN = f"[^{_OPEN[0]}-{_CLOSE[-1]}]*"
+_LINK_OPEN, _LINK_CLOSE = _OPEN[2], _CLOSE[2]
+# What an innermost pair becomes: a link its label or target, all others a blank.
+_INNERMOST = [
+    *[(f"{o}{_BETWEEN}{c}", " ") for o, c in zip(_OPEN, _CLOSE) if o != _LINK_OPEN],
+    (f"{_LINK_OPEN}{_FILES}{_BETWEEN}{_LINK_CLOSE}", " "),
+    (f"{_LINK_OPEN}(?!{_FILES})(?:[^|{_OPEN[0]}-{_CLOSE[-1]}]*\\|)?({_BETWEEN}){_LINK_CLOSE}", "$1"),
+]
 
 
-def _without_templates(text):
-    """Text whose templates, nested to any depth, became blanks.
+def _replaced(text, rules):
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
-    The text is cut at the marks and folded over a stack of open templates; a
-    mark without a partner stays in the text.
-    """
-    marked = F.replace(F.replace(text, F.lit("{{"), F.lit(_OPEN)), F.lit("}}"), F.lit(_CLOSE))
-    pieces = F.split(marked, f"(?<=[{_OPEN}{_CLOSE}])|(?=[{_OPEN}{_CLOSE}])")
 
-    def fold(stack, piece):
-        below, top = F.slice(stack, 1, F.size(stack) - 1), F.element_at(stack, -1)
-        closed = F.concat(F.slice(stack, 1, F.size(stack) - 2), F.array(F.concat(F.element_at(stack, -2), F.lit(" "))))
-        return (F.when(piece == _OPEN, F.concat(stack, F.array(F.lit(""))))
-                .when((piece == _CLOSE) & (F.size(stack) > 1), closed)
-                .otherwise(F.concat(below, F.array(F.concat(top, F.when(piece == _CLOSE, "}}").otherwise(piece))))))
+def _partners(marks):
+    """(positions of marks without a partner, depth of nesting) from marks (kind, opens, at) in order.
 
-    folded = F.aggregate(pieces, F.array(F.lit("")), fold, lambda stack: F.array_join(stack, "{{"))
-    return F.when(F.contains(text, F.lit("{{")), folded).otherwise(text)
+    A stack of open marks with their kinds. A closing mark takes the nearest open one of
+    its kind; open marks above that one have no partner.
+    """
+    start = F.struct(F.array().cast("array<struct<kind:int,at:int>>").alias("stack"),
+                     F.array().cast("array<int>").alias("lost"), F.lit(0).alias("depth"))
+
+    def read(state, mark):
+        stack, lost, depth = state["stack"], state["lost"], state["depth"]
+        pushed = F.concat(stack, F.array(F.struct(mark["kind"].alias("kind"), mark["at"].alias("at"))))
+        above = F.array_position(F.reverse(F.transform(stack, lambda s: s["kind"])), mark["kind"]).cast("int")
+        left = F.size(stack) - above
+        over = F.transform(F.slice(stack, left + 2, above - 1), lambda s: s["at"])
+        new = lambda stack, lost, depth: F.struct(stack.alias("stack"), lost.alias("lost"), depth.alias("depth"))
+        return (F.when(mark["opens"], new(pushed, lost, F.greatest(depth, F.size(pushed))))
+                .when(above == 0, new(stack, F.concat(lost, F.array(mark["at"])), depth))
+                .otherwise(new(F.slice(stack, F.lit(1), left), F.concat(lost, over), depth)))
+
+    def finish(state):
+        rest = F.transform(state["stack"], lambda s: s["at"])
+        return F.struct(F.concat(state["lost"], rest).alias("lost"), state["depth"].alias("depth"))
+    return F.aggregate(marks, start, read, finish)
+
+
+def _without_brackets(text):
+    """Text whose templates, tables and references became blanks and whose links became their labels.
+
+    Brackets of all kinds may stand in each other to any depth. Marks without a partner stay in
+    the text, or become a blank if they are tags. Pairs are replaced from the innermost
+    outward, in as many passes over the text as brackets are nested.
+    """
+    rules = [(bracket[0], o) for bracket, o in zip(_BRACKETS, _OPEN)] + [(bracket[1], c) for bracket, c in zip(_BRACKETS, _CLOSE)]
+    # Ends of tables first: of three braces behind a bar, one is the table's.
+    marked = _replaced(text, sorted(rules, key=lambda rule: rule[1] != _CLOSE[1]))
+    pieces = F.split(marked, f"(?<={_MARKS})|(?={_MARKS})")
+    placed = F.transform(pieces, lambda p, i: F.struct((F.ascii(p) - 0xFDD0).alias("code"), F.length(p).alias("size"), i.alias("at")))
+    marks = F.transform(
+        F.filter(placed, lambda m: (m["size"] == 1) & m["code"].between(0, 2 * len(_BRACKETS) - 1)),
+        lambda m: F.struct(F.shiftright(m["code"], 1).alias("kind"), (m["code"] % 2 == 0).alias("opens"), m["at"].alias("at")))
+
+    def literal(piece):
+        written = piece
+        for bracket, o, c in zip(_BRACKETS, _OPEN, _CLOSE):
+            written = F.when(piece == o, bracket[2]).when(piece == c, bracket[3]).otherwise(written)
+        return written
+
+    def resolved(found):
+        paired = F.array_join(F.transform(found["pieces"], lambda p, i: F.when(
+            F.array_contains(found["partners"]["lost"], i), literal(p)).otherwise(p)), "")
+        passes = F.filter(F.sequence(F.lit(0), found["partners"]["depth"]), lambda n: n > 0)
+        return F.aggregate(passes, paired, lambda t, _: _replaced(t, _INNERMOST))
+    # An array of one, so that pieces and partners are made once for all their uses.
+    once = F.transform(F.array(F.struct(pieces.alias("pieces"), _partners(marks).alias("partners"))), resolved)
+    return F.when(marked.rlike(_MARKS), F.get(once, F.lit(0))).otherwise(text)
 
 
 def plain_text(pages, markup="wiki", column="text"):
@@ -64,9 +124,8 @@ def plain_text(pages, markup="wiki", column="text"):
         raise ValueError("markup must be wiki or html")
     text = F.col(column)
     if markup == "wiki":
-        text = _without_templates(F.regexp_replace(text, *_COMMENT))
-    for pattern, replacement in _HTML if markup == "html" else _WIKI:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = _without_brackets(_replaced(text, [_COMMENT, (f"{_REF}(?<=/)>", " ")]))
+    text = _replaced(text, _HTML if markup == "html" else _WIKI)
     for entity, character in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
     text = F.trim(F.regexp_replace(text, "[ \t\n\r\f]+", " "))

@@ -447,7 +447,7 @@ ORACLES = {
         from events group by 1, 2""",
     "plain_text_wiki": """
         select page_id, 'Page ' || page_id || ' see the next and Page ' || (page_id % 10)
-                        || '. Source ' || url as plain
+                        || '. Source ' || url || ' }} {{ end' as plain
         from pages""",
     "link_edges_wiki": """
         select url as src, 'Page ' || (page_id + 1) as dst from pages

@@ -184,11 +184,14 @@ def spec_documents(table, key):
 
 
 def wiki_pages(pages):
-    """Pages as wiki mark-up: a template of depth three and links to two other pages."""
+    """Pages as wiki mark-up: links to two other pages among templates, tables, references and captions, three deep."""
     number = F.col("page_id")
     text = F.concat(
         F.lit("'''Page "), number, F.lit("''' {{box|x {{in|{{deep|"), number, F.lit("}} y}} z}} see [[Page "),
-        number + 1, F.lit("|the next]] and [[Page "), number % 10, F.lit("]].\n== Source ==\n"), F.col("url"))
+        number + 1, F.lit("|the {{x|[[y]]}}next]]<ref name=\"a/b\">in {{y|{| z |}}}</ref> and [[Page "), number % 10,
+        F.lit("]].\n[[File:a.jpg|thumb|A [[Page "), number + 1, F.lit("|caption [[Page "), number % 10,
+        F.lit("]]]] of it]]\n== Source ==\n{| a {| b {{c}} |} [[Page "), number % 10, F.lit("]] |}"), F.col("url"),
+        F.lit("<ref name='c>d'/> }} {{ end"))
     return pages.select("page_id", F.col("url").alias("title"), text.alias("text"))
 
 

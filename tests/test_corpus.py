@@ -77,8 +77,19 @@ def test_bfs_against_a_queue(spark):
     ("open {{ stays and {{goes}} on", "open {{ stays and on"),
     ("close }} stays", "close }} stays"),
     ("{{a\nb}}c", "c"), ("", ""), (None, None),
+    ("[[File:a.jpg|thumb|A [[link]] in [[b|the {{t}} caption]]]] x [[Image:b|[[c]]]]y", "x y"),
+    ("[[a|b [[c|d]] e]] [[f [[g]]]]", "b d e f g"),
+    ("a {| b {| c {{d|{| e |}}} |} f |} g", "a g"),
+    ("{{a|}} b {{c|{| d |}}} e {{{1|}}} f", "b e f"),
+    ('a<ref name="b/c">d</ref>e<ref name="f/"/>g<REF>h {{i}} [[j]]</ref >k', "a e g k"),
+    ('a<ref name="b>c">d</ref>e <references/>f<ref name="g>/"/>h', "a e f h"),
+    ("a [[b {{c]] d}} e", "a b {{c d}} e"),
+    ("a {{b [[c}} d]] e", "a d]] e"),
+    ("[[open a {| b {{c}}", "[[open a {| b"),
+    ("]] close |} }} a", "]] close |} }} a"),
+    ("[[" * 40 + "x" + "]]" * 40, "x"),
 ])
-def test_templates_of_any_depth(spark, text, plain):
+def test_brackets_of_any_depth(spark, text, plain):
     pages = spark.createDataFrame([(text,)], "text string")
     assert corpus.plain_text(pages).first().plain == plain
 

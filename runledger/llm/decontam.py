@@ -318,10 +318,11 @@ def drop_contaminated(docs, benchmark):
     """The documents without those of which a twentieth or more stands in the benchmark.
 
     The verdict follows from the text alone, so repeated rows share it; rows
-    without words are clean. All columns are kept.
+    without words are clean. All columns are kept. Texts are only shuffled if the list of
+    contaminated ones is measured to be beyond the broadcast limit.
     """
     found = find_contamination(docs, benchmark)
-    bad = found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(
-        "doc_id", F.col("text_key").alias("key")).distinct()
-    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["key"])
-    return docs.join(bad, same, "left_anti")
+    bad = materialise(found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(
+        "doc_id", F.col("text_key").alias("key")).distinct(), "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["key"])
+    return docs.join(F.broadcast(bad) if fits_broadcast(bad) else bad, same, "left_anti")

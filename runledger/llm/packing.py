@@ -147,9 +147,14 @@ def pack(docs, tokenizer_path, capacity=CAPACITY, end_id=END_ID, with_ids=False)
 
 
 def sequences(packed, capacity=CAPACITY, pad_id=END_ID):
-    """(sequence_id, ids, used): padded token sequences of pieces packed with their ids."""
+    """(sequence_id, ids, used): token sequences of pieces packed with their ids.
+
+    Sequences are padded to the capacity, except those that are a power of two long.
+    No pieces give no sequences; pieces that repeat a doc_id stand apart.
+    """
     parts = packed.groupBy("sequence_id").agg(
         F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     ids = F.flatten("parts.ids")
-    padding = F.array_repeat(F.lit(pad_id), F.greatest(F.lit(0), F.lit(capacity) - F.size(ids)))
+    missing = F.when(F.bit_count(F.size(ids)) == 1, 0).otherwise(F.greatest(F.lit(0), F.lit(capacity) - F.size(ids)))
+    padding = F.array_repeat(F.lit(pad_id), missing)
     return parts.select("sequence_id", F.concat(ids, padding).alias("ids"), F.size(ids).alias("used"))

@@ -9,7 +9,7 @@ other shapes that stand in the same contexts.
 
 from pyspark.sql import functions as F
 
-from runledger.session import materialise
+from runledger.session import fits_broadcast, materialise
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -184,20 +184,24 @@ def redact(docs, **options):
 
     Of spans that overlap, the later one stands for what it has beyond the others.
     All columns are kept; n_chars, where there is one, follows the new text.
-    Texts without spans, null ones too, stay as they are.
+    Texts without spans, null ones too, stay as they are; rows that repeat a doc_id are judged by
+    their own texts. Texts are only shuffled if the spans are measured to be beyond the broadcast limit.
     """
-    found = find(docs.select("doc_id", "text"), **options).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
+    found = materialise(find(docs.select("doc_id", "text"), **options).filter(F.size("spans") > 0).select(
+        "doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"]), "pii-spans")
+    # Longer than any column of the documents, so it clashes with none.
+    name = "_" * (1 + max(map(len, docs.columns)))
+    found = found.select(*[F.col(c).alias(f"{name}{c}") for c in found.columns])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{name}doc_id")) & (F.xxhash64(docs["text"]) == F.col(f"{name}text_key"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    clean = F.expr(f"""CASE WHEN _spans IS NULL THEN text ELSE aggregate(_spans, struct(0 AS pos, '' AS done),
+    spans = f"{name}spans"
+    clean = F.expr(f"""CASE WHEN {spans} IS NULL THEN text ELSE aggregate({spans}, struct(0 AS pos, '' AS done),
         (acc, s) -> CASE WHEN s.end <= acc.pos THEN acc ELSE struct(
             s.end AS pos,
             concat(acc.done, substring(text, acc.pos + 1, greatest(s.start - acc.pos, 0)), array({names})[s.kind]) AS done) END,
         acc -> concat(acc.done, substring(text, acc.pos + 1))) END""")
-    columns = {"text": clean}
-    rows = docs.join(found, same, "left").withColumns(columns)
+    rows = docs.join(F.broadcast(found) if fits_broadcast(found) else found, same, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), changed).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(spans).isNotNull(), changed).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

@@ -177,7 +177,8 @@ def _sample(docs, labels, max_docs, max_passages):
     target = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.avg("quality").alias("target"))
     passages = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE_BYTES)
-    sized = docs.select("doc_id", F.greatest(passages, F.lit(1)).alias("n")).join(target, "doc_id")
+    sized = docs.select("doc_id", F.greatest(passages, F.lit(1)).alias("n")).join(target, "doc_id").groupBy("doc_id").agg(
+        F.max("n").alias("n"), F.first("target").alias("target"))
     rows = sized.orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(max_docs).collect()
     chosen, total = {}, 0
     for r in rows:
@@ -191,8 +192,8 @@ def fit(docs, labels, max_docs=TRAIN_DOCS, max_passages=TRAIN_PASSAGES):
     """A model fitted on at most max_docs labelled documents with at most max_passages passages.
 
     The sample is taken in the order of a hash of doc_id; a document that would
-    pass the bound on passages is left out of the sample. Returns None when no
-    document is labelled.
+    pass the bound on passages is left out of the sample. Of texts under one doc_id the
+    one with the smallest hash is taken. Returns None when no document is labelled.
     """
     chosen = _sample(docs, labels, max_docs, max_passages)
     if not chosen:
@@ -208,7 +209,9 @@ def fit(docs, labels, max_docs=TRAIN_DOCS, max_passages=TRAIN_PASSAGES):
                 [chunk.column("doc_id"), pa.array([features[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
                 ["doc_id", "features"])
     # At most max_docs ids: a bounded broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))).alias("text"))
+    rows = texts.mapInArrow(
         run, "doc_id long, features binary").orderBy("doc_id").collect()
     bags = [np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES) for r in rows]
     return QualityModel.train(bags, [chosen[r["doc_id"]] for r in rows])
@@ -240,7 +243,11 @@ def score_documents(docs, labels, **bounds):
 
 
 def keep_good(docs, labels, **bounds):
-    """The documents scored at least THRESHOLD, with all their columns."""
+    """The documents scored at least THRESHOLD, with all their columns.
+
+    Null and empty texts are scored like any other, repeated rows alike; without
+    labelled rows every document is judged by UNTRAINED_SCORE.
+    """
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     value = score(plain, labels.filter(~held_out(F.col("doc_id"))), **bounds)
     return docs.filter(value >= THRESHOLD)

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from runledger.llm import components, textops
-from runledger.session import materialise
+from runledger.session import fits_broadcast, materialise
 
 BITS = 64
 SEED = 42
@@ -189,10 +189,19 @@ def near_duplicates(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS):
 def keep_one(docs, shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS):
     """The documents without all but one of each near-duplicate group.
 
-    The document with the smallest doc_id stays. Of rows that repeat its id one
-    stays. Rows without doc_id belong to no group that could be named and stay.
+    The document with the smallest doc_id stays. Of rows that repeat its id the one with
+    the smallest hash of all its columns stays, whatever their order. Rows without doc_id belong to no
+    group that could be named and stay. Texts are only shuffled if the list of the
+    ids that go is measured to be beyond the broadcast limit.
     """
-    keep = near_duplicates(docs, shingle_words, max_bits).filter(
-        F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    groups = materialise(near_duplicates(docs, shingle_words, max_bits).select("doc_id", "component_id").filter(
+        "doc_id is not null"), "simhash-groups")
+    ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(ids.filter("n > 1 or doc_id != component_id").select("doc_id", "component_id"), "simhash-ids")
+    small = fits_broadcast(ids)
+    listed = lambda rows: F.broadcast(rows.select("doc_id")) if small else rows.select("doc_id")
+    alone = docs.join(listed(ids), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(listed(ids.filter("doc_id = component_id")), "doc_id", "left_semi").select(
+        F.struct(*docs.columns).alias("row"), F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit("second"), *docs.columns)).alias("place"))
+    one = repeated.groupBy("row.doc_id").agg(F.min_by("row", "place").alias("row"))
+    return alone.unionByName(one.select("row.*"))

@@ -95,12 +95,19 @@ def test_sequences(spark, tokenizer):
     rows = [(i, "word " * i) for i in range(40)]
     packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 32, with_ids=True)
     ids = {r.sequence_id: r for r in packing.sequences(packed, 32).collect()}
-    assert all(len(r.ids) == 32 for r in ids.values())
+    assert all(len(r.ids) == (32 if r.used.bit_count() > 1 else r.used) for r in ids.values())
     for p in packed.collect():
         assert ids[p.sequence_id].ids[p.offset:p.offset + p.length] == p.ids
         assert p.ids == ids_of(tokenizer, rows[p.doc_id][1])[p.start:p.start + p.length]
 
 
+def test_sequences_of_a_power_of_two_are_not_padded(spark):
+    rows = [(0, 0, 4, list(range(1, 5))), (1, 1, 3, [7, 8, 9])]
+    packed = spark.createDataFrame([(s, 0, i) for _, s, _, i in rows], "sequence_id long, offset long, ids array<int>")
+    found = {r.sequence_id: (r.ids, r.used) for r in packing.sequences(packed, 6, 0).collect()}
+    assert found == {0: ([1, 2, 3, 4], 4), 1: ([7, 8, 9, 0, 0, 0], 3)}
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 

@@ -85,3 +85,44 @@ def zipf_rank(u, n_keys, z):
 
 def zipf_key(df, id_column, n_keys, z, seed=0, name="zipf_key"):
     return df.withColumn(name, zipf_rank(uniform(seed, F.col(id_column)), n_keys, z))
+
+
+# Fixed values of the permutation: a prime below 2^31, multipliers, half rounds. All
+# products stay below 2^63, so any SQL engine can check a place.
+PRIME, SEED_STEP, GROUP_STEP, ROUND_STEP, MULTIPLIER = 2**31 - 1, 1_000_003, 8_191, 131_071, 48_271
+HALF_ROUNDS = 6
+
+
+def permuted(place, n, seed, group):
+    """Image of 0 <= place < n under a permutation of 0 .. n - 1 that the seed and the group choose.
+
+    A column expression: no row needs to know another one. The place is a row and a column
+    of the smallest grid near a square that holds n cells; half rounds move the row by a hash of
+    the column and the column by a hash of the row, each of which can be undone. A place that leaves
+    0 .. n - 1, one of about the square root of n, is moved on until it is back; there are fewer
+    cells beyond n than rows, which bounds the steps.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    n = n.cast("long")
+    rows = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    columns = div(n + rows - 1, rows)
+    key = (F.pmod(seed.cast("long"), F.lit(PRIME)) * SEED_STEP + F.pmod(group.cast("long"), F.lit(PRIME)) * GROUP_STEP)
+
+    def hashed(value, number):
+        mixed = (value + (key + number * ROUND_STEP) % PRIME) % PRIME
+        return (mixed * mixed % PRIME * MULTIPLIER + key) % PRIME
+
+    def half_round(cell, number):
+        by_row = F.struct(((cell["row"] + hashed(cell["column"], number)) % rows).alias("row"), cell["column"].alias("column"))
+        by_column = F.struct(cell["row"].alias("row"), ((cell["column"] + hashed(cell["row"], number)) % columns).alias("column"))
+        return F.when(number % 2 == 0, by_row).otherwise(by_column)
+
+    def moved(x):
+        cell = F.struct(div(x, columns).alias("row"), (x % columns).alias("column"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(HALF_ROUNDS - 1).cast("long"))
+        return F.aggregate(numbers, cell, half_round, lambda c: c["row"] * columns + c["column"])
+
+    def inside(x):
+        return F.when(x < n, x).otherwise(
+            F.aggregate(F.sequence(F.lit(1).cast("long"), rows), x, lambda y, _: F.when(y < n, y).otherwise(moved(y))))
+    return F.get(F.transform(F.array(moved(place.cast("long"))), inside), F.lit(0))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from runledger.functions.sampling import permuted
 from runledger.functions.text import run_id, split_list
-from runledger.operators.ordering import running_before, running_total
+from runledger.operators.ordering import running_total
 from runledger.session import shuffle_partitions
 
 # The two parameter types, the names a program parameter may
@@ -100,28 +101,24 @@ def expand_design(specs):
     run_no = F.col("_first") + F.col("_i")
     return runs.select(
         run_id(run_no).alias("expt_id"), run_no.alias("run_no"), "file_no",
-        F.col("_i").alias("file_run"), "pos", F.col("name").alias("param"), "type", F.get("value_list", index).alias("value"),
+        F.col("_i").alias("file_run"), F.col("_runs").alias("file_runs"), "pos", F.col("name").alias("param"), "type", F.get("value_list", index).alias("value"),
         "delete_on_exit")
 
 
 def design_ids(design):
     """One row per run, whatever the places of its parameters; combined before the shuffle."""
-    return design.select("expt_id", "run_no", "file_no", "file_run").distinct()
+    return design.select("expt_id", "run_no", "file_no", "file_run", "file_runs").distinct()
 
 
 def run_order(runs, seed=None):
     """Place of every run in its file, 0-based: by number, or a seeded permutation.
 
-    The permutation ranks a 64-bit hash of the run. The upper 16 bits of the
-    hash cut a file into even chunks.
+    The permutation is a bijection of the runs of a file that is computed from the run's
+    number in its file alone, so a run's place needs no shuffle and no window.
     """
     if seed is None:
         return runs.withColumn("place", F.col("file_run"))
-    rank = F.xxhash64(F.lit(seed).cast("long"), F.col("run_no"))
-    ranked = runs.withColumn("_rank", rank).withColumn("_one", F.lit(1).cast("long"))
-    return running_before(
-        ranked, F.shiftright(F.col("_rank"), 48), ["_rank", "run_no"], "_one", "place",
-        group=["file_no"]).drop("_rank", "_one")
+    return runs.withColumn("place", permuted(F.col("file_run"), F.col("file_runs"), F.lit(seed), F.col("file_no")))
 
 
 def union_designs(first, *others):

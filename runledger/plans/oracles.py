@@ -100,6 +100,21 @@ def _grid(table, key, name="grid"):
     ]) as p from {name}_runs))"""
 
 
+def _moved(x):
+    """Place after all half rounds of the permutation with seed 42; the row stands in the upper bits."""
+    width = "((n + height - 1) // height)"
+    key = "(42 * 1000003 + file_no % 2147483647 * 8191)"
+    row, column = "(cell >> 31)", "(cell & 2147483647)"
+
+    def hashed(value):
+        mixed = f"(({value} + ({key} + j * 131071) % 2147483647) % 2147483647)"
+        return f"(({mixed} * {mixed} % 2147483647 * 48271 + {key}) % 2147483647)"
+    cell = f"""list_reduce([({x}) // {width} * 2147483648 + ({x}) % {width}, 0, 1, 2, 3, 4, 5], lambda cell, j:
+        case when j % 2 = 0 then ({row} + {hashed(column)}) % height * 2147483648 + {column}
+             else {row} * 2147483648 + ({column} + {hashed(row)}) % {width} end)"""
+    return f"""list_transform([{cell}], lambda cell: {row} * {width} + {column})[1]"""
+
+
 CUSTOMER_GRID = _grid("customer", "c_custkey")
 SUPPLIER_GRID = _grid("supplier", "s_suppkey")
 NATION_GRID = _grid("nation", "n_nationkey", "other")
@@ -265,9 +280,18 @@ ORACLES = {
         select {_run('run_no')} as expt_id, s as file_no,
                row_number() over (partition by s order by run_no) - 1 as place
         from grid_runs""",
-    "run_order_shuffled": f"""
-        select c_custkey as file_no, {SIZES} as runs, {SIZES} as places, 0::bigint as first,
-               {SIZES} - 1 as last from customer""",
+    "run_order_shuffled": f"""with recursive {CUSTOMER_GRID},
+        files as (
+          select s as file_no, count(*) as n, ceil(sqrt(count(*)))::bigint as height from grid_runs group by s),
+        places as (
+          select {_run('run_no')} as expt_id, s as file_no, n, height, (n + height - 1) // height as width,
+                 {_moved("row_number() over (partition by s order by run_no) - 1")} as place
+          from grid_runs join files on file_no = s),
+        walk as (
+          select * from places
+          union all
+          select expt_id, file_no, n, height, width, {_moved("place")} from walk where place >= n)
+        select expt_id, file_no, place from walk where place < n""",
     "union_designs": f"""with {SUPPLIER_GRID}, {NATION_GRID}
         select {_run('run_no')} as expt_id, 5 as n_params, task as tasks, sort_mb from grid_runs
         union all

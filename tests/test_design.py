@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from runledger.functions.sampling import permuted
 from runledger.operators import design
 from runledger.sinks import writers
 from runledger.sources import specs
@@ -71,6 +72,19 @@ def test_permutation_is_seeded_and_complete(spark, folder):
         assert sorted(places(seed).values()) == sorted([*range(12), *range(4)])
 
 
+def test_places_are_a_permutation_of_every_size(spark):
+    """Each of 0 .. n - 1 once, for many n, seeds and groups; no shuffle and no window."""
+    sizes = [*range(1, 40), 1000, 10_007]
+    cases = spark.createDataFrame([(n, s, g) for n in sizes for s, g in ((0, 0), (42, 5), (-3, -(1 << 62)))], "n long, seed long, g long")
+    rows = cases.withColumn("x", F.explode(F.expr("sequence(0, n - 1)"))).withColumn(
+        "place", permuted(F.col("x"), F.col("n"), F.col("seed"), F.col("g")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    found = rows.groupBy("n", "seed").agg(F.sort_array(F.collect_list("place")).alias("p"), F.sum((F.col("x") == F.col("place")).cast("int")).alias("fixed")).collect()
+    assert len(found) == 3 * len(sizes) and all(r.p == list(range(r.n)) for r in found)
+    assert all(r.fixed < 12 for r in found if r.n >= 1000)
+
+
 @pytest.mark.parametrize("bad, reason", [
     (prop("a", 0, "1"), "above 0"),
     (prop("a", "many", "1"), "above 0"),

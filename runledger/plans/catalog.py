@@ -222,6 +222,14 @@ def run_order_shuffled(spark, sf):
     return design.run_order(design.design_ids(grid(spark, sf)), seed=42).select("expt_id", "file_no", "place")
 
 
+def run_list_file(spark, sf):
+    """The run list beside the design table: one file in shuffled order, file by file, read back and numbered."""
+    path = scratch_path(spark, "run-list")
+    ordered = design.run_order(design.design_ids(grid(spark, sf, "supplier", "s_suppkey")), seed=42)
+    writers.write_run_list(ordered, path, 1)
+    return ordering.with_ordinal(read_run_list(spark, f"{path}/part-*"), ["run_order"], name="position").select("position", "expt_id")
+
+
 def union_designs(spark, sf):
     small = grid(spark, sf, "supplier", "s_suppkey")
     other = grid(spark, sf, "nation", "n_nationkey").withColumn(
@@ -336,6 +344,13 @@ def resolve_profiles(spark, sf):
     return reshape.resolve_profiles(line, by_run.union(by_job))
 
 
+def shared_profile(spark, sf):
+    """One profile for the jobs of all runs."""
+    jobs_of = read_table(spark, sf, "orders").select(
+        run_id(F.col("o_orderkey")).alias("expt_id"), render.job_name(F.col("o_custkey")).alias("job_id"))
+    return reshape.resolve_profiles(jobs_of, None, shared="/profiles/all.xml")
+
+
 def unify(spark, sf):
     events = _events(spark, sf)
     return reshape.unify(render.artifacts(events), render.started_runs(events), "userlogs")
@@ -677,4 +692,5 @@ QUERIES = [
     link_edges, adjacency, bfs_encode, bfs,
     attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,
     unify_files, join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
+    run_list_file, shared_profile,
 ]

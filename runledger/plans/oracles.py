@@ -115,6 +115,20 @@ def _moved(x):
     return f"""list_transform([{cell}], lambda cell: {row} * {width} + {column})[1]"""
 
 
+def _places(runs):
+    """Runs with their places, moved on until they are inside their file's."""
+    return f"""files as (
+  select s as file_no, count(*) as n, ceil(sqrt(count(*)))::bigint as height from {runs} group by s),
+places as (
+  select {_run('run_no')} as expt_id, s as file_no, n, height,
+         {_moved("row_number() over (partition by s order by run_no) - 1")} as place
+  from {runs} join files on file_no = s),
+walk as (
+  select * from places
+  union all
+  select expt_id, file_no, n, height, {_moved("place")} from walk where place >= n)"""
+
+
 CUSTOMER_GRID = _grid("customer", "c_custkey")
 SUPPLIER_GRID = _grid("supplier", "s_suppkey")
 NATION_GRID = _grid("nation", "n_nationkey", "other")
@@ -280,18 +294,12 @@ ORACLES = {
         select {_run('run_no')} as expt_id, s as file_no,
                row_number() over (partition by s order by run_no) - 1 as place
         from grid_runs""",
-    "run_order_shuffled": f"""with recursive {CUSTOMER_GRID},
-        files as (
-          select s as file_no, count(*) as n, ceil(sqrt(count(*)))::bigint as height from grid_runs group by s),
-        places as (
-          select {_run('run_no')} as expt_id, s as file_no, n, height, (n + height - 1) // height as width,
-                 {_moved("row_number() over (partition by s order by run_no) - 1")} as place
-          from grid_runs join files on file_no = s),
-        walk as (
-          select * from places
-          union all
-          select expt_id, file_no, n, height, width, {_moved("place")} from walk where place >= n)
+    "run_order_shuffled": f"""with recursive {CUSTOMER_GRID}, {_places("grid_runs")}
         select expt_id, file_no, place from walk where place < n""",
+    "run_list_file": f"""with recursive {SUPPLIER_GRID}, {_places("grid_runs")}
+        select row_number() over (order by file_no, place) as position, expt_id from walk where place < n""",
+    "shared_profile": f"""select {_run('o_orderkey')} as expt_id, {_job('o_custkey')} as job_id,
+        '/profiles/all.xml' as profile from orders""",
     "union_designs": f"""with {SUPPLIER_GRID}, {NATION_GRID}
         select {_run('run_no')} as expt_id, 5 as n_params, task as tasks, sort_mb from grid_runs
         union all

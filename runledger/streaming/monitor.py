@@ -62,6 +62,9 @@ def drain_utilisation(utilisation, path=None, state=None):
     path = path or scratch_path(spark, "stream-out")
     state = state or scratch_path(spark, "stream-state")
 
+    # A stream that has no files yet runs no batch; its result is this empty one.
+    spark.createDataFrame([], utilisation.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+
     def changed(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -152,3 +152,10 @@ def test_drained_windows_honour_the_watermark_over_restarts(spark, tmp_path):
 def test_percentile_is_a_value_of_the_host(spark):
     samples = spark.range(1, 101).selectExpr("'n' as host", "cast(id as double) as mb_read")
     assert monitor.monitor_summary(samples, ["mb_read"]).first().p95_mb_read == 95.0
+
+
+def test_drained_windows_of_an_empty_folder(spark, tmp_path):
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    windows = stream.stream_utilisation(stream.stream_samples(spark, str(folder), "disk"), monitor.DISK, "10 minutes")
+    assert stream.drain_utilisation(windows).collect() == []

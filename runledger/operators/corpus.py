@@ -10,7 +10,8 @@ NEIGHBOURS_PER_ROW = 100_000
 TABLES_KEPT = 6
 FEW_NODES = 256
 HREF = r'href="([^"]+)"'
-WIKI_LINK = r"\[\[([^\]|#]+)[^\]]*\]\]"
+# Targets of all links, also of those in the labels and captions of others.
+WIKI_LINK = r"\[\[([^\[\]|#]+)(?=[|#\]])"
 
 _HTML = [
     (r"(?is)<script[^>]*>.*?</script>", " "),

@@ -483,5 +483,6 @@ ORACLES = {
         from pages""",
     "link_edges_wiki": """
         select url as src, 'Page ' || (page_id + 1) as dst from pages
-        union select url, 'Page ' || (page_id % 10) from pages""",
+        union select url, 'Page ' || (page_id % 10) from pages
+        union select url, unnest(['File:a.jpg', 'y']) from pages""",
 }

@@ -30,6 +30,11 @@ def test_wiki_pipeline(spark, tmp_path):
         ("A", 0, ("B",), 0), ("B", 0, ("A", "C"), None)}
 
 
+def test_links_inside_links(spark):
+    pages = spark.createDataFrame([("t", "[[File:a|b [[c#d|e]] [[f]]]] [[g|{{h|[[i]]}}]] [[open")], "title string, text string")
+    assert sorted(r.dst for r in corpus.link_edges(pages, corpus.WIKI_LINK, "title").collect()) == ["File:a", "c", "f", "g", "i"]
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [("<p>a<SCRIPT>x<y</SCRIPT><!-- <b> -->&lt;b&gt; &amp;lt;<style>p{}</style>c</p>",)],

@@ -566,6 +566,19 @@ def run_output_roundtrip(spark, sf):
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def kept_outputs(spark, sf):
+    """Outputs of the runs of a grid, a third of whose files say that theirs stay; what is found afterwards."""
+    third = F.col("file_no") % 3
+    rows = specs(spark, sf, "supplier", "s_suppkey").withColumn(
+        "delete_on_exit", F.when(third == 0, F.col("delete_on_exit")).when(third == 1, "true"))
+    runs = design.expand_design(design.checked_specs(rows))
+    outputs = writers.run_outputs(runs).filter("keeps").select("expt_id", "output")
+    path = scratch_path(spark, "outputs")
+    kept = runs.select("expt_id", "param", "value").join(outputs, "expt_id").repartition(shuffle_partitions(spark), "expt_id")
+    kept.write.partitionBy("expt_id").parquet(path)
+    return spark.read.schema(kept.schema).parquet(path).groupBy("expt_id", "output").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tsv_roundtrip(spark, sf):
     rows = read_table(spark, sf, "customer")
     path = scratch_path(spark, "tsv")
@@ -692,5 +705,5 @@ QUERIES = [
     link_edges, adjacency, bfs_encode, bfs,
     attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,
     unify_files, join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
-    run_list_file, shared_profile,
+    run_list_file, shared_profile, kept_outputs,
 ]

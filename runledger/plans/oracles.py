@@ -298,6 +298,9 @@ ORACLES = {
         select expt_id, file_no, place from walk where place < n""",
     "run_list_file": f"""with recursive {SUPPLIER_GRID}, {_places("grid_runs")}
         select row_number() over (order by file_no, place) as position, expt_id from walk where place < n""",
+    "kept_outputs": f"""with {SUPPLIER_GRID}
+        select {_run('run_no')} as expt_id, '/out/' || s || '/' || {_run('run_no')} as output, 5::bigint as n
+        from grid_runs where s % 3 = 0""",
     "shared_profile": f"""select {_run('o_orderkey')} as expt_id, {_job('o_custkey')} as job_id,
         '/profiles/all.xml' as profile from orders""",
     "union_designs": f"""with {SUPPLIER_GRID}, {NATION_GRID}

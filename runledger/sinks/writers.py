@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import delimited
 from runledger.functions.text import run_id
-from runledger.operators.design import JOB_CONF
+from runledger.operators.design import JOB_CONF, PROGRAM
 from runledger.session import shuffle_partitions
 
 SINGLE_FILE_TABLES = ("region", "nation")
@@ -53,6 +53,17 @@ def keeps_output(delete_on_exit):
     return F.coalesce(delete_on_exit == "false", F.lit(False))
 
 
+def run_outputs(design):
+    """(expt_id, output, keeps): the output folder of every run that names a prefix, and whether it outlives the run.
+
+    Of several prefixes of a run the last one counts; its output stays if any of them says so.
+    """
+    named = design.filter((F.col("type") == PROGRAM) & (F.col("param") == "jar_output_prefix"))
+    return named.groupBy("expt_id").agg(
+        F.concat(F.max_by("value", "pos"), F.lit("/"), F.col("expt_id")).alias("output"),
+        F.bool_or(keeps_output(F.col("delete_on_exit"))).alias("keeps"))
+
+
 def design_lines(design):
     """The design table as text, block by block.
 

@@ -140,3 +140,11 @@ def test_wide_union(spark, folder):
             design.wide_design(design.union_designs(*parts)).collect()}
     assert wide["EXPT-0012"] == {"io.sort.mb": "1"}
     assert wide["EXPT-0000"]["opts"] == " x "
+
+
+def test_outputs_of_runs(spark):
+    rows = [("E1", "HADOOP_JAR", "jar_output_prefix", "/out", 1, "false"), ("E1", "HADOOP_JAR", "jar_output_prefix", "/new", 2, None),
+            ("E2", "HADOOP_JAR", "jar_output_prefix", "/out", 1, "False"), ("E3", "HADOOP_JAR", "jar_path", "/a.jar", 0, "false"),
+            ("E4", "MAPREDUCE_JOBCONF", "jar_output_prefix", "/out", 0, "false")]
+    table = spark.createDataFrame(rows, "expt_id string, type string, param string, value string, pos int, delete_on_exit string")
+    assert sorted(map(tuple, writers.run_outputs(table).collect())) == [("E1", "/new/E1", True), ("E2", "/out/E2", False)]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from runledger.functions import delimited
 from runledger.functions.text import run_id
 from runledger.operators.design import JOB_CONF, PROGRAM
-from runledger.session import shuffle_partitions
+from runledger.session import ship_package, shuffle_partitions
+from runledger.sinks.containers import SequenceSource
 
 SINGLE_FILE_TABLES = ("region", "nation")
 SEQUENCE_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
@@ -146,10 +147,18 @@ def write_tsv(df, path, compression=None):
 def write_sequence(df, key, value, path, codec=SEQUENCE_CODEC):
     """Block-compressed key/value files, for readers that need that container.
 
-    Spark has no DataFrame writer for it, so rows pass through Python. Prefer
-    compressed parquet for everything that Spark reads back.
+    Files appear when the whole job has ended. A path that is there is an error, as is
+    a null. Prefer compressed parquet for everything that Spark reads back.
     """
-    df.select(key, value).rdd.map(tuple).saveAsSequenceFile(path, codec)
+    if codec != SEQUENCE_CODEC:
+        raise ValueError(f"containers are written with {SEQUENCE_CODEC}")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise ValueError(f"{path} already exists")
+    ship_package(spark)
+    spark.dataSource.register(SequenceSource)
+    df.select(key, value).write.format(SequenceSource.name()).mode("append").option("codec", codec).save(path)
 
 
 def read_sequence(spark, path, schema):

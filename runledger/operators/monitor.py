@@ -20,6 +20,7 @@ CPU = ["user", "nice", "system", "iowait", "steal", "idle"]
 MEMORY = ["swpd", "free", "buff", "cache"]
 
 LINES_PER_CHUNK = 1 << 20
+SKETCH_K = 1024
 
 
 def _numbers(names, first, kind, timed):
@@ -128,6 +129,34 @@ def cpu_samples(lines, timed=False, chunk_width=LINES_PER_CHUNK):
     return found.select(*source, "_next.*").select(*source, "line_no", *_cpu_columns(timed))
 
 
+def sketches(metrics, k=SKETCH_K):
+    """Mergeable quantile sketches of the metrics, as aggregates named `sketch_<metric>`.
+
+    A sketch keeps every value of up to about k samples; beyond, ranks are off by
+    about 2 / k of the samples, and its size grows with the logarithm of their number.
+    """
+    return [F.kll_sketch_agg_double(F.col(name).cast("double"), F.lit(k)).alias(f"sketch_{name}") for name in metrics]
+
+
+def quantiles(metrics, share=0.95):
+    """The percentile of each metric from its sketch, as columns named `p95_<metric>`; NULL without samples."""
+    def of(name):
+        sketch = F.col(f"sketch_{name}")
+        # A sketch without values has no quantile.
+        return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(share)))
+    return [of(name).alias(f"p{round(share * 100)}_{name}") for name in metrics]
+
+
+def merged_windows(windows, metrics, unit, k=SKETCH_K):
+    """Samples and sketches per host and longer window, from those of the windows in it.
+
+    `unit` is what date_trunc takes, as day. The samples themselves are not read again.
+    """
+    merged = [F.kll_merge_agg_double(f"sketch_{name}", F.lit(k)).alias(f"sketch_{name}") for name in metrics]
+    return windows.groupBy(F.date_trunc(unit, "window_start").alias("window_start"), "host").agg(
+        F.sum("samples").alias("samples"), *merged)
+
+
 def monitor_summary(samples, metrics, share=0.95, accuracy=10000):
     """Samples, mean, peak and a high percentile of every metric per host."""
     measures = [F.count(F.lit(1)).alias("samples")]

@@ -30,6 +30,16 @@ def unify_last_wins(artifacts, name="file_name", order="run_order"):
     return latest.select(name, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def unify_lines_last_wins(lines, name="file_name", order="run_order"):
+    """All lines of one artifact per file name: the one of the latest run.
+
+    Only names and run orders are gathered; the lines then meet one row per
+    name, which is joined by its key, so long artifacts are never one row.
+    """
+    latest = lines.groupBy(name).agg(F.max(order).alias(order))
+    return lines.join(latest, [name, order], "left_semi")
+
+
 def _same_count(counts):
     if len(set(counts)) > 1:
         raise ValueError(f"the inputs have different numbers of rows: {counts}")

@@ -10,11 +10,11 @@ from runledger.functions.text import run_id
 from runledger.operators import (
     attempts, clientlogs, corpus, design, jobs, joins, monitor, ordering, reshape)
 from runledger.plans import render
-from runledger.session import scratch_path, shuffle_partitions
+from runledger.session import materialise, scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.lines import (
-    read_artifacts, read_attempt_logs, read_client_logs, read_cpu_reports, read_monitor, read_text)
+    read_artifacts, read_attempt_logs, read_client_logs, read_cpu_reports, read_monitor, read_packed, read_text)
 from runledger.sources.specs import (
     conf_properties, parse_param_specs, read_job_confs, read_manifest, read_param_specs, read_run_confs, read_run_list,
     with_job_of_conf)
@@ -378,6 +378,18 @@ def unify_files(spark, sf):
     return reshape.unify_last_wins(unified).select("file_name", "expt_id", F.col("content").cast("double"))
 
 
+def unify_packed(spark, sf):
+    """Artifacts of two lines each in packed files, read back by kind, the latest run's file of each name."""
+    events = _events(spark, sf)
+    path = scratch_path(spark, "packed")
+    both = F.array(F.col("content").cast("string"), F.concat_ws("/", "expt_id", "file_name"))
+    lines = render.artifacts(events).select("expt_id", "kind", "file_name", F.posexplode(both).alias("line_no", "line"))
+    writers.pack_artifacts(lines.withColumn("line_no", F.col("line_no").cast("long")), path)
+    unified = reshape.unify(read_packed(spark, path, "userlogs"), render.started_runs(events), "userlogs")
+    return reshape.unify_lines_last_wins(unified).select("file_name", "expt_id", "line_no", F.when(
+        F.col("line_no") == 0, F.col("line").cast("double")).alias("content"), F.when(F.col("line_no") == 1, F.col("line")).alias("origin"))
+
+
 def jobs_with_conf(spark, sf):
     started = read_table(spark, sf, "orders").select(
         run_id(F.col("o_orderkey")).alias("expt_id"),
@@ -501,6 +513,30 @@ def stream_late_rows(spark, sf):
     return _comparable(drain())
 
 
+def stream_redelivered(spark, sf):
+    """All captures arrive twice, and every sample counts once."""
+    folder = _capture_files(spark, sf)
+    once, seen, path, state = (scratch_path(spark, label) for label in ("once", "seen", "windows", "state"))
+
+    def drain():
+        samples = stream.drain_once(stream.stream_samples(spark, folder, "disk"), once, seen)
+        return stream.drain_utilisation(stream.stream_utilisation(samples, monitor.DISK, "1 hour"), path, state)
+
+    drain()
+    _capture_files(spark, sf, folder)
+    return _comparable(drain())
+
+
+def stream_percentiles(spark, sf):
+    """High percentiles per host and hour from a stream's sketches, and per day from those of its hours."""
+    samples = stream.stream_samples(spark, _capture_files(spark, sf), "disk")
+    hours = materialise(stream.drain_utilisation(
+        stream.stream_utilisation(samples, monitor.DISK, "1 hour", sketched=True)), "hours")
+    days = monitor.merged_windows(hours, monitor.DISK, "day")
+    kept = ["window_start", "host", "samples", *monitor.quantiles(monitor.DISK)]
+    return hours.select(F.lit("hour").alias("level"), *kept).unionByName(days.select(F.lit("day").alias("level"), *kept))
+
+
 # ---- generators, sized by the given tables ----------------------------------
 
 def _tasks(spark, size, per_task):
@@ -541,6 +577,18 @@ def gen_random_text(spark, sf):
                       for name, f in (("min", F.min), ("max", F.max))])
 
 
+def random_text_like(spark, sf):
+    """Random sentences of exactly as many bytes as the documents of each source and language have."""
+    sizes = read_table(spark, sf, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("name")).agg(
+        F.sum("n_chars").alias("bytes"))
+    text = generate.random_text_like(sizes.repartition(shuffle_partitions(spark), "name"), "name", "bytes")
+    words = [F.size(F.split(c, " ")) for c in ("key", "value")]
+    inside = [(w >= 5) & (w <= 10) for w in words]
+    return text.groupBy("name").agg(
+        F.sum(F.octet_length("key") + F.octet_length("value") + 2).alias("bytes"),
+        F.count_if(~(inside[0] & inside[1])).alias("odd_rows"))
+
+
 def zipf_key(spark, sf):
     """Orders per zipf rank when the place of an order is its share of [0, 1)."""
     orders = read_table(spark, sf, "orders")
@@ -705,5 +753,5 @@ QUERIES = [
     link_edges, adjacency, bfs_encode, bfs,
     attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,
     unify_files, join_reducers, stream_late_rows, plain_text_wiki, link_edges_wiki, adjacency_parts,
-    run_list_file, shared_profile, kept_outputs,
+    run_list_file, shared_profile, kept_outputs, unify_packed, stream_redelivered, stream_percentiles, random_text_like,
 ]

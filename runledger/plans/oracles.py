@@ -480,6 +480,21 @@ ORACLES = {
                    (select max({SECOND}) - interval 2 minutes from events) then 2 else 1 end as samples,
         {UTILISATION}
         from events group by 1, 2""",
+    "stream_redelivered": f"""
+        select date_trunc('hour', ts) as window_start, {HOST} as host, count(*) as samples, {UTILISATION}
+        from (select distinct user_id % 8 as user_id, {SECOND} as ts, value from events) group by 1, 2""",
+    "stream_percentiles": f"""
+        select level, date_trunc(level, ts) as window_start, {HOST} as host, count(*) as samples,
+               {_p95('value')} as p95_mb_read, {_p95('value * 2')} as p95_mb_write
+        from events, (select unnest(['hour', 'day']) as level) group by 1, 2, 3""",
+    "unify_packed": f"""with {ARTIFACTS},
+        latest as (select file_name, expt_id, content from unified
+                   qualify row_number() over (partition by file_name order by run_order desc) = 1)
+        select file_name, expt_id, 0::bigint as line_no, content, null::varchar as origin from latest
+        union all select file_name, expt_id, 1, null, expt_id || '/' || file_name from latest""",
+    "random_text_like": """
+        select concat_ws('/', source, lang) as name, sum(n_chars)::bigint as bytes, 0::bigint as odd_rows
+        from documents group by 1""",
     "plain_text_wiki": """
         select page_id, 'Page ' || page_id || ' see the next and Page ' || (page_id % 10)
                         || '. Source ' || url || ' }} {{ end' as plain

@@ -131,6 +131,19 @@ def write_run_confs(design, directory, partitions=None, compression=None):
         "rootTag", "configuration").option("rowTag", "property").save(directory)
 
 
+def pack_artifacts(artifacts, path, partitions=None, compression="zstd"):
+    """Lines of the artifacts of many runs in few files per kind: (expt_id, kind, file_name, line_no, line).
+
+    Rows are cut in even ranges of (kind, run, file, line) and sorted, so a run's
+    lines are neighbours, a huge run is shared by tasks, and the row groups' own
+    statistics are the table of offsets: a reader of few runs skips all others.
+    """
+    keys = ["kind", "expt_id", "file_name", "line_no"]
+    n = partitions or shuffle_partitions(artifacts.sparkSession)
+    ordered = artifacts.select(*keys, "line").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    _writer(ordered, compression).partitionBy("kind").parquet(path)
+
+
 def write_manifest(job_map, path, compression=None):
     """Run to job table; a run without a job is written as `Null`."""
     rows = job_map.select(

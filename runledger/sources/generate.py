@@ -33,6 +33,8 @@ DAYS = 2405
 RECORD_BYTES = 100
 KEY_BYTES = 10
 ROWID_BYTES = 20
+TEXT_CHUNK = 1 << 16
+LEAST_CHUNK = 1 << 12
 
 
 def _list(words):
@@ -176,14 +178,46 @@ def gen_sort_records(spark, n, tasks, seed=42):
 
 
 def gen_random_text(spark, bytes_per_task, tasks, key_words=(5, 10), value_words=(5, 10), seed=42):
-    """Random sentences as key and value, about `bytes_per_task` in every task.
+    """Random sentences as key and value, exactly `bytes_per_task` in every task.
 
-    The rows of a task follow from the mean length of a row: words have two or
-    three syllables of 2.05 letters on average, and a blank after each.
+    A row takes its key, its value, a tab and a line end.
+    """
+    sizes = spark.range(tasks, numPartitions=tasks).select("id", F.lit(bytes_per_task).cast("long").alias("bytes"))
+    return random_text_like(sizes, "id", "bytes", key_words, value_words, seed).select("key", "value")
+
+
+def _chunk_text(size, key_words, value_words, seed, *columns):
+    """Lines of `key<tab>value` of exactly `size` bytes; the last one is stretched to the end.
+
+    The number of lines follows from the mean length: words have two or three
+    syllables of 2.05 letters on average and a blank behind. If they still fall
+    short they are repeated. What is left behind the last whole line goes to its last word as letters, so
+    all lines have as many words as asked for; only a size below one line cuts it.
     """
     letters = sum(map(len, SYLLABLES)) / len(SYLLABLES) * 2.5 + 1
-    words = (sum(key_words) + sum(value_words)) / 2
-    rows = max(1, round(bytes_per_task / (letters * words)))
-    k = F.col("id")
-    return spark.range(rows * tasks, numPartitions=tasks).select(
-        _words(seed, *key_words, k).alias("key"), _words(seed + 10, *value_words, k).alias("value"))
+    mean = letters * (sum(key_words) + sum(value_words)) / 2
+    lines = F.sequence(F.lit(1).cast("long"), F.ceil(size / F.lit(mean) * 1.1).cast("long") + 3)
+    text = F.concat(F.array_join(F.transform(lines, lambda i: F.concat(
+        _words(seed, *key_words, *columns, i), F.lit("\t"), _words(seed + 10, *value_words, *columns, i))), "\n"), F.lit("\n"))
+    n = size.cast("int")
+    cut = F.rpad(text, n, text)
+    whole = F.length(cut) - F.instr(F.reverse(cut), "\n")
+    return F.when(whole == n - 1, cut).when(whole < n, F.concat(F.rpad(F.left(cut, whole), n - 1, "ba"), F.lit("\n"))).otherwise(
+        F.concat(F.translate(F.left(cut, n - 2), "\t", " "), F.lit("\t\n")))
+
+
+def random_text_like(sizes, name, size, key_words=(5, 10), value_words=(5, 10), seed=42):
+    """Random sentences of exactly as many bytes as `sizes` asks for: (name, key, value).
+
+    `sizes` has one row per name and its bytes, 2 or more; none or fewer give no row.
+    A name is cut in chunks of TEXT_CHUNK bytes and each is made on its own, so a
+    name with most of the bytes is shared by tasks. A rest below LEAST_CHUNK goes to the chunk before it.
+    """
+    n = F.col(size).cast("long")
+    count = F.greatest(F.call_function("div", n + (TEXT_CHUNK - LEAST_CHUNK), F.lit(TEXT_CHUNK)), F.lit(1))
+    asked = sizes.filter(n >= 2).select(F.col(name), n.alias("_n"), count.cast("long").alias("_count"))
+    chunks = asked.select(name, "_n", "_count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_chunk"))
+    own = F.when(F.col("_chunk") == F.col("_count") - 1, F.col("_n") - F.col("_chunk") * TEXT_CHUNK).otherwise(F.lit(TEXT_CHUNK))
+    text = chunks.select(name, _chunk_text(own, key_words, value_words, seed, F.col(name), F.col("_chunk")).alias("_text"))
+    lines = text.select(name, F.explode(F.split(F.expr("left(_text, length(_text) - 1)"), "\n")).alias("_line"))
+    return lines.select(name, F.substring_index("_line", "\t", 1).alias("key"), F.substring_index("_line", "\t", -1).alias("value"))

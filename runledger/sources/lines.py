@@ -118,6 +118,25 @@ def read_cpu_reports(spark, directory):
     return cpu_reports(spark.read.format("text"), directory)
 
 
+PACKED = "expt_id string, file_name string, line_no long, line string, kind string"
+
+
+def read_packed(spark, path, kind, expt_ids=None):
+    """Lines of one kind out of packed artifacts, of all runs or of a short list of them.
+
+    Other kinds are not opened; of the files of this kind only the row groups
+    that may hold a listed run are read.
+    """
+    rows = spark.read.schema(PACKED).parquet(path).filter(F.col("kind") == kind)
+    if expt_ids is None:
+        return rows
+    wanted = sorted(set(expt_ids))
+    if not wanted:
+        return rows.filter(F.lit(False))
+    # The outer bounds reach the statistics whatever the length of the list.
+    return rows.filter(F.col("expt_id").between(wanted[0], wanted[-1]) & F.col("expt_id").isin(wanted))
+
+
 def read_artifacts(spark, base, kind):
     """Lines of one kind of artifact of every run: `<base>/EXPT-dddd/<kind>/<file>`.
 

@@ -28,23 +28,49 @@ def stream_samples(spark, directory, kind, files_per_trigger=None):
     return _PARSERS[kind](lines, timed=True)
 
 
-def stream_utilisation(samples, metrics, window="1 minute", lateness="2 minutes"):
-    """Mean and peak per host and tumbling window; rows later than allowed are dropped."""
+def once(samples, lateness="2 minutes"):
+    """Every sample once, also when its capture is delivered again.
+
+    A sample is its host, second and values. Those that are not yet late are kept
+    as state, so a copy is known; a copy that comes later is behind the watermark and
+    dropped as any late row is. Either way it does not count twice. The watermark starts
+    at second 0 of the epoch, so a sample of that very second counts as late.
+    """
+    return samples.withWatermark("ts", lateness).dropDuplicates(samples.columns)
+
+
+def drain_once(samples, path, state, lateness="2 minutes"):
+    """Take in the files that are there, add each new sample to the table at `path`, give the table as a stream.
+
+    A stage of its own, as windows that are written while open cannot follow
+    another state in one stream. Later calls take the same path and state.
+    """
+    drain_samples(once(samples, lateness), path, state)
+    return samples.sparkSession.readStream.schema(samples.schema).parquet(path)
+
+
+def stream_utilisation(samples, metrics, window="1 minute", lateness="2 minutes", sketched=False):
+    """Mean and peak per host and tumbling window; rows later than allowed are dropped.
+
+    With `sketched` every window also has the quantile sketches of its metrics.
+    """
     measures = [F.count(F.lit(1)).alias("samples")]
     for name in metrics:
         measures += [F.avg(name).alias(f"avg_{name}"), F.max(name).alias(f"max_{name}")]
+    drawn = monitor.sketches(metrics) if sketched else []
     return samples.withWatermark("ts", lateness).groupBy(
-        F.window("ts", window).alias("window"), "host").agg(*measures).select(
+        F.window("ts", window).alias("window"), "host").agg(*measures, *drawn).select(
         F.col("window.start").alias("window_start"), "host",
-        *["samples", *[f"{how}_{name}" for name in metrics for how in ("avg", "max")]])
+        *["samples", *[f"{how}_{name}" for name in metrics for how in ("avg", "max")]],
+        *[f"sketch_{name}" for name in metrics if sketched])
 
 
-def drain_samples(samples, path=None):
+def drain_samples(samples, path=None, state=None):
     """Take in all files that are there, append the rows to parquet, read them back."""
     spark = samples.sparkSession
     path = path or scratch_path(spark, "stream-out")
     samples.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", scratch_path(spark, "stream-state")
+        "checkpointLocation", state or scratch_path(spark, "stream-state")
     ).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(samples.schema).parquet(path)
 

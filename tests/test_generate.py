@@ -131,3 +131,25 @@ def test_delimited_text_comes_back_unchanged(spark):
     writers.write_tables({"t": rows}, path, 2)
     for found in (read_delimited(spark, f"{path}/tsv", rows.schema, "\t"), read_delimited(spark, f"{path}/t", rows.schema, "|")):
         assert [r.text for r in sorted(found.collect())] == texts
+
+
+@pytest.mark.parametrize("size", [2, 3, 50, 500, generate.TEXT_CHUNK, generate.TEXT_CHUNK + 1, 3 * generate.TEXT_CHUNK + 4095, 200_001])
+def test_random_text_has_exactly_the_bytes(spark, size):
+    df = generate.gen_random_text(spark, size, 3)
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("key") + F.octet_length("value") + 2).alias("b"))
+    assert [r.b for r in sizes.collect()] == [size] * 3
+    words = df.select(F.size(F.split("key", " ")).alias("k"), F.size(F.split("value", " ")).alias("v"))
+    if size >= 500:
+        assert words.agg(F.min("k"), F.max("k"), F.min("v"), F.max("v")).first()[:] == (5, 10, 5, 10)
+    assert df.exceptAll(generate.gen_random_text(spark, size, 3)).count() == 0
+
+
+def test_random_text_of_asked_sizes(spark, monkeypatch):
+    monkeypatch.setattr(generate, "TEXT_CHUNK", 5000)
+    asked = {"a": 300_000, "b": 2, "c": 0, "d": None, "e": 5001, "é": 9095, "f": 9096}
+    sizes = spark.createDataFrame(list(asked.items()), "name string, bytes int")
+    text = generate.random_text_like(sizes, "name", "bytes", (2, 3), (1, 1))
+    found = {r.name: r.b for r in text.groupBy("name").agg(F.sum(F.octet_length("key") + F.octet_length("value") + 2).alias("b")).collect()}
+    assert found == {k: v for k, v in asked.items() if v}
+    # Chunks are made apart from each other: no sentence pair stands in all of them.
+    assert text.filter("name = 'a'").groupBy("key", "value").count().agg(F.max("count")).first()[0] < 10

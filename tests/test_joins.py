@@ -125,3 +125,30 @@ def test_salted_join_scans(spark):
     left = spark.createDataFrame([(i, "x") for i in range(60)], "a int, b string")
     assert joins.join_by_position(left, 1, right, 1, "salted").count() == 460
     assert seen.value <= 3 * 460
+
+
+def test_packed_artifacts(spark, tmp_path):
+    from runledger.operators import reshape
+    from runledger.sinks import writers
+    from runledger.sources.lines import read_packed
+
+    rows = [(f"EXPT-{run:04d}", kind, f"f{run % 3}", line, f"{run} {kind} {line}")
+            for run in range(600) for kind in ("userlogs", "history") for line in range(2 + 500 * (run == 7))]
+    lines = spark.createDataFrame(rows, "expt_id string, kind string, file_name string, line_no long, line string")
+    path = str(tmp_path / "packed")
+    writers.pack_artifacts(lines, path, 4)
+    # 1,200 artifacts are in a few files; a kind that is not there has none.
+    assert len(list((tmp_path / "packed").rglob("part-*.parquet"))) <= 8
+    back = read_packed(spark, path, "userlogs")
+    wanted = lines.filter("kind = 'userlogs'")
+    assert back.select(lines.columns).exceptAll(wanted).count() == 0 and back.count() == wanted.count()
+    assert read_packed(spark, path, "profiles").count() == 0
+    some = read_packed(spark, path, "history", ["EXPT-0007", "EXPT-0500", "EXPT-9999"])
+    assert some.count() == 504
+    assert read_packed(spark, path, "history", []).count() == 0
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan and "GreaterThanOrEqual(expt_id,EXPT-0007)" in plan
+    runs = spark.createDataFrame([("EXPT-0007", 1), ("EXPT-0010", 2), ("EXPT-0007", 3), ("EXPT-0008", 4)], "expt_id string, run_order long")
+    last = reshape.unify_lines_last_wins(reshape.unify(back, runs, "userlogs")).collect()
+    assert {(r.file_name, r.expt_id) for r in last} == {("f1", "EXPT-0007"), ("f2", "EXPT-0008")}
+    assert len(last) == 504

@@ -159,3 +159,53 @@ def test_drained_windows_of_an_empty_folder(spark, tmp_path):
     folder.mkdir()
     windows = stream.stream_utilisation(stream.stream_samples(spark, str(folder), "disk"), monitor.DISK, "10 minutes")
     assert stream.drain_utilisation(windows).collect() == []
+
+
+def disk_line(second, value):
+    return f"{second} sda2 1 {value} 3.0 4 5"
+
+
+def test_a_capture_that_is_delivered_again_counts_once(spark, tmp_path):
+    folder, once, seen, out, state = (str(tmp_path / n) for n in ("in", "once", "seen", "out", "state"))
+
+    def drained():
+        samples = stream.drain_once(stream.stream_samples(spark, folder, "disk"), once, seen)
+        rows = stream.drain_utilisation(stream.stream_utilisation(samples, ["mb_read"]), out, state).collect()
+        return {(r.host, int(r.window_start.timestamp())): (r.samples, r.max_mb_read) for r in rows}
+
+    first = [disk_line(1, 1), disk_line(30, 2), disk_line(600, 3), disk_line(600, 3)]
+    write(tmp_path / "in", "iostat_output-a", first)
+    expected = {("a", 0): (2, 2.0), ("a", 600): (1, 3.0)}
+    assert drained() == expected
+    # The same lines again, closed windows and open ones alike, and one new sample in an open window.
+    write(tmp_path / "in", "again-iostat_output-a", first)
+    assert drained() == expected
+    write(tmp_path / "in", "third-iostat_output-a", [*first, disk_line(610, 3)])
+    write(tmp_path / "in", "iostat_output-b", [disk_line(600, 3)])
+    assert drained() == {("a", 0): (2, 2.0), ("a", 600): (2, 3.0), ("b", 600): (1, 3.0)}
+
+
+def test_sketches_of_windows_merge_to_those_of_a_day(spark):
+    # 40,000 samples a host and day, in an order that has nothing to do with their size; host h2 has no value.
+    n = 40_000
+    samples = spark.range(2 * n).selectExpr(
+        "concat('h', id % 2) as host", "timestamp_seconds(id % 86400) as ts", "(id * 7919 % 80000) / 8 as x").unionByName(
+        spark.sql("select 'h2' as host, timestamp_seconds(5) as ts, cast(null as double) as x"))
+    hours = samples.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "host").agg(
+        F.count(F.lit(1)).alias("samples"), *monitor.sketches(["x"]))
+    days = monitor.merged_windows(hours, ["x"], "day").select("host", "samples", *monitor.quantiles(["x"])).collect()
+    found = {r.host: (r.samples, r.p95_x) for r in days}
+    assert found["h2"] == (1, None)
+    for host in ("h0", "h1"):
+        values = sorted(r.x for r in samples.filter(F.col("host") == host).collect())
+        assert found[host][0] == n
+        below = sum(v <= found[host][1] for v in values) / n
+        assert abs(below - 0.95) < 0.005
+
+
+def test_small_windows_have_exact_percentiles(spark):
+    samples = spark.range(1, 101).selectExpr("'n' as host", "timestamp_seconds(id) as ts", "id as x")
+    hours = samples.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "host").agg(
+        F.count(F.lit(1)).alias("samples"), *monitor.sketches(["x"]))
+    assert hours.select(*monitor.quantiles(["x"])).first()[0] == 95.0
+    assert hours.select(*monitor.quantiles(["x"], 0.5)).first()["p50_x"] == 50.0

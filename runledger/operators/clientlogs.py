@@ -49,11 +49,43 @@ def job_run_times(lines):
         "seconds", F.unix_timestamp("ended") - F.unix_timestamp("started"))
 
 
-def experiment_stats(settings, jobs, times):
-    """Settings, job and run time of every run that has settings and an output."""
+def client_jobs(lines):
+    """(expt_id, job_id, seconds) of every announced job, and one row without a job for a run that has none.
+
+    What run_job_map and job_run_times say together, from one pass over the lines:
+    a line gives the run itself, the job that it announces and the job that it
+    times, and these are combined before the shuffle. The narrow result is written once.
+    """
+    line = F.col("line")
+    starts, ends = line.contains("Running"), line.contains("complete") & line.contains("Job")
+    announced = F.when(starts, F.regexp_extract(line, r"(job[0-9_]+)$", 1))
+    timed = F.when(starts | ends, F.regexp_extract(line, r"(job_[0-9_]+)", 1))
+    ts = F.when(starts | ends, client_timestamp(line))
+    marks = F.array(
+        F.struct(F.when(announced.startswith("job_"), announced).alias("job_id"), F.lit(True).alias("announced"),
+                 F.lit(None).cast("timestamp").alias("a"), F.lit(None).cast("timestamp").alias("b")),
+        F.struct(F.when(timed != "", timed).alias("job_id"), F.lit(False).alias("announced"),
+                 F.when(starts, ts).alias("a"), F.when(ends, ts).alias("b")))
+    events = lines.select("expt_id", F.inline(marks))
+    jobs = events.groupBy("expt_id", "job_id").agg(
+        F.bool_or("announced").alias("announced"), F.min("a").alias("a"), F.max("b").alias("b"))
+    jobs = materialise(jobs.select(
+        "expt_id", "job_id", (F.col("announced") & F.col("job_id").isNotNull()).alias("announced"),
+        (F.unix_timestamp("b") - F.unix_timestamp("a")).alias("seconds")), "client-jobs")
+    idle = jobs.groupBy("expt_id").agg(F.bool_or("announced").alias("any")).filter(~F.col("any"))
+    return jobs.filter("announced").select("expt_id", "job_id", "seconds").unionByName(idle.select(
+        "expt_id", F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("long").alias("seconds")))
+
+
+def experiment_stats(settings, jobs, times=None):
+    """Settings, job and run time of every run that has settings and an output.
+
+    Without `times` the jobs have their seconds, as client_jobs gives them.
+    """
     # The join on both keys comes first: it spreads the jobs of a run, and leaves
     # the join on the run alone last, where skewed partitions can be split.
-    timed = jobs.join(times.select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
+    timed = jobs if times is None else jobs.join(
+        times.select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
     # A grid has far more rows than the size of its specification tells the
     # planner, so it must not be picked for a broadcast.
     stats = settings.hint("merge").join(timed, "expt_id")

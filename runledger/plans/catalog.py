@@ -139,11 +139,8 @@ def manifest_roundtrip(spark, sf):
 
 def experiment_stats(spark, sf):
     """Runs that have both settings and client output, with their jobs and run times."""
-    lines = client_lines(spark, sf)
     stats = clientlogs.experiment_stats(
-        design.stats_row(grid(spark, sf, "supplier", "s_suppkey")),
-        clientlogs.run_job_map(lines, clientlogs.extract_job_ids(lines)),
-        clientlogs.job_run_times(lines))
+        design.stats_row(grid(spark, sf, "supplier", "s_suppkey")), clientlogs.client_jobs(client_lines(spark, sf)))
     return stats.select("expt_id", "job_id", "seconds", "row")
 
 

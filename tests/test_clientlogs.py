@@ -78,3 +78,20 @@ def test_stats_row_takes_first_words(spark):
          ("EXPT-0000", 0, 3, "MAPREDUCE_JOBCONF", "")],
         "expt_id string, run_no long, pos long, type string, value string")
     assert stats_row(design).first().settings == ["10", "-Xmx1m", ""]
+
+
+def test_one_pass_over_client_output_says_the_same(spark):
+    stamp = "10/01/01 00:00:%02d INFO mapred.JobClient: "
+    rows = [("r1", stamp % 1 + "Running job: job_1_2"), ("r1", stamp % 9 + "Job complete: job_1_2"),
+            ("r1", stamp % 2 + "Running job: job_1_3"), ("r1", stamp % 3 + "Running job: job_1_2"),
+            ("r2", "nothing here"), ("r2", stamp % 4 + "Job complete: job_9_9"),
+            ("r3", stamp % 5 + "Running job_3_1 before job_3_2"), ("r3", stamp % 7 + "Job complete: job_3_1"),
+            ("r4", stamp % 5 + "Running jobs"), ("r5", None), ("r6", "Running job: job_6_1")]
+    lines = spark.createDataFrame(rows, "expt_id string, line string")
+    jobs = clientlogs.run_job_map(lines, clientlogs.extract_job_ids(lines))
+    two = jobs.join(clientlogs.job_run_times(lines).select("expt_id", "job_id", "seconds"), ["expt_id", "job_id"], "left")
+    one = clientlogs.client_jobs(lines)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, one.collect()), key=key) == sorted(map(tuple, two.select(one.columns).collect()), key=key)
+    assert ("r2", None, None) in set(map(tuple, one.collect()))
+    assert ("r1", "job_1_2", 8) in set(map(tuple, one.collect()))

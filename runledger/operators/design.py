@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runledger.functions.sampling import permuted
 from runledger.functions.text import run_id, split_list
 from runledger.operators.ordering import running_total
-from runledger.session import shuffle_partitions
+from runledger.session import materialise, shuffle_partitions
 
 # The two parameter types, the names a program parameter may
 # have, and the defaults.
@@ -29,25 +29,36 @@ def split_values(specs):
         "value_list", split_list(F.col("values"), delimiter))
 
 
-def validate_specs(specs):
-    """(accepted properties with value lists, violations with their reason)."""
+def _judged(specs):
+    """Properties with value lists and what is wrong with them, NULL if nothing is."""
     declared = F.trim("numvalues").try_cast("int")
-    checked = split_values(specs).withColumn("declared", declared).withColumn(
+    return split_values(specs).withColumn("declared", declared).withColumn(
         "violation",
         F.when(declared.isNull() | (declared <= 0), "numvalues must be above 0")
         .when(F.size("value_list") != declared, "numvalues does not match the values")
         .when(~F.col("type").isin(JOB_CONF, PROGRAM), "unsupported type")
         .when((F.col("type") == PROGRAM) & ~F.col("name").isin(PROGRAM_NAMES),
               "unsupported program parameter"))
-    accepted = checked.filter(F.col("violation").isNull()).drop("violation", "declared")
-    violations = checked.filter(F.col("violation").isNotNull()).select(
+
+
+def _parted(judged):
+    accepted = judged.filter(F.col("violation").isNull()).drop("violation", "declared")
+    violations = judged.filter(F.col("violation").isNotNull()).select(
         "file_no", "file", "pos", "name", "type", "numvalues", "values", "violation")
     return accepted, violations
 
 
+def validate_specs(specs):
+    """(accepted properties with value lists, violations with their reason)."""
+    return _parted(_judged(specs))
+
+
 def checked_specs(specs):
-    """Accepted properties; raises when any property is not acceptable."""
-    accepted, violations = validate_specs(specs)
+    """Accepted properties; raises when any property is not acceptable.
+
+    They are written once, so documents are parsed once and not again behind the check.
+    """
+    accepted, violations = _parted(materialise(_judged(specs), "specs"))
     first = violations.take(5)
     if first:
         raise ValueError("; ".join(f"{r['file']}: {r['name']}: {r['violation']}" for r in first))
@@ -69,6 +80,30 @@ def design_total(specs):
     return design_size(specs).agg(F.sum("runs").alias("runs"))
 
 
+def _numbered_runs(files):
+    """Every row once per run of its file, `_i` counting from 0, in even blocks of runs."""
+    last_block = F.call_function("div", F.col("_runs") - 1, F.lit(RUNS_PER_BLOCK))
+    blocks = files.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    # An explicit number: block rows are small and would be coalesced to one task.
+    blocks = blocks.repartition(shuffle_partitions(files.sparkSession), "file_no", "_block")
+    low = F.col("_block") * RUNS_PER_BLOCK
+    high = F.least(low + RUNS_PER_BLOCK, F.col("_runs")) - 1
+    return blocks.withColumn("_i", F.explode(F.sequence(low, high)))
+
+
+def design_runs(specs):
+    """The runs of the grid of all files without their parameters, as design_ids gives them from the grid.
+
+    The sizes of the files say all there is to know, so parameters are not written out and nothing
+    is made distinct.
+    """
+    sizes = design_size(specs).select("file_no", F.col("runs").alias("_runs"))
+    files = running_total(sizes, ["file_no"], "_runs", "_first").filter(F.col("_runs") > 0)
+    run_no = F.col("_first") + F.col("_i")
+    return _numbered_runs(files).select(
+        run_id(run_no).alias("expt_id"), run_no.alias("run_no"), "file_no", F.col("_i").alias("file_run"), F.col("_runs").alias("file_runs"))
+
+
 def expand_design(specs):
     """The cross product of the value lists, one row per run and parameter.
 
@@ -90,13 +125,7 @@ def expand_design(specs):
     rows = files.select("file_no", "_first", "_runs", "_counts", F.posexplode("_props").alias("_at", "_p"))
     inner = _product(F.slice("_counts", F.col("_at") + 2, F.size("_counts")))
     sized = rows.select("file_no", "_first", "_runs", "_p.*", inner.alias("_inner"), F.get("_counts", "_at").alias("_n"))
-    last_block = F.call_function("div", F.col("_runs") - 1, F.lit(RUNS_PER_BLOCK))
-    blocks = sized.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-    # An explicit number: block rows are small and would be coalesced to one task.
-    blocks = blocks.repartition(shuffle_partitions(specs.sparkSession), "file_no", "_block")
-    low = F.col("_block") * RUNS_PER_BLOCK
-    high = F.least(low + RUNS_PER_BLOCK, F.col("_runs")) - 1
-    runs = blocks.withColumn("_i", F.explode(F.sequence(low, high)))
+    runs = _numbered_runs(sized)
     index = (F.call_function("div", F.col("_i"), F.col("_inner")) % F.col("_n")).cast("int")
     run_no = F.col("_first") + F.col("_i")
     return runs.select(

@@ -162,6 +162,10 @@ def grid(spark, sf, table="customer", key="c_custkey"):
     return design.expand_design(design.checked_specs(specs(spark, sf, table, key)))
 
 
+def runs_of_grid(spark, sf, table="customer", key="c_custkey"):
+    return design.design_runs(design.checked_specs(specs(spark, sf, table, key)))
+
+
 def design_expand(spark, sf):
     return grid(spark, sf).select("expt_id", "run_no", "file_no", "pos", "param", "type", "value")
 
@@ -211,18 +215,18 @@ def spec_violations(spark, sf):
 
 
 def run_order(spark, sf):
-    return design.run_order(design.design_ids(grid(spark, sf))).select("expt_id", "file_no", "place")
+    return design.run_order(runs_of_grid(spark, sf)).select("expt_id", "file_no", "place")
 
 
 def run_order_shuffled(spark, sf):
     """Every run with its place in the seeded permutation of its file."""
-    return design.run_order(design.design_ids(grid(spark, sf)), seed=42).select("expt_id", "file_no", "place")
+    return design.run_order(runs_of_grid(spark, sf), seed=42).select("expt_id", "file_no", "place")
 
 
 def run_list_file(spark, sf):
     """The run list beside the design table: one file in shuffled order, file by file, read back and numbered."""
     path = scratch_path(spark, "run-list")
-    ordered = design.run_order(design.design_ids(grid(spark, sf, "supplier", "s_suppkey")), seed=42)
+    ordered = design.run_order(runs_of_grid(spark, sf, "supplier", "s_suppkey"), seed=42)
     writers.write_run_list(ordered, path, 1)
     return ordering.with_ordinal(read_run_list(spark, f"{path}/part-*"), ["run_order"], name="position").select("position", "expt_id")
 

@@ -148,3 +148,16 @@ def test_outputs_of_runs(spark):
             ("E4", "MAPREDUCE_JOBCONF", "jar_output_prefix", "/out", 0, "false")]
     table = spark.createDataFrame(rows, "expt_id string, type string, param string, value string, pos int, delete_on_exit string")
     assert sorted(map(tuple, writers.run_outputs(table).collect())) == [("E1", "/new/E1", True), ("E2", "/out/E2", False)]
+
+
+@pytest.mark.parametrize("block", [2, 5, 1 << 14])
+def test_runs_without_their_parameters_are_those_of_the_grid(spark, block, monkeypatch):
+    monkeypatch.setattr(design, "RUNS_PER_BLOCK", block)
+    rows = spark.createDataFrame(
+        [(f, p, f"n{p}", design.JOB_CONF, [str(v) for v in range(n)], None)
+         for f, sizes in {3: (2, 3), 1: (1,), 2: (4, 1, 2), 9: (0, 3)}.items() for p, n in enumerate(sizes)],
+        "file_no long, pos int, name string, type string, value_list array<string>, delete_on_exit string")
+    runs = design.design_runs(rows)
+    ids = design.design_ids(design.expand_design(rows)).select(runs.columns)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, ids.collect()))
+    assert runs.count() == 1 + 8 + 6

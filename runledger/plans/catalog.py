@@ -582,7 +582,7 @@ def random_text_like(spark, sf):
     """Random sentences of exactly as many bytes as the documents of each source and language have."""
     sizes = read_table(spark, sf, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("name")).agg(
         F.sum("n_chars").alias("bytes"))
-    text = generate.random_text_like(sizes.repartition(shuffle_partitions(spark), "name"), "name", "bytes")
+    text = generate.random_text_like(sizes, "name", "bytes")
     words = [F.size(F.split(c, " ")) for c in ("key", "value")]
     inside = [(w >= 5) & (w <= 10) for w in words]
     return text.groupBy("name").agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions.sampling import pick, uniform, zipf_rank
+from runledger.session import shuffle_partitions
 
 # The regions and nations, and rows per table at scale factor 1.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -183,11 +184,17 @@ def gen_random_text(spark, bytes_per_task, tasks, key_words=(5, 10), value_words
     A row takes its key, its value, a tab and a line end.
     """
     sizes = spark.range(tasks, numPartitions=tasks).select("id", F.lit(bytes_per_task).cast("long").alias("bytes"))
-    return random_text_like(sizes, "id", "bytes", key_words, value_words, seed).select("key", "value")
+    return random_text_like(sizes, "id", "bytes", key_words, value_words, seed, placed=True).select("key", "value")
+
+
+def _bound(value, body):
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _chunk_text(size, key_words, value_words, seed, *columns):
-    """Lines of `key<tab>value` of exactly `size` bytes; the last one is stretched to the end.
+    """Lines of `key<tab>value` of exactly `size` bytes with their line ends, of which the final one is left out; the last
+    line is stretched to the end.
 
     The number of lines follows from the mean length: words have two or three
     syllables of 2.05 letters on average and a blank behind. If they still fall
@@ -200,24 +207,30 @@ def _chunk_text(size, key_words, value_words, seed, *columns):
     text = F.concat(F.array_join(F.transform(lines, lambda i: F.concat(
         _words(seed, *key_words, *columns, i), F.lit("\t"), _words(seed + 10, *value_words, *columns, i))), "\n"), F.lit("\n"))
     n = size.cast("int")
-    cut = F.rpad(text, n, text)
-    whole = F.length(cut) - F.instr(F.reverse(cut), "\n")
-    return F.when(whole == n - 1, cut).when(whole < n, F.concat(F.rpad(F.left(cut, whole), n - 1, "ba"), F.lit("\n"))).otherwise(
-        F.concat(F.translate(F.left(cut, n - 2), "\t", " "), F.lit("\t\n")))
+
+    def ended(cut):
+        return _bound(n - F.instr(F.reverse(cut), "\n"), lambda whole: F.when(
+            whole < n, F.rpad(F.left(cut, whole), n - 1, "ba")).otherwise(
+            F.concat(F.translate(F.left(cut, n - 2), "\t", " "), F.lit("\t"))))
+    return _bound(_bound(text, lambda all_lines: F.rpad(all_lines, n, all_lines)), ended)
 
 
-def random_text_like(sizes, name, size, key_words=(5, 10), value_words=(5, 10), seed=42):
+def random_text_like(sizes, name, size, key_words=(5, 10), value_words=(5, 10), seed=42, placed=False):
     """Random sentences of exactly as many bytes as `sizes` asks for: (name, key, value).
 
     `sizes` has one row per name and its bytes, 2 or more; none or fewer give no row.
     A name is cut in chunks of TEXT_CHUNK bytes and each is made on its own, so a
     name with most of the bytes is shared by tasks. A rest below LEAST_CHUNK goes to the chunk before it.
+    `placed` says that the rows of `sizes` are spread evenly already; then nothing is shuffled.
     """
     n = F.col(size).cast("long")
     count = F.greatest(F.call_function("div", n + (TEXT_CHUNK - LEAST_CHUNK), F.lit(TEXT_CHUNK)), F.lit(1))
     asked = sizes.filter(n >= 2).select(F.col(name), n.alias("_n"), count.cast("long").alias("_count"))
     chunks = asked.select(name, "_n", "_count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("_chunk"))
+    if not placed:
+        # An explicit number: these rows are tiny and would be coalesced to one task.
+        chunks = chunks.repartition(shuffle_partitions(sizes.sparkSession), name, "_chunk")
     own = F.when(F.col("_chunk") == F.col("_count") - 1, F.col("_n") - F.col("_chunk") * TEXT_CHUNK).otherwise(F.lit(TEXT_CHUNK))
     text = chunks.select(name, _chunk_text(own, key_words, value_words, seed, F.col(name), F.col("_chunk")).alias("_text"))
-    lines = text.select(name, F.explode(F.split(F.expr("left(_text, length(_text) - 1)"), "\n")).alias("_line"))
+    lines = text.select(name, F.explode(F.split("_text", "\n")).alias("_line"))
     return lines.select(name, F.substring_index("_line", "\t", 1).alias("key"), F.substring_index("_line", "\t", -1).alias("value"))

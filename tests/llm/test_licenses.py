@@ -116,3 +116,51 @@ def test_wrapped_names_reach_the_scan(spark):
     found = run(spark, [(1, "Licensed under the SIL Open\nFont License."), (2, "licensed under the GNU General\n  Public License")])
     assert {r.doc_id: r.labels for r in found} == {1: ["ofl"], 2: ["gpl"]}
     assert {r.doc_id: round(r.score, 6) for r in found} == {1: 0.95, 2: 0.98}
+
+
+def labels(text):
+    return sorted({d[2] for d in licenses.detect(licenses.lower(text), licenses.rules())})
+
+
+def test_identifier_expressions():
+    for text, expected in [
+            ("SPDX-License-Identifier: (MIT AND GPL-2.0-only)", ["gpl", "mit"]), ("MIT OR Apache-2.0", ["apache", "mit"]),
+            ("// SPDX-License-Identifier: (Apache-2.0 OR (MIT AND BSD-3-Clause))", ["apache", "bsd", "mit"]),
+            ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", ["gpl"]),
+            ("# SPDX-License-Identifier: ISC.\nMIT is a school", ["isc"]), ("SPDX-License-Identifier: LicenseRef-own OR MIT", ["mit"]),
+            ("SPDX-License-Identifier: ", []), ("SPDX-License-Identifier: ((", []), ("spdx-license-identifier: mit and", ["mit"]),
+            ("MIT OR Unlicense", ["mit", "unlicense"]), ("vim or json, ruby and python", [])]:
+        assert labels(text) == expected, text
+
+
+def test_short_forms_and_wrapped_names():
+    for text, expected in [
+            ("Apache-2.0", ["apache"]), ("GPLv3", ["gpl"]), ("GPL v2 or later", ["gpl"]), ("BSD 3-Clause", ["bsd"]), ("MIT-licensed", ["mit"]),
+            ("GNU Lesser\n# General Public License", ["lgpl"]), (" * GNU Lesser\n * General\n * Public License", ["lgpl"]),
+            ("Mozilla Public\n            License", ["mpl"]), ("Mozilla Public" + " " * 5000 + "License", ["mpl"]),
+            ("Creative Commons" + " Attribution" * 40 + " License", ["creative-commons"]),
+            ("the python license plate", []), ("a Boost licence\nnumber", []), ("the Python License", ["python"])]:
+        assert labels(text) == expected, text
+
+
+def test_sentences_of_the_licences():
+    """Every sentence is found by its own label, wrapped behind comment marks and with other punctuation too."""
+    ordered = licenses.rules()
+    index = licenses.keyword_index(ordered)
+    assert len(licenses.SHORT_FORMS) + len(licenses.BODIES) >= 200
+    for label, keyword, words in licenses.BODIES:
+        assert keyword in words.split(), words
+        parts = words.split()
+        for text in (words, "\n# ".join(parts), ", \"".join(parts), "// " + " ".join(parts[:5]) + "\n//   " + " ".join(parts[5:])):
+            assert label in {d[2] for d in licenses.detect(text, ordered, index)}, text
+        assert not {d[2] for d in licenses.detect(" ".join(parts[::-1]), ordered, index) if d[3] == licenses.BODY[1]}
+
+
+def test_keywords_gate_nothing_that_would_match():
+    """Every rule's own expression is tried wherever it would match."""
+    ordered = licenses.rules()
+    texts = [w for _, _, w in licenses.BODIES] + [f"licensed under the {n.lower()} 2.0" for _, n in NAMES] + [
+        "gnu gpl v3, lgpl-2.1+, agplv3; mit/x11, apache v2 and cc-by-sa 4.0", "mit or apache-2.0", "python-2.0, psf-2.0, 0bsd, cc0-1.0"]
+    for text in texts:
+        every = [("", *r[1:]) for r in ordered]
+        assert licenses.detect(text, ordered) == licenses.detect(text, every), text

@@ -4,11 +4,13 @@ States are the histories seen in training, a word has an arc from every history
 it followed, and a failure arc leads to the history without its oldest word. A
 history h with count c(h) gives its arcs (c(hw) + K p(w)) / (c(h) + K), where p
 is the next shorter history's probability, and its failure arc K / (c(h) + K).
-The state after a word is its longest history, so it is known at every place of
-a text at once; scores are summed from left to right.
+A text is scored in one traversal from left to right that carries the state: a
+word takes its arc, or the failure arcs up to the state that has one, and the
+logarithms of all arcs taken add up.
 
 The automaton grows with the corpus and is never whole in one place. Texts are
-cut in bounded segments. A segment sends every distinct n-gram once, with its
+cut in bounded segments, and a segment is traversed over the states and arcs
+that its own words can reach. A segment sends every distinct n-gram once, with its
 count in the training texts, to the bucket of the n-gram's hash; the bucket adds
 the counts of all segments and answers each of them in its own order. So a word
 that makes up a third of all tokens is one row per segment.
@@ -26,6 +28,7 @@ ORDER = 2
 STRENGTH = 2.0
 SEGMENT_TOKENS = 1_250_000
 GRAMS_PER_BUCKET = 500_000
+WALK_TOKENS = 2048
 
 # Stand for the beginning and the end of a text; no word hash can be told apart
 # from them other than by chance, like any two words.
@@ -184,30 +187,110 @@ def _count(batches):
         yield from answers(held)
 
 
+class Automaton:
+    """States and arcs that the words of one segment can reach.
+
+    State 0 has no history; the other states are the seen histories of up to
+    order - 1 words. `failure` and `log_failure` give each state's failure arc.
+    Word arcs are sorted by `key`, state times words plus word; `log_arc` is the
+    log10 probability and `target` the state behind the arc. State 0 has an arc
+    for every word, seen or not, so every word is read.
+    """
+
+    def __init__(self, segment, answers, order, strength, train_tokens, train_words):
+        self.order, self.words = order, len(segment.words)
+        failure, log_failure = [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, logs, targets = [], [], []
+        before, shorter, seen_before, offset, longer_offset = None, None, None, 0, 1
+        for n in range(1, order + 1):
+            _, numbers, whole = segment.grams(n)
+            seen = answers[n].astype(np.float64)
+            if n == 1:
+                history, suffix = np.zeros(len(seen), np.int64), None
+                word = np.arange(len(seen))
+                probability = (seen + 1) / (train_tokens + train_words + 1)
+                known = np.ones(len(seen), dtype=bool)
+                state = history
+            else:
+                at = np.flatnonzero(whole)
+                history, suffix, word = (np.zeros(len(seen), np.int64) for _ in range(3))
+                history[numbers[at]] = before[at - 1]
+                suffix[numbers[at]] = before[at]
+                word[numbers[at]] = segment.tokens[at]
+                probability = (seen + strength * shorter[suffix]) / (seen_before[history] + strength)
+                known = seen > 0
+                state = offset + history
+            if n < order:
+                # A seen history of n words is a state; a failure arc drops its oldest word.
+                failure.append(np.zeros(len(seen), np.int64) if n == 1 else offset + suffix)
+                log_failure.append(np.log10(strength / (seen + strength)))
+                target = np.where(seen > 0, longer_offset + np.arange(len(seen)), 0)
+            else:
+                target = np.zeros(len(seen), np.int64) if n == 1 else offset + suffix
+            keys.append((state * self.words + word)[known])
+            logs.append(np.log10(probability[known]))
+            targets.append(target[known])
+            before, shorter, seen_before = numbers, probability, seen
+            offset, longer_offset = longer_offset, longer_offset + len(seen)
+        self.failure, self.log_failure = np.concatenate(failure), np.concatenate(log_failure)
+        key = np.concatenate(keys)
+        by_key = np.argsort(key, kind="stable")
+        self.key, self.log_arc, self.target = key[by_key], np.concatenate(logs)[by_key], np.concatenate(targets)[by_key]
+
+    def read(self, state, word):
+        """(states, log10 probabilities) after each of the states has read a word."""
+        state, total = state.copy(), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            key = state[left] * self.words + word[left]
+            arc = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            there = self.key[arc] == key
+            done, arc = left[there], arc[there]
+            total[done] += self.log_arc[arc]
+            state[done] = self.target[arc]
+            left = left[~there]
+            total[left] += self.log_failure[state[left]]
+            state[left] = self.failure[state[left]]
+        return state, total
+
+    def walk(self, segment):
+        """Log10 probability of each text of the segment, from one traversal of all of them side by side.
+
+        Long texts are walked in pieces of WALK_TOKENS. As a state remembers
+        order - 1 words, a piece that starts so much earlier without a history is in
+        the right state at its first word.
+        """
+        size = segment.n_tokens + 1
+        pieces = -(-size // WALK_TOKENS)
+        text = np.repeat(np.arange(len(size)), pieces)
+        inner = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WALK_TOKENS
+        warm = np.minimum(inner, self.order - 1)
+        length = np.minimum(size[text] - inner, WALK_TOKENS) + warm
+        longest = np.argsort(-length, kind="stable")
+        text, warm, length = text[longest], warm[longest], length[longest]
+        place = segment.first[text] + inner[longest] - warm
+        # The first place of a text is its beginning, a state and no token.
+        silent = np.maximum(warm, (inner[longest] == 0).astype(np.int64))
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+        for step, n in enumerate(active):
+            state[:n], taken = self.read(state[:n], segment.tokens[place[:n] + step].astype(np.int64))
+            total[:n] += np.where(step >= silent[:n], taken, 0.0)
+        return np.bincount(text, weights=total, minlength=len(size))
+
+
 def _scorer(order, strength, train_tokens, train_words):
     def score(segment, answers):
         base = np.log10(train_tokens + train_words + 1)
-        real = segment.inside > 0  # the beginning is a state and no token
-        first = np.flatnonzero(segment.inside == 1)
-        index = np.flatnonzero(real)
-        starts = np.searchsorted(index, first)
-        _, words, _ = segment.grams(1)
-        count = answers[1][words].astype(np.float64)
-        known = np.add.reduceat((count[index] > 0).astype(np.int64), starts)
-        plain = np.log10(count[index] + 1) - base
-        probability = (count + 1) / (train_tokens + train_words + 1)
-        before = count
-        for n in range(2, order + 1):
-            _, numbers, whole = segment.grams(n)
-            arcs = answers[n][numbers].astype(np.float64)
-            history = np.concatenate([[0.0], before[:-1]])
-            better = (arcs + strength * probability) / (history + strength)
-            probability = np.where(whole, better, probability)
-            before = np.where(whole, arcs, 0.0)
+        index = np.flatnonzero(segment.inside > 0)  # the beginning is a state and no token
+        starts = np.searchsorted(index, np.flatnonzero(segment.inside == 1))
+        count = answers[1][segment.tokens[index]]
+        known = np.add.reduceat((count > 0).astype(np.int64), starts)
+        plain = np.add.reduceat(np.log10(count + 1.0) - base, starts)
+        total = Automaton(segment, answers, order, strength, train_tokens, train_words).walk(segment)
         return pa.RecordBatch.from_arrays([
             pa.array(segment.doc_id, pa.int64()), pa.array(segment.held_out, pa.bool_()), pa.array(segment.n_tokens),
-            pa.array(known), pa.array(np.add.reduceat(plain, starts)),
-            pa.array(np.add.reduceat(np.log10(probability[index]), starts))],
+            pa.array(known), pa.array(plain), pa.array(total)],
             [part.split()[0] for part in SCORE_SCHEMA.split(", ")])
 
     def run(batches):

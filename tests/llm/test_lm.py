@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from runledger.llm import lm
@@ -62,6 +63,7 @@ def corpus(n, seed=0):
 def test_against_a_walk(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "SEGMENT_TOKENS", 300)
     monkeypatch.setattr(lm, "GRAMS_PER_BUCKET", 40)
+    monkeypatch.setattr(lm, "WALK_TOKENS", 7)
     rows = corpus(150) + [(None, "the of the"), (3, "the the"), (3, "the the"), (500, None), (501, " \n"), (502, "w1 w2 " * 3000)]
     assert run(spark, rows, order=order, strength=1.5) == brute(rows, order, 1.5)
 
@@ -92,3 +94,55 @@ def test_long_words_that_sums_cannot_tell_apart(spark):
     seen = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2)
     rows = [(seen, word), (held, mirror), (seen + 1000, word[:1024]), (held, mirror[:1024])]
     assert run(spark, rows) == brute(rows, lm.ORDER, lm.STRENGTH)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_states_and_arcs(order):
+    """All states, word arcs and failure arcs of one segment against plain counting."""
+    rng, strength = random.Random(order), 1.5
+    texts = [[rng.randrange(5) for _ in range(rng.randint(0, 9))] for _ in range(40)]
+    held = [rng.random() < 0.3 for _ in texts]
+    begin, end = 5, 6
+    streams = [[begin, *t, end] for t in texts]
+    segment = lm._Segment(list(range(40)), held, [len(t) + 1 for t in texts], np.arange(7, dtype=np.uint64) * 1000 + 17,
+                          np.array([w for t in streams for w in t], np.uint32))
+    counts, answers = [Counter() for _ in range(order + 1)], {}
+    for n in range(1, order + 1):
+        distinct, numbers, whole = segment.grams(n)
+        answers[n] = np.bincount(numbers[whole & segment.training], minlength=len(distinct))
+        for t, skip in zip(streams, held):
+            if not skip:
+                counts[n].update(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+    total = sum(c for g, c in counts[1].items() if g != (begin,))
+    distinct = len(counts[1]) - ((begin,) in counts[1])
+    automaton = lm.Automaton(segment, answers, order, strength, total, distinct)
+    # Which history each state number stands for, by the places of the stream.
+    history, offset = {(): 0}, 1
+    for n in range(1, order):
+        _, numbers, whole = segment.grams(n)
+        for i in np.flatnonzero(whole):
+            gram = tuple(int(w) for w in segment.tokens[i - n + 1:i + 1])
+            if counts[n][gram]:
+                history[gram] = offset + int(numbers[i])
+        offset += len(answers[n])
+
+    def weight(state, word):
+        if not state:
+            return (counts[1][word,] + 1) / (total + distinct + 1)
+        return (counts[len(state) + 1][(*state, word)] + strength * weight(state[1:], word)) / (counts[len(state)][state] + strength)
+
+    def longest(state):
+        while state not in history:
+            state = state[1:]
+        return history[state]
+    arcs = {int(k): (float(p), int(t)) for k, p, t in zip(automaton.key, automaton.log_arc, automaton.target)}
+    expected = {}
+    for state, number in history.items():
+        for word in range(7):
+            if not state or counts[len(state) + 1][(*state, word)]:
+                expected[number * 7 + word] = (math.log10(weight(state, word)), longest((*state, word)[-(order - 1):] if order > 1 else ()))
+        if state:
+            assert automaton.failure[number] == history[state[1:]]
+            assert abs(automaton.log_failure[number] - math.log10(strength / (counts[len(state)][state] + strength))) < 1e-12
+    assert arcs.keys() == expected.keys()
+    assert all(arcs[k][1] == t and abs(arcs[k][0] - p) < 1e-12 for k, (p, t) in expected.items())

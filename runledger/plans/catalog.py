@@ -1,7 +1,9 @@
 """Every operator as a query over the given tables."""
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.delimited import read_delimited
@@ -9,7 +11,7 @@ from runledger.functions.sampling import zipf_rank
 from runledger.functions.text import run_id
 from runledger.operators import (
     attempts, clientlogs, corpus, design, jobs, joins, monitor, ordering, reshape)
-from runledger.plans import render
+from runledger.plans import domains, render
 from runledger.session import materialise, scratch_path, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
@@ -559,6 +561,14 @@ def gen_tpch(spark, sf):
     return result
 
 
+def gen_tpch_values(spark, sf):
+    """Every column of all eight tables, made at the scale of the given line items and held to its rule."""
+    scale = read_table(spark, sf, "lineitem").count() / 6_000_000
+    tables = generate.gen_tpch(spark, scale, _tasks(spark, scale, 1), zipf=1.0)
+    rules = domains.domains(generate.table_rows(scale))
+    return reduce(DataFrame.unionByName, (domains.check_columns(df, name, rules[name]) for name, df in tables.items()))
+
+
 def gen_sort_records(spark, sf):
     n = read_table(spark, sf, "orders").count()
     records = generate.gen_sort_records(spark, n, _tasks(spark, n, RECORDS_PER_TASK))
@@ -749,7 +759,7 @@ QUERIES = [
     jobs_with_conf, disk_samples, cpu_samples, cpu_samples_timed, cpu_report_files,
     memory_samples,
     monitor_summary, cpu_summary, stream_samples, stream_cpu_samples, stream_utilisation,
-    gen_tpch, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
+    gen_tpch, gen_tpch_values, gen_sort_records, gen_random_text, zipf_key, write_roundtrip,
     run_output_roundtrip, tsv_roundtrip, text_roundtrip, tpch_scan, sequence_roundtrip, wiki_dump, plain_text, doc_numbers, repack,
     link_edges, adjacency, bfs_encode, bfs,
     attempt_log_files, disk_sample_files, memory_sample_files, spec_files, job_conf_files, text_corpus,

@@ -408,6 +408,31 @@ ORACLES = {
         union all select 'orders', n, 1, n from o
         union all select 'lineitem',
             (select sum(1 + k % 7)::bigint from range(1, n + 1) r(k)), 1, n from o""",
+    "gen_tpch_values": """
+        with scale as (select count(*) / 6000000 as f from lineitem),
+        o as (select greatest(1, round(1500000 * f))::bigint as n from scale),
+        p as (select greatest(1, round(200000 * f))::bigint as n from scale),
+        sizes as (
+            select 'region' as tbl, 5::bigint as n union all select 'nation', 25
+            union all select 'supplier', greatest(1, round(10000 * f))::bigint from scale
+            union all select 'customer', greatest(1, round(150000 * f))::bigint from scale
+            union all select 'part', n from p union all select 'partsupp', 4 * n from p
+            union all select 'orders', n from o
+            union all select 'lineitem', (select sum(1 + k % 7)::bigint from range(1, n + 1) r(k)) from o),
+        -- columns by table, with the length of the list where a column is one
+        cols(tbl, names) as (values
+            ('region', 'r_regionkey r_name:5 r_comment'),
+            ('nation', 'n_nationkey n_name:25 n_regionkey n_comment'),
+            ('supplier', 's_suppkey s_name s_address s_nationkey s_phone s_acctbal s_comment'),
+            ('customer', 'c_custkey c_name c_address c_nationkey c_phone c_acctbal c_mktsegment:5 c_comment'),
+            ('part', 'p_partkey p_name p_mfgr:5 p_brand p_type:6 p_size p_container:6 p_retailprice p_comment'),
+            ('partsupp', 'ps_partkey ps_suppkey ps_availqty ps_supplycost ps_comment'),
+            ('orders', 'o_orderkey o_custkey o_orderstatus:3 o_totalprice o_orderdate o_orderpriority:5 o_clerk o_shippriority:1 o_comment'),
+            ('lineitem', 'l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag:3 l_linestatus:2 l_shipdate l_commitdate l_receiptdate l_shipinstruct:4 l_shipmode:6 l_comment')),
+        each as (select tbl, unnest(string_split(names, ' ')) as entry from cols)
+        select tbl, split_part(entry, ':', 1) as col, n, 0::bigint as odd,
+               nullif(split_part(entry, ':', 2), '')::bigint as listed
+        from each join sizes using (tbl)""",
     "gen_sort_records": """select count(*) as records, 100 * count(*) as bytes, 100 as smallest,
         100 as largest, count(*) as keys from orders""",
     "gen_random_text": """select 5 as min_key, 10 as max_key, 5 as min_value, 10 as max_value

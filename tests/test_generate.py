@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions.sampling import uniform, zipf_key, zipf_rank
+from runledger.plans import domains
 from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.tables import read_tpch
@@ -153,3 +154,23 @@ def test_random_text_of_asked_sizes(spark, monkeypatch):
     assert found == {k: v for k, v in asked.items() if v}
     # Chunks are made apart from each other: no sentence pair stands in all of them.
     assert text.filter("name = 'a'").groupBy("key", "value").count().agg(F.max("count")).first()[0] < 10
+
+
+def test_columns_keep_to_their_rules(spark):
+    rows = generate.table_rows(0.002)
+    rules = domains.domains(rows)
+    for name, df in generate.gen_tpch(spark, 0.002, 2, zipf=1.0).items():
+        checked = domains.check_columns(df, name, rules[name]).collect()
+        assert [r.col for r in checked] == df.columns
+        assert all(r.n == rows[name] and r.odd == 0 for r in checked), [r for r in checked if r.odd]
+
+
+def test_values_that_break_a_rule_are_counted(spark):
+    rules = domains.domains(generate.table_rows(0.002))["region"]
+    df = spark.createDataFrame([(0, "ASIA", "coba diba fego huji"), (9, "ASIA", "coba diba fego"), (None, "Asia", None)],
+                               "r_regionkey int, r_name string, r_comment string")
+    assert [(r.col, r.odd, r.listed) for r in domains.check_columns(df, "region", rules).collect()] == [
+        ("r_regionkey", 2, None), ("r_name", 1, 1), ("r_comment", 2, None)]
+    assert [r.odd for r in domains.check_columns(df.limit(0), "region", rules).collect()] == [0, 0, 0]
+    with pytest.raises(ValueError):
+        domains.check_columns(df.withColumn("more", F.lit(1)), "region", rules)

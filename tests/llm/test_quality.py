@@ -111,3 +111,40 @@ def test_equal_texts_score_alike_anywhere():
     for _ in range(5):
         order = rng.sample(range(40), 40)
         assert np.allclose(model.score_rows(pa.array([texts[i] for i in order])), alone[order], rtol=0, atol=1e-5)
+
+
+def plain_score(model, text):
+    """Score of one text by loops over its passages, bytes and pairs."""
+    data, hidden, energy = (text or "").encode(), [], []
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    for low in range(0, max(len(data), 1), quality.PASSAGE_BYTES):
+        passage = data[low:low + quality.PASSAGE_BYTES]
+        grams, kinds = [0] * quality.GRAM_BUCKETS, [0] * quality.CLASSES
+        for i, byte in enumerate(passage, low):
+            pair = byte << 8 | data[i + 1] if i + 1 < len(data) else byte | int(quality.END)
+            grams[(pair * 0x9E3779B1 % (1 << 32)) >> 24] += 1
+            kinds[int(quality.BYTE_CLASS[byte])] += 1
+        n = max(len(passage), 1)
+        features = [*((g / n) ** 0.5 for g in grams), *(k / n for k in kinds), len(passage) / quality.PASSAGE_BYTES,
+                    sum(g > 0 for g in grams) / n, max(grams) / n]
+        x = (np.array(features) - model.mean) / model.scale
+        h = np.tanh(x @ w["W"] + w["b"])
+        gate = 1 / (1 + np.exp(-(h @ w["U"] + w["u"])))
+        hidden.append(h)
+        energy.append(float((np.tanh(h @ w["V"] + w["v"]) * gate) @ w["a"]))
+    share = np.exp(energy) / np.exp(energy).sum()
+    pooled = sum(s * h for s, h in zip(share, hidden))
+    return float(1 / (1 + np.exp(-(pooled @ w["c"] + w["d"])[0])))
+
+
+def test_scores_against_loops():
+    rng = np.random.default_rng(5)
+    alphabet = list("abc de. XY#é中\n\t1")
+    texts = [None, "", "a", "é" * 700, *("".join(rng.choice(alphabet, rng.integers(0, 4000))) for _ in range(20))]
+    bags = []
+    for text in texts:
+        bags.append(quality.encode(pa.array([text], pa.string()))[0])
+    model = quality.QualityModel.train(bags, [i % 2 for i in range(len(texts))])
+    found = model.score_rows(pa.array(texts, pa.string()))
+    assert len(set(np.round(found, 3))) > 3
+    assert np.allclose(found, [plain_score(model, t) for t in texts], atol=1e-4)

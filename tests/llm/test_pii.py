@@ -1,12 +1,13 @@
 """Base spans against the plain expressions, the pattern graph, and redaction."""
 
+import hashlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import pii
+from runledger.llm import pii, queries
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -57,6 +58,18 @@ def test_base_spans(spark):
     assert base(spark, rows) == sorted(((d, brute(t)) for d, t in rows), key=str)
 
 
+def test_query_counts_by_kind(spark, tmp_path):
+    texts = ["me@here.org and you@there.org", "10.0.0.1 then +1 (202) 555-0123", "4111 1111 1111 1111", "10.0.0.1 a@b.cd 10.0.0.2 e@f.gh 1.2.3.4", None, "none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op1_pii(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for doc_id, text in enumerate(texts):
+        listed = brute(text)
+        row = found[doc_id]
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [f",{listed}".count(f",{k}:") for k in pii.KINDS]
+
+
 def test_empty(spark):
     assert base(spark, []) == []
 

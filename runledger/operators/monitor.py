@@ -89,13 +89,31 @@ def cpu_report_samples(reports, timed=False):
     The text in front of the first header of a file carries no column names and
     gives no row, nor does a line that is not six numbers.
     """
-    parts = F.split("report", "\r?\n", 3)
-    lines = reports.filter(F.get(parts, F.lit(0)).contains(CPU_COLUMNS)).select(
-        *_kept(reports, "report"), F.get(parts, F.lit(1)).alias("line"))
-    parsed = _cpu_values(lines.filter(F.col("line").isNotNull()), timed).filter(
-        F.col("_cpu").isNotNull())
-    kept = _kept(lines, "line")
-    return parsed.select(*kept, _line_time(timed), "_cpu").select(*kept, *_cpu_columns(timed))
+    first = 1 if timed else 0
+
+    def words_of(parts):
+        line = F.get(parts, F.lit(1))
+        # Only lines that start like a number are worth splitting.
+        return F.when(F.get(parts, F.lit(0)).contains(CPU_COLUMNS) & line.rlike(r"^\s*[-+.0-9]"), tokens(line))
+
+    def sample(words):
+        values = [F.get(words, F.lit(first + i)).try_cast("double").alias(name) for i, name in enumerate(CPU)]
+        if timed:
+            values.insert(0, F.timestamp_seconds(F.get(words, F.lit(0)).try_cast("long")).alias("ts"))
+        return F.struct(*values)
+
+    def complete(cells):
+        whole = F.lit(True)
+        for name in CPU:
+            whole = whole & cells[name].isNotNull()
+        return whole
+
+    # Arrays of one: each step is computed once for all its uses, and a filter behind
+    # the generator cannot be pushed in front of it and split every line again.
+    parts = F.array(F.split("report", "\r?\n", 3))
+    words = F.filter(F.transform(parts, words_of), lambda w: w.isNotNull())
+    samples = F.filter(F.transform(words, sample), complete)
+    return reports.select(*_kept(reports, "report"), F.inline(samples))
 
 
 def cpu_samples(lines, timed=False, chunk_width=LINES_PER_CHUNK):

@@ -107,6 +107,17 @@ def test_reports_are_cut_right_over_splits(spark, tmp_path, split):
             spark.conf.set(key, value)
 
 
+@pytest.mark.parametrize("timed", [False, True])
+def test_reports_are_split_once_for_all_uses(spark, timed):
+    reports = spark.createDataFrame([("n", "  %user x\n 5 1 2 3 4 5 6\n"), ("n", "  %user\n5 1 2\n"), ("n", "x\n1 2 3 4 5 6 7"), ("n", None)],
+                                    "host string, report string")
+    found = monitor.cpu_report_samples(reports, timed=timed).filter("user > 0 and idle > 0")
+    assert [r.idle for r in found.collect()] == [6.0 if timed else 5.0]
+    # Behind a filter, the expressions of a sample used to be written out for every use.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
 

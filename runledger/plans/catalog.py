@@ -12,7 +12,7 @@ from runledger.functions.text import run_id
 from runledger.operators import (
     attempts, clientlogs, corpus, design, jobs, joins, monitor, ordering, reshape)
 from runledger.plans import domains, render
-from runledger.session import materialise, scratch_path, shuffle_partitions
+from runledger.session import materialise, scratch_path, shared_listing, shuffle_partitions
 from runledger.sinks import writers
 from runledger.sources import generate
 from runledger.sources.lines import (
@@ -46,8 +46,8 @@ def attempt_log_files(spark, sf):
     """Write every attempt's log to its folder, scan the tree, time the attempts."""
     path = scratch_path(spark, "attempt-logs")
     attempt = ["host", "attempt_id"]
-    attempt_lines(spark, sf).repartition(*attempt).sortWithinPartitions(*attempt, "line_no").select(
-        *attempt, "line").write.partitionBy(*attempt).text(path)
+    writers.by_folder(attempt_lines(spark, sf), attempt, ["line_no"]).select(
+        *attempt, "line").write.options(**writers.COMMIT_IN_TASKS).partitionBy(*attempt).text(path)
     return attempts.attempt_times(read_attempt_logs(spark, f"{path}/*/*"))
 
 
@@ -126,9 +126,9 @@ def client_log_files(spark, sf):
     """Write the client output of every run to its folder, scan it back, time the jobs."""
     lines = render.client_lines(_events(spark, sf))
     path = scratch_path(spark, "client-logs")
-    ordered = lines.repartitionByRange(shuffle_partitions(spark), "expt_id", "line_no").sortWithinPartitions(
+    ordered = lines.repartitionByRange(writers.folder_tasks(lines, ["expt_id"]), "expt_id", "line_no").sortWithinPartitions(
         "expt_id", "line_no")
-    ordered.select("expt_id", "line").write.partitionBy("expt_id").text(path)
+    ordered.select("expt_id", "line").write.options(**writers.COMMIT_IN_TASKS).partitionBy("expt_id").text(path)
     return clientlogs.job_run_times(read_client_logs(spark, f"{path}/*")).select(
         "expt_id", "job_id", "seconds")
 
@@ -194,9 +194,9 @@ def spec_files(spark, sf):
     """Write a specification file per supplier, read the folder in name order, list the values."""
     path = scratch_path(spark, "specs")
     named = specs(spark, sf, "supplier", "s_suppkey").withColumn("file", F.format_string("spec-%012d", "file_no"))
-    named.repartition("file").sortWithinPartitions("file", "pos").select(
+    writers.by_folder(named, ["file"], ["pos"]).select(
         "file", "name", "type", "numvalues", "value_delimitter", "values", "delete_on_exit",
-    ).write.partitionBy("file").format("xml").option("rootTag", "configuration").option(
+    ).write.options(**writers.COMMIT_IN_TASKS).partitionBy("file").format("xml").option("rootTag", "configuration").option(
         "rowTag", "property").save(path)
     rows = design.split_values(read_param_specs(spark, f"{path}/*"))
     return rows.select("file_no", F.regexp_extract("file", "spec-([0-9]+)", 1).cast("long").alias("source"), "pos",
@@ -370,7 +370,8 @@ def unify_files(spark, sf):
     number = F.regexp_extract("expt_id", r"(\d+)", 1).cast("long")
     files = render.artifacts(events).groupBy("expt_id", "kind").agg(F.max("content").cast("string").alias("content"))
     files = files.withColumn("file_name", F.concat_ws("_", "kind", number % 7))
-    files.repartition("expt_id").write.partitionBy("expt_id", "kind", "file_name").text(path)
+    folder = ["expt_id", "kind", "file_name"]
+    writers.by_folder(files, folder).write.options(**writers.COMMIT_IN_TASKS).partitionBy(*folder).text(path)
     runs = render.started_runs(events)
     again = runs.filter(F.col("run_order") % 3 == 0)
     both = runs.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2)))
@@ -410,7 +411,7 @@ def job_conf_files(spark, sf):
         render.job_name(F.col("o_custkey")).alias("job_id"))
     path = scratch_path(spark, "job-confs")
     documents = render.conf_documents(read_table(spark, sf, "customer"), "c_custkey", "c_name")
-    documents.repartition("conf").write.partitionBy("conf").text(path)
+    writers.by_folder(documents, ["conf"]).write.options(**writers.COMMIT_IN_TASKS).partitionBy("conf").text(path)
     confs = read_job_confs(spark, path)
     return reshape.jobs_with_conf(started, confs).select(
         "job_id", "expt_id", "conf", F.col("value").alias("owner"))
@@ -633,9 +634,12 @@ def kept_outputs(spark, sf):
     runs = design.expand_design(design.checked_specs(rows))
     outputs = writers.run_outputs(runs).filter("keeps").select("expt_id", "output")
     path = scratch_path(spark, "outputs")
-    kept = runs.select("expt_id", "param", "value").join(outputs, "expt_id").repartition(shuffle_partitions(spark), "expt_id")
-    kept.write.partitionBy("expt_id").parquet(path)
-    return spark.read.schema(kept.schema).parquet(path).groupBy("expt_id", "output").agg(F.count(F.lit(1)).alias("n"))
+    kept = runs.select("expt_id", "param", "value").join(outputs, "expt_id")
+    kept = kept.repartition(writers.folder_tasks(outputs, ["expt_id"]), "expt_id")
+    kept.write.options(**writers.COMMIT_IN_TASKS).partitionBy("expt_id").parquet(path)
+    with shared_listing(spark):
+        found = spark.read.schema(kept.schema).parquet(path)
+    return found.groupBy("expt_id", "output").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tsv_roundtrip(spark, sf):

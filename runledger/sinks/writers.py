@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from runledger.functions import delimited
 from runledger.functions.text import run_id
 from runledger.operators.design import JOB_CONF, PROGRAM
-from runledger.session import ship_package, shuffle_partitions
+from runledger.session import ship_package, shuffle_partitions, tasks_for
 from runledger.sinks.containers import SequenceSource
 
 SINGLE_FILE_TABLES = ("region", "nation")
+FILES_PER_TASK = 500
+# Every task moves its own folders to their place. The driver would move all of them, one after the other.
+COMMIT_IN_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 SEQUENCE_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
 
 
@@ -17,6 +20,17 @@ def _writer(df, compression, mode="errorifexists"):
     return writer.option("compression", compression) if compression else writer
 
 
+def folder_tasks(rows, keys):
+    """Number of tasks that write a folder per key: opening files takes longer than their few bytes tell."""
+    folders = rows.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    return tasks_for(rows.sparkSession, folders, FILES_PER_TASK)
+
+
+def by_folder(rows, keys, order=(), partitions=None):
+    """Rows of a key in one task and in order, the keys dealt to as many tasks as their folders take."""
+    return rows.repartition(partitions or folder_tasks(rows, keys), *keys).sortWithinPartitions(*keys, *order)
+
+
 def write_tables(tables, directory, num_files, fmt="csv", compression=None, placed=False):
     """One directory per table with `num_files` files; existing ones are an error.
 
@@ -123,11 +137,10 @@ def write_run_confs(design, directory, partitions=None, compression=None):
     For tools that need a file per run. Keep run_conf_documents as a table when
     the runs go into the millions.
     """
-    n = partitions or shuffle_partitions(design.sparkSession)
-    # Rows of a run must meet in one task: a document is one file. The number of
-    # tasks is given, as opening the files takes longer than their few bytes tell.
-    rows = _job_settings(design).repartition(n, "expt_id").sortWithinPartitions("expt_id", "pos")
-    _writer(rows.drop("pos"), compression).partitionBy("expt_id").format("xml").option(
+    # Rows of a run must meet in one task: a document is one file.
+    settings = _job_settings(design)
+    rows = by_folder(settings, ["expt_id"], ["pos"], partitions)
+    _writer(rows.drop("pos"), compression).options(**COMMIT_IN_TASKS).partitionBy("expt_id").format("xml").option(
         "rootTag", "configuration").option("rowTag", "property").save(directory)
 
 

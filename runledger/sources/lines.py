@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from runledger.session import shared_listing
+
 # How the three kinds of files are named.
 RUN_PATTERN = r"(EXPT-\d+)"
 # A log is the file syslog of its attempt, or the part files of a folder that Spark
@@ -42,7 +44,8 @@ def line_number(spark):
 
 def read_lines(spark, path, **columns):
     """One row per line: the given columns (patterns on the path), line_no, line."""
-    lines = spark.read.text(path)
+    with shared_listing(spark):
+        lines = spark.read.text(path)
     tags = [F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias(name)
             for name, pattern in columns.items()]
     return lines.select(*tags, line_number(spark).alias("line_no"), F.col("value").alias("line"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions.text import strip
 from runledger.operators.ordering import with_ordinal
+from runledger.session import shared_listing
 from runledger.sources.lines import RUN_PATTERN, read_lines
 
 JOB_IN_NAME = r"_(job_[0-9]+_[0-9]+)_conf\.xml$"
@@ -33,7 +34,9 @@ def parse_param_specs(documents, file_no="file_no", file="file", xml="xml"):
 def read_param_specs(spark, path):
     """A specification file, or every `*.xml` of a directory in name order."""
     reader = spark.read.option("pathGlobFilter", "*.xml")
-    documents = reader.text(path, wholetext=True).select(
+    with shared_listing(spark):
+        texts = reader.text(path, wholetext=True)
+    documents = texts.select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("xml")
     ).filter(F.trim("xml") != "")
     numbered = with_ordinal(documents, ["file"], name="file_no", start=0, collapse_copies=False)
@@ -74,7 +77,9 @@ def _read_confs(spark, path):
     Spark pack many files in a task, which the XML source does not do.
     """
     place = F.col("_metadata.file_path")
-    return conf_properties(spark.read.text(path, wholetext=True).select(
+    with shared_listing(spark):
+        texts = spark.read.text(path, wholetext=True)
+    return conf_properties(texts.select(
         place.alias("path"), F.regexp_extract(place, CONF_IN_PATH, 1).alias("conf"), F.col("value").alias("xml")))
 
 

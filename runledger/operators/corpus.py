@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from runledger.operators.joins import hot_keys
 from runledger.operators.ordering import with_ordinal
-from runledger.session import BROADCAST_LIMIT, bucketed, fits_broadcast, materialise, row_size, shuffle_partitions
+from runledger.session import BROADCAST_LIMIT, bucketed, fits_broadcast, materialise, row_size, shuffle_partitions, tasks_for
 
 NEIGHBOURS_PER_ROW = 100_000
+EDGES_PER_TASK = 500_000
 TABLES_KEPT = 6
 FEW_NODES = 256
 HREF = r'href="([^"]+)"'
@@ -149,18 +150,34 @@ def link_edges(pages, pattern, source, column="text"):
     return pages.select(F.col(source).alias("src"), F.explode(targets).alias("dst")).distinct()
 
 
+def distinct_rows(rows, count, salts=16):
+    """Different rows out of about `count`, by as many tasks as these take.
+
+    A task that reads a well-compressed file would hold far more rows in its hash map than
+    the file's bytes tell. So rows are dealt first, copies of one row over `salts` tasks, and
+    what is left of each share meets in one task.
+    """
+    n = tasks_for(rows.sparkSession, count, EDGES_PER_TASK)
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")
+    shares = rows.select("*", salt).repartition(n, *rows.columns, "_salt").distinct().select(*rows.columns)
+    return shares.repartition(n, *rows.columns).distinct()
+
+
 def adjacency(edges, neighbours_per_row=NEIGHBOURS_PER_ROW, limit=BROADCAST_LIMIT, salts=64):
     """Sorted distinct neighbours of every node, as (node, part, neighbours).
 
     A node with more neighbours than fit one row gets several parts, each with
     the neighbours of one hash share, so no row or task holds a whole hub. All
-    others have the single part 0. Edges are written once, as they are read for
-    the degrees and for the lists. The hubs, at most one per
+    others have the single part 0. Edges are written and counted, so that tasks
+    hold a bounded number of them, and the different ones written once more, as they
+    are read for the degrees and for the lists. The hubs, at most one per
     `neighbours_per_row` edges, are broadcast when their measured size is within
     `limit`; beyond it every edge joins on its node and a salt, so that a hub's
     edges never meet in one task.
     """
-    links = materialise(edges.select("src", "dst").distinct(), "edges")
+    every_edge = materialise(edges.select("src", "dst"), "every-edge")
+    count = every_edge.count()
+    links = materialise(distinct_rows(every_edge, count), "edges")
     hubs = materialise(
         links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(
             F.col("degree") > neighbours_per_row), "hubs")
@@ -173,7 +190,9 @@ def adjacency(edges, neighbours_per_row=NEIGHBOURS_PER_ROW, limit=BROADCAST_LIMI
             hubs.withColumn("salt", every), ["src", "salt"], "left")
     parts = F.ceil(F.col("degree") / neighbours_per_row)
     part = F.when(F.col("degree").isNotNull(), F.pmod(F.xxhash64("dst"), parts)).otherwise(0)
-    return marked.groupBy(F.col("src").alias("node"), part.cast("long").alias("part")).agg(
+    placed = marked.select(F.col("src").alias("node"), part.cast("long").alias("part"), "dst")
+    n = tasks_for(edges.sparkSession, count, EDGES_PER_TASK)
+    return placed.repartition(n, "node", "part").groupBy("node", "part").agg(
         F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 

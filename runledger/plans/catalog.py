@@ -734,7 +734,8 @@ def bfs_encode(spark, sf):
 
 def _supply_edges(spark, sf):
     """The graph that links every part with its suppliers."""
-    pairs = read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    line = read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    pairs = corpus.distinct_rows(line, line.count())
     part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
     return pairs.select(F.explode(F.array(
         F.struct(part.alias("src"), supplier.alias("dst")),

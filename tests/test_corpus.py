@@ -14,6 +14,16 @@ DUMP = """<mediawiki><siteinfo><sitename>x</sitename></siteinfo>
 </mediawiki>"""
 
 
+def test_edges_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "EDGES_PER_TASK", 50, raising=False)
+    edges = spark.range(600).selectExpr("concat('n', id % 100) as src", "concat('m', id div 100) as dst").unionByName(
+        spark.range(300).selectExpr("'n0' as src", "'m0' as dst"))
+    lists = corpus.adjacency(edges, neighbours_per_row=4)
+    assert lists.rdd.getNumPartitions() == 18
+    found = [(r.node, n) for r in lists.collect() for n in r.neighbours]
+    assert sorted(found) == sorted({(r.src, r.dst) for r in edges.collect()})
+
+
 def test_wiki_pipeline(spark, tmp_path):
     (tmp_path / "dump.xml").write_text(DUMP)
     pages = read_wiki_xml(spark, str(tmp_path / "dump.xml"), partitions=2)

@@ -46,8 +46,7 @@ def attempt_log_files(spark, sf):
     """Write every attempt's log to its folder, scan the tree, time the attempts."""
     path = scratch_path(spark, "attempt-logs")
     attempt = ["host", "attempt_id"]
-    writers.by_folder(attempt_lines(spark, sf), attempt, ["line_no"]).select(
-        *attempt, "line").write.options(**writers.COMMIT_IN_TASKS).partitionBy(*attempt).text(path)
+    writers.write_folders(writers.by_folder(attempt_lines(spark, sf), attempt, ["line_no"]), attempt, "line", path)
     return attempts.attempt_times(read_attempt_logs(spark, f"{path}/*/*"))
 
 

@@ -7,6 +7,8 @@ from runledger.functions.text import run_id
 from runledger.operators.design import JOB_CONF, PROGRAM
 from runledger.session import ship_package, shuffle_partitions, tasks_for
 from runledger.sinks.containers import SequenceSource
+from runledger.sinks.folders import FolderSource
+from runledger.sources.files import opens, qualified
 
 SINGLE_FILE_TABLES = ("region", "nation")
 FILES_PER_TASK = 500
@@ -31,6 +33,29 @@ def by_folder(rows, keys, order=(), partitions=None):
     return rows.repartition(partitions or folder_tasks(rows, keys), *keys).sortWithinPartitions(*keys, *order)
 
 
+def _refuse_existing(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise ValueError(f"{path} already exists")
+
+
+def write_folders(rows, keys, column, directory, suffix=".txt"):
+    """A text file per folder of keys and task, for rows as `by_folder` gives them; an existing directory is an error.
+
+    Stores that Arrow does not know are written by Spark, at the price of its files.
+    """
+    spark = rows.sparkSession
+    path = qualified(spark, directory)
+    lines = rows.select(*[F.col(key).cast("string").alias(key) for key in keys], column)
+    if not opens(path):
+        lines.write.options(**COMMIT_IN_TASKS).partitionBy(*keys).text(directory)
+        return
+    _refuse_existing(spark, path)
+    ship_package(spark)
+    spark.dataSource.register(FolderSource)
+    lines.write.format(FolderSource.name()).mode("append").option("suffix", suffix).save(path)
+
+
 def write_tables(tables, directory, num_files, fmt="csv", compression=None, placed=False):
     """One directory per table with `num_files` files; existing ones are an error.
 
@@ -179,9 +204,7 @@ def write_sequence(df, key, value, path, codec=SEQUENCE_CODEC):
     if codec != SEQUENCE_CODEC:
         raise ValueError(f"containers are written with {SEQUENCE_CODEC}")
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        raise ValueError(f"{path} already exists")
+    _refuse_existing(spark, path)
     ship_package(spark)
     spark.dataSource.register(SequenceSource)
     df.select(key, value).write.format(SequenceSource.name()).mode("append").option("codec", codec).save(path)

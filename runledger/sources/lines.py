@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.session import shared_listing
+from runledger.sources.files import read_small_files
 
 # How the three kinds of files are named.
 RUN_PATTERN = r"(EXPT-\d+)"
@@ -51,6 +52,13 @@ def read_lines(spark, path, **columns):
     return lines.select(*tags, line_number(spark).alias("line_no"), F.col("value").alias("line"))
 
 
+def read_file_lines(spark, path, **columns):
+    """The rows of read_lines for trees of very many small files, which tasks list and read."""
+    lines = read_small_files(spark, path, line_number(spark))
+    tags = [F.regexp_extract(F.col("path"), pattern, 1).alias(name) for name, pattern in columns.items()]
+    return lines.select(*tags, "line_no", F.col("value").alias("line"))
+
+
 def read_text(spark, path):
     """Plain text corpus; lines carry no order, so the scan stays bare."""
     return spark.read.text(path).withColumnRenamed("value", "line")
@@ -63,7 +71,7 @@ def read_client_logs(spark, path):
 
 def read_attempt_logs(spark, path):
     """Task-attempt logs of every host: `<host>/[userlogs/]attempt_*/syslog`."""
-    return read_lines(spark, path, host=HOST_PATTERN, attempt_id=ATTEMPT_PATTERN).filter(
+    return read_file_lines(spark, path, host=HOST_PATTERN, attempt_id=ATTEMPT_PATTERN).filter(
         F.col("attempt_id") != "")
 
 

@@ -410,7 +410,7 @@ def job_conf_files(spark, sf):
         render.job_name(F.col("o_custkey")).alias("job_id"))
     path = scratch_path(spark, "job-confs")
     documents = render.conf_documents(read_table(spark, sf, "customer"), "c_custkey", "c_name")
-    writers.by_folder(documents, ["conf"]).write.options(**writers.COMMIT_IN_TASKS).partitionBy("conf").text(path)
+    writers.write_folders(writers.by_folder(documents, ["conf"]), ["conf"], "xml", path)
     confs = read_job_confs(spark, path)
     return reshape.jobs_with_conf(started, confs).select(
         "job_id", "expt_id", "conf", F.col("value").alias("owner"))

@@ -6,6 +6,7 @@ from runledger import schemas
 from runledger.functions.text import strip
 from runledger.operators.ordering import with_ordinal
 from runledger.session import shared_listing
+from runledger.sources.files import read_small_files
 from runledger.sources.lines import RUN_PATTERN, read_lines
 
 JOB_IN_NAME = r"_(job_[0-9]+_[0-9]+)_conf\.xml$"
@@ -73,14 +74,12 @@ def conf_properties(documents, xml="xml"):
 def _read_confs(spark, path):
     """Name and value of every property, file by file.
 
-    A configuration file is a small document. Reading it as one text value lets
-    Spark pack many files in a task, which the XML source does not do.
+    A configuration file is a small document, read as one text value: a task reads many
+    files, which the XML source does not do.
     """
-    place = F.col("_metadata.file_path")
-    with shared_listing(spark):
-        texts = spark.read.text(path, wholetext=True)
+    texts = read_small_files(spark, path, F.lit(0).cast("long"), whole=True)
     return conf_properties(texts.select(
-        place.alias("path"), F.regexp_extract(place, CONF_IN_PATH, 1).alias("conf"), F.col("value").alias("xml")))
+        "path", F.regexp_extract("path", CONF_IN_PATH, 1).alias("conf"), F.col("value").alias("xml")))
 
 
 def read_job_confs(spark, path):

@@ -152,3 +152,11 @@ def test_stores_that_only_spark_opens(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, line string")
     writers.write_folders(rows, ["k"], "line", f"{root}/t")
     assert sorted((r.k, r.line) for r in read_file_lines(spark, f"{root}/t/*", k="k=([^/]+)").collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_job_confs_cost_one_file_each(spark):
+    folder, rows = written_by(spark, catalog.job_conf_files, "job-confs")
+    customers = catalog.read_table(spark, SF, "customer").select("c_custkey").distinct().count()
+    assert len(visible(folder)) == customers and hidden(folder) == [] and rows
+    plan = specs.read_job_confs(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "MapInArrow" in plan

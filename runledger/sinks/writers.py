@@ -14,6 +14,7 @@ SINGLE_FILE_TABLES = ("region", "nation")
 FILES_PER_TASK = 500
 # Every task moves its own folders to their place. The driver would move all of them, one after the other.
 COMMIT_IN_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+XML_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 SEQUENCE_CODEC = "org.apache.hadoop.io.compress.DefaultCodec"
 
 
@@ -148,7 +149,11 @@ def _job_settings(design):
 
 def run_conf_documents(design):
     """The configuration document of every run as a text column."""
-    gathered = _job_settings(design).groupBy("expt_id").agg(
+    return _documents(_job_settings(design))
+
+
+def _documents(settings):
+    gathered = settings.groupBy("expt_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "name", "value"))).alias("cells"))
     properties = F.transform("cells", lambda c: F.struct(
         c["name"].alias("name"), c["value"].alias("value")))
@@ -164,6 +169,11 @@ def write_run_confs(design, directory, partitions=None, compression=None):
     """
     # Rows of a run must meet in one task: a document is one file.
     settings = _job_settings(design)
+    if not compression:
+        dealt = settings.repartition(partitions or folder_tasks(settings, ["expt_id"]), "expt_id")
+        documents = _documents(dealt).sortWithinPartitions("expt_id")
+        write_folders(documents.withColumn("xml", F.concat(F.lit(XML_HEAD), "xml")), ["expt_id"], "xml", directory, ".xml")
+        return
     rows = by_folder(settings, ["expt_id"], ["pos"], partitions)
     _writer(rows.drop("pos"), compression).options(**COMMIT_IN_TASKS).partitionBy("expt_id").format("xml").option(
         "rootTag", "configuration").option("rowTag", "property").save(directory)

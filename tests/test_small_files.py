@@ -160,3 +160,18 @@ def test_job_confs_cost_one_file_each(spark):
     assert len(visible(folder)) == customers and hidden(folder) == [] and rows
     plan = specs.read_job_confs(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and "MapInArrow" in plan
+
+
+def test_run_confs_cost_one_file_each(spark, tmp_path):
+    rows = [("EXPT-0000", 0, "a", "1"), ("EXPT-0000", 1, "b", " <2> & \"x\"\n"), ("EXPT-0001", 0, "a", ""), ("EXPT-0001", 2, "c", "3"),
+            ("EXPT-0001", 1, "b", "ü"), ("EXPT-0001", 1, "b", "ü"), ("EXPT-0002", 0, "n", None)]
+    table = spark.createDataFrame([(*row, "MAPREDUCE_JOBCONF") for row in rows], "expt_id string, pos int, param string, value string, type string")
+    writers.write_run_confs(table, str(tmp_path / "mine"), 2)
+    writers.write_run_confs(table, str(tmp_path / "packed"), 2, "gzip")
+    assert len(visible(tmp_path / "mine")) == 3 and hidden(tmp_path / "mine") == []
+    for name in visible(tmp_path / "packed"):
+        # The documents are those of Spark's XML writer, which still writes the compressed ones.
+        (mine,) = (tmp_path / "mine" / name).parent.parent.glob(f"{os.path.dirname(name)}/part-*.xml")
+        assert mine.read_bytes().rstrip() == gzip.decompress((tmp_path / "packed" / name).read_bytes()).rstrip()
+    back = [sorted(map(tuple, specs.read_run_confs(spark, str(tmp_path / of)).collect()), key=str) for of in ("mine", "packed")]
+    assert back[0] == back[1] and len(back[0]) == len(rows)

@@ -370,7 +370,7 @@ def unify_files(spark, sf):
     files = render.artifacts(events).groupBy("expt_id", "kind").agg(F.max("content").cast("string").alias("content"))
     files = files.withColumn("file_name", F.concat_ws("_", "kind", number % 7))
     folder = ["expt_id", "kind", "file_name"]
-    writers.by_folder(files, folder).write.options(**writers.COMMIT_IN_TASKS).partitionBy(*folder).text(path)
+    writers.write_folders(writers.by_folder(files, folder), folder, "content", path)
     runs = render.started_runs(events)
     again = runs.filter(F.col("run_order") % 3 == 0)
     both = runs.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2)))

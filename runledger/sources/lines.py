@@ -153,5 +153,5 @@ def read_artifacts(spark, base, kind):
 
     Folders that a partitioned writer named `kind=<kind>/file_name=<file>` are read alike.
     """
-    return read_lines(spark, f"{base.rstrip('/')}/*EXPT-*/{{{kind},kind={kind}}}/*",
-                      expt_id=RUN_PATTERN, file_name=r"([^/=]+)(?:/part-[^/]*)?$").withColumn("kind", F.lit(kind))
+    return read_file_lines(spark, f"{base.rstrip('/')}/*EXPT-*/{{{kind},kind={kind}}}/*",
+                           expt_id=RUN_PATTERN, file_name=r"([^/=]+)(?:/part-[^/]*)?$").withColumn("kind", F.lit(kind))

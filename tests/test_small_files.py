@@ -10,7 +10,7 @@ from runledger.plans import catalog
 from runledger.session import scratch_path
 from runledger.sinks import folders, writers
 from runledger.sources import files, specs
-from runledger.sources.lines import read_attempt_logs, read_file_lines, read_lines
+from runledger.sources.lines import read_artifacts, read_attempt_logs, read_file_lines, read_lines
 
 SF = "/root/testdata/sf0.001"
 ATTEMPT = "attempt_202401010000_%04d_m_000000_0"
@@ -175,3 +175,11 @@ def test_run_confs_cost_one_file_each(spark, tmp_path):
         assert mine.read_bytes().rstrip() == gzip.decompress((tmp_path / "packed" / name).read_bytes()).rstrip()
     back = [sorted(map(tuple, specs.read_run_confs(spark, str(tmp_path / of)).collect()), key=str) for of in ("mine", "packed")]
     assert back[0] == back[1] and len(back[0]) == len(rows)
+
+
+def test_artifacts_cost_one_file_each(spark):
+    folder, rows = written_by(spark, catalog.unify_files, "artifacts")
+    kinds = catalog.render.artifacts(catalog._events(spark, SF)).select("expt_id", "kind").distinct().count()
+    assert len(visible(folder)) == kinds and hidden(folder) == [] and rows
+    plan = read_artifacts(spark, folder, "userlogs")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "MapInArrow" in plan

@@ -2,8 +2,8 @@
 
 Spark's readers hold every file of a query in the driver and open a few files a task. Here the
 names of the files are rows: tasks list the folders level by level, and others read the files.
-Files that one task should not read as a whole, compressed ones and stores that Arrow does not
-know are left to Spark's reader.
+Files that Spark would split or one task should not read as a whole, compressed ones and stores
+that Arrow does not know are left to Spark's reader.
 """
 
 import os
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from runledger.session import LISTING_TASKS_PER_CORE, materialise, shared_listing, ship_package, tasks_for
+from runledger.session import LISTING_TASKS_PER_CORE, conf_bytes, materialise, shared_listing, ship_package, tasks_for
 
 FILES_PER_TASK = 1000
 BYTES_PER_TASK = 64 << 20
@@ -209,13 +209,14 @@ def read_small_files(spark, path, number, whole=False):
     if not levels or store.get_file_info(folder).type != fs.FileType.Directory:
         return _by_spark(spark, path, whole, number)
     files = materialise(list_files(spark, base, levels), "files")
-    ours = (F.col("size") <= SMALL_FILE) & ~F.lower("path").rlike(COMPRESSED)
+    split = conf_bytes(spark, "spark.sql.files.maxPartitionBytes")
+    ours = (F.col("size") <= min(SMALL_FILE, split)) & ~F.lower("path").rlike(COMPRESSED)
     n, size = files.agg(F.count_if(ours), F.sum(F.when(ours, F.col("size")))).first()
     large = [row.path for row in files.filter(~ours).select("path").collect()]
     if not n:
         # Spark says what is wrong with a pattern that names nothing.
         return _by_spark(spark, path, whole, number)
-    tasks = max(tasks_for(spark, n, FILES_PER_TASK), tasks_for(spark, size, BYTES_PER_TASK))
+    tasks = max(tasks_for(spark, n, FILES_PER_TASK), tasks_for(spark, size, min(BYTES_PER_TASK, split)))
     rows = files.filter(ours).select("path").repartition(tasks).mapInArrow(_reading(base, whole), "path string, parts array<binary>")
     lines = rows.select("path", F.posexplode("parts").alias("line_no", "value")).select(
         "path", F.col("line_no").cast("long").alias("line_no"), F.col("value").cast("string").alias("value"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runledger.session import shared_listing
+from runledger.session import conf_bytes, shared_listing
 from runledger.sources.files import read_small_files
 
 # How the three kinds of files are named.
@@ -17,16 +17,6 @@ MONITOR_FILES = {"disk": "*iostat_output-*", "cpu": "*iostat_output-*",
 
 CPU_MARK = "avg-cpu:"
 
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30}
-
-
-def _bytes(text):
-    text = text.strip().lower()
-    digits = text.rstrip("bkmg")
-    return int(digits) * _UNITS[text[len(digits):] or "b"]
-
-
 def line_number(spark):
     """A long that grows with the position of a line in its file.
 
@@ -36,8 +26,8 @@ def line_number(spark):
     lower 33 bits of monotonically_increasing_id) to the lower ones. A single
     long keeps min_by / max_by on it inside hash aggregation.
     """
-    smallest = min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
-                   _bytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    smallest = min(conf_bytes(spark, "spark.sql.files.maxPartitionBytes"),
+                   conf_bytes(spark, "spark.sql.files.openCostInBytes"))
     split = F.floor(F.col("_metadata.file_block_start") / F.lit(max(smallest, 1)))
     record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return split.cast("long") * F.lit(1 << 33) + record
